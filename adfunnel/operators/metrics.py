@@ -30,17 +30,16 @@ def ads_totals(rollup: DataFrame) -> DataFrame:
     )
 
 
-def funnel_totals(leads_f: DataFrame, appts_f: DataFrame, sales_f: DataFrame, has_revenue: bool = True) -> DataFrame:
-    """A6 + A7: distinct e-mails per table, independent of campaign matching,
-    and the total revenue of the filtered sales."""
-    leads = leads_f.agg(F.count_distinct(norm_key("email")).alias("total_leads"))
-    appts = appts_f.agg(F.count_distinct(norm_key("email")).alias("total_appointments"))
-    rev = F.sum(F.col("revenue").cast(MONEY)) if has_revenue else F.lit(None).cast(MONEY)
-    sales = sales_f.agg(
-        F.count_distinct(norm_key("email")).alias("total_sales"),
-        F.coalesce(rev, F.lit(0).cast(MONEY)).alias("revenue"),
+def funnel_totals(emails: DataFrame) -> DataFrame:
+    """A6 + A7 from the per-e-mail summary: distinct e-mails per table,
+    independent of campaign matching, and the total revenue of the sales."""
+    known = F.col("email").isNotNull()
+    return emails.agg(
+        F.count(F.when(known & (F.col("is_lead") == 1), F.lit(1))).alias("total_leads"),
+        F.count(F.when(known & (F.col("has_appt") == 1), F.lit(1))).alias("total_appointments"),
+        F.count(F.when(known & (F.col("has_sale") == 1), F.lit(1))).alias("total_sales"),
+        F.coalesce(F.sum("revenue"), F.lit(0).cast(MONEY)).alias("revenue"),
     )
-    return leads.crossJoin(appts).crossJoin(sales)
 
 
 def kpis(totals: DataFrame, funnel: DataFrame, ads_present: DataFrame | None = None) -> DataFrame:

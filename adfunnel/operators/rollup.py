@@ -28,12 +28,16 @@ def _null_str() -> Column:
 RATIO_COLUMNS = ["ctr", "cpl", "cac", "roas", "conversion_rate", "appointment_rate", "close_rate"]
 
 
-def keyed_ads(ads_f: DataFrame, has_adset: bool, has_creative: bool, has_ordinal: bool) -> DataFrame:
-    """Display names (stripped) and keys (stripped + lower) of the ads rows."""
+def keyed_ads(ads_f: DataFrame, has_adset: bool, has_creative: bool, has_order: bool) -> DataFrame:
+    """Display names (stripped) and keys (stripped + lower) of the ads rows.
+
+    ``row_order`` (a long: the position of the row in its source) decides
+    which spelling of a key is shown; without it the least spelling is.
+    """
     c_name = strip_ws("campaign")
     a_name = strip_ws("adset") if has_adset else _null_str()
     r_name = strip_ws("creative") if has_creative else _null_str()
-    order = F.col("ordinal") if has_ordinal else F.lit(None).cast("int")
+    order = F.col("row_order").cast("long") if has_order else F.lit(None).cast("long")
     return ads_f.select(
         order.alias("_ord"),
         c_name.alias("c_name"),
@@ -49,31 +53,44 @@ def keyed_ads(ads_f: DataFrame, has_adset: bool, has_creative: bool, has_ordinal
     )
 
 
-def _first(name: str, has_ordinal: bool) -> Column:
-    """First spelling in row order; without a row order, the least spelling."""
-    return F.min_by(name, "_ord") if has_ordinal else F.min(name)
+def _first(name: str) -> Column:
+    """First spelling: least (row order, spelling) of the group."""
+    return F.min_by(name, F.struct("_ord", name))
 
 
-def ads_rollup(ads_k: DataFrame, has_adset: bool, has_creative: bool, has_ordinal: bool) -> DataFrame:
-    """A1-A3 + A5: all three levels in one aggregate.
+def ads_rollup(ads_k: DataFrame, has_adset: bool, has_creative: bool) -> DataFrame:
+    """A1-A3 + A5: all three levels in one plan.
+
+    Phase 1 runs over the raw rows and keeps only fixed-width aggregation
+    buffers (sums, min of a long), so it is a HashAggregate with map-side
+    partial aggregation; it reduces the data to one row per distinct
+    (keys, spellings).  Phase 2 expands that small table into the three
+    grouping sets and picks the first spelling per key.
 
     Output: level, campaign_key, adset_key, creative_key, name, spend_sum
     (exact decimal), impressions, clicks, reach (unrounded sums).  Groups with
     a null key at their own level are dropped, like a pandas group-by.
     """
+    fine = ads_k.groupBy(*KEYS, "c_name", "a_name", "r_name").agg(
+        F.sum("spend").alias("spend"),
+        F.sum("impressions").alias("impressions"),
+        F.sum("clicks").alias("clicks"),
+        F.sum("reach").alias("reach"),
+        F.min("_ord").alias("_ord"),
+    )
     sets = [["campaign_key"]]
     if has_adset:
         sets.append(["campaign_key", "adset_key"])
         if has_creative:
             sets.append(["campaign_key", "adset_key", "creative_key"])
-    g = ads_k.groupingSets(sets, *KEYS).agg(
+    g = fine.groupingSets(sets, *KEYS).agg(
         F.sum("spend").alias("spend_sum"),
         F.sum("impressions").alias("impressions"),
         F.sum("clicks").alias("clicks"),
         F.sum("reach").alias("reach"),
-        _first("c_name", has_ordinal).alias("_c_first"),
-        _first("a_name", has_ordinal).alias("_a_first"),
-        _first("r_name", has_ordinal).alias("_r_first"),
+        _first("c_name").alias("_c_first"),
+        _first("a_name").alias("_a_first"),
+        _first("r_name").alias("_r_first"),
         F.grouping_id().alias("_gid"),
     )
     level = F.when(F.col("_gid") == 3, "campaign").when(F.col("_gid") == 1, "adset").otherwise("creative")
@@ -121,27 +138,29 @@ def lead_level_emails(leads_f: DataFrame) -> DataFrame:
     return rows.where(keep).distinct()
 
 
-def email_outcomes(appts_f: DataFrame, sales_f: DataFrame, has_revenue: bool = True) -> DataFrame:
-    """One row per e-mail: booked?, bought?, total revenue over all its sales."""
+def email_summary(leads_f: DataFrame, appts_f: DataFrame, sales_f: DataFrame, has_revenue: bool = True) -> DataFrame:
+    """One row per e-mail: lead?, booked?, bought?, total revenue over all its
+    sales (A8).  A single shuffle on e-mail serves both the attribution join
+    and the run totals (A6, A7).  Rows with a null e-mail keep one null group
+    so their revenue still counts in the total."""
     zero = F.lit(0).cast(MONEY)
-    a = appts_f.select(
-        norm_key("email").alias("email"), F.lit(1).alias("has_appt"), F.lit(0).alias("has_sale"), zero.alias("revenue")
-    )
-    s = sales_f.select(
-        norm_key("email").alias("email"),
-        F.lit(0).alias("has_appt"),
-        F.lit(1).alias("has_sale"),
-        (F.col("revenue").cast(MONEY) if has_revenue else zero).alias("revenue"),
-    )
-    return (
-        a.unionByName(s)
-        .where(F.col("email").isNotNull())
-        .groupBy("email")
-        .agg(
-            F.max("has_appt").alias("has_appt"),
-            F.max("has_sale").alias("has_sale"),
-            F.sum("revenue").alias("revenue"),
+
+    def part(df: DataFrame, lead: int, appt: int, sale: int, rev) -> DataFrame:
+        return df.select(
+            norm_key("email").alias("email"),
+            F.lit(lead).alias("is_lead"),
+            F.lit(appt).alias("has_appt"),
+            F.lit(sale).alias("has_sale"),
+            rev.alias("revenue"),
         )
+
+    sale_rev = F.col("revenue").cast(MONEY) if has_revenue else zero
+    u = part(leads_f, 1, 0, 0, zero).unionByName(part(appts_f, 0, 1, 0, zero)).unionByName(part(sales_f, 0, 0, 1, sale_rev))
+    return u.groupBy("email").agg(
+        F.max("is_lead").alias("is_lead"),
+        F.max("has_appt").alias("has_appt"),
+        F.max("has_sale").alias("has_sale"),
+        F.sum("revenue").alias("revenue"),
     )
 
 
@@ -155,9 +174,10 @@ def revenue_by_email(sales_f: DataFrame) -> DataFrame:
     )
 
 
-def lead_facts(level_emails: DataFrame, outcomes: DataFrame) -> DataFrame:
+def lead_facts(level_emails: DataFrame, emails: DataFrame) -> DataFrame:
     """A9 + J4-J6: per (level, keys): distinct leads, how many of them booked,
     bought, and the total revenue of the buyers (each e-mail counted once)."""
+    outcomes = emails.where(F.col("email").isNotNull()).select("email", "has_appt", "has_sale", "revenue")
     j = level_emails.join(outcomes, "email", "left")
     return j.groupBy("level", *KEYS).agg(
         F.count(F.lit(1)).alias("leads"),

@@ -24,6 +24,7 @@ from ..operators import rank as R
 from ..operators import rollup as RU
 from ..operators import rules as RL
 from ..sources.fixtures import FunnelTables
+from ..session import checkpoint_dir
 from ..sources.ingest import Resolution
 
 
@@ -35,11 +36,22 @@ def _all_present(tables: FunnelTables) -> Resolution:
 
 
 class Funnel:
-    def __init__(self, tables: FunnelTables, config: FunnelConfig | None = None, resolution: Resolution | None = None):
+    def __init__(
+        self,
+        tables: FunnelTables,
+        config: FunnelConfig | None = None,
+        resolution: Resolution | None = None,
+        materialize: bool = False,
+    ):
+        """``materialize=True`` checkpoints the per-group intermediates (roll-up,
+        level facts, per-e-mail summary) into the cluster's checkpoint folder
+        the first time they are needed: later outputs plan over those small
+        tables instead of re-planning the scans and joins of the raw data."""
         self.cfg = (config or FunnelConfig()).resolved()
+        self.materialize = materialize
         self.tables = tables
         self.res = resolution or _all_present(tables)
-        self.has_ordinal = "ordinal" in tables.ads.columns
+        self.has_order = "row_order" in tables.ads.columns
         # The ads table without a campaign column yields the empty payload.
         self.ads_usable = self.res.has("ads", "campaign") and len(tables.ads.columns) > 0
 
@@ -85,24 +97,30 @@ class Funnel:
         return self.res.has("sales", "revenue")
 
     # ---- aggregation core -------------------------------------------------
+    def _pin(self, df: DataFrame) -> DataFrame:
+        if not self.materialize:
+            return df
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+
     @cached_property
     def rollup(self) -> DataFrame:
         has_adset = self.res.has("ads", "adset")
         has_creative = self.res.has("ads", "creative")
-        k = RU.keyed_ads(self.ads_f, has_adset, has_creative, self.has_ordinal)
-        return RU.ads_rollup(k, has_adset, has_creative, self.has_ordinal)
+        k = RU.keyed_ads(self.ads_f, has_adset, has_creative, self.has_order)
+        return self._pin(RU.ads_rollup(k, has_adset, has_creative))
 
     @cached_property
     def level_emails(self) -> DataFrame:
         return RU.lead_level_emails(self.leads_f)
 
     @cached_property
-    def outcomes(self) -> DataFrame:
-        return RU.email_outcomes(self.appts_f, self.sales_f, self.has_revenue)
+    def emails(self) -> DataFrame:
+        return self._pin(RU.email_summary(self.leads_f, self.appts_f, self.sales_f, self.has_revenue))
 
     @cached_property
     def lead_facts(self) -> DataFrame:
-        return RU.lead_facts(self.level_emails, self.outcomes)
+        return RU.lead_facts(self.level_emails, self.emails)
 
     @cached_property
     def appts_by_campaign(self) -> DataFrame | None:
@@ -114,7 +132,7 @@ class Funnel:
 
     @cached_property
     def level_facts(self) -> DataFrame:
-        return RU.level_facts(self.lead_facts, self.appts_by_campaign, self.sales_by_campaign)
+        return self._pin(RU.level_facts(self.lead_facts, self.appts_by_campaign, self.sales_by_campaign))
 
     @cached_property
     def unscored_tree(self) -> DataFrame:
@@ -123,7 +141,7 @@ class Funnel:
     @cached_property
     def tree(self) -> DataFrame:
         """performance_tree: every level, scored (H1, M3, M4)."""
-        return H.performance_tree(self.unscored_tree)
+        return self._pin(H.performance_tree(self.unscored_tree))
 
     def tree_filtered(self, campaign: str | None = None) -> DataFrame:
         """F8: tree restricted to campaigns whose name contains ``campaign``."""
@@ -159,7 +177,7 @@ class Funnel:
 
     @cached_property
     def funnel_totals(self) -> DataFrame:
-        return M.funnel_totals(self.leads_f, self.appts_f, self.sales_f, self.has_revenue)
+        return M.funnel_totals(self.emails)
 
     @cached_property
     def kpis(self) -> DataFrame:

@@ -189,7 +189,7 @@ def prelude() -> str:
               l_returnflag, l_linestatus, l_shipdate, o_orderdate, o_orderpriority, o_orderstatus, p_type, p_brand, p_name,
               {campaign} AS campaign
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
-        "f_ads": f"""SELECT {ordinal}, l_shipdate AS date, {keys},
+        "f_ads": f"""SELECT {ordinal}, l_orderkey * 8 + l_linenumber AS row_order, l_shipdate AS date, {keys},
               CAST({d2('l_extendedprice')} * {d2('l_discount')} AS {MONEY}) AS spend,
               l_quantity * 100 AS impressions, CAST(l_linenumber * 10 AS DOUBLE) AS clicks, l_quantity * 60 AS reach
             FROM base""",
@@ -211,14 +211,17 @@ def prelude() -> str:
         "appts_f": f"""SELECT * FROM f_appts WHERE coalesce({strip('campaign')} <> '', false) AND {DAY_RANGE}""",
         "sales_f": f"""SELECT * FROM f_sales WHERE upper({strip('product')}) = {lit(FIXTURE_CONFIG.sales_product)}
               AND upper({strip('origin')}) = {lit(FIXTURE_CONFIG.sales_origin)} AND {DAY_RANGE}""",
-        "ads_k": f"""SELECT struct_pack({', '.join(f'{c} := {c}' for c in ordinal.split(', '))}) AS ordinal,
+        "ads_k": f"""SELECT row_order,
               {strip('campaign')} AS c_name, lower({strip('campaign')}) AS campaign_key,
               {strip('adset')} AS a_name, lower({strip('adset')}) AS adset_key,
               {strip('creative')} AS r_name, lower({strip('creative')}) AS creative_key,
               spend, impressions, clicks, reach FROM ads_f""",
         "rollup_g": """SELECT campaign_key, adset_key, creative_key, sum(spend) AS spend_sum, sum(impressions) AS impressions,
-              sum(clicks) AS clicks, sum(reach) AS reach, arg_min(c_name, ordinal) AS c_first, arg_min(a_name, ordinal) AS a_first,
-              arg_min(r_name, ordinal) AS r_first, GROUPING(campaign_key, adset_key, creative_key) AS g
+              sum(clicks) AS clicks, sum(reach) AS reach,
+              arg_min(c_name, struct_pack(o := row_order, n := c_name)) AS c_first,
+              arg_min(a_name, struct_pack(o := row_order, n := a_name)) AS a_first,
+              arg_min(r_name, struct_pack(o := row_order, n := r_name)) AS r_first,
+              GROUPING(campaign_key, adset_key, creative_key) AS g
             FROM ads_k GROUP BY GROUPING SETS ((campaign_key), (campaign_key, adset_key), (campaign_key, adset_key, creative_key))""",
         "rollup": """SELECT CASE g WHEN 3 THEN 'campaign' WHEN 1 THEN 'adset' ELSE 'creative' END AS level, campaign_key,
               CASE WHEN g <= 1 THEN adset_key END AS adset_key, CASE WHEN g = 0 THEN creative_key END AS creative_key,

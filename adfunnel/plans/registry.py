@@ -40,8 +40,8 @@ _FLAT_COLS = (
 )
 
 
-def funnel(spark: SparkSession, sf_dir: str, config: C.FunnelConfig | None = None) -> Funnel:
-    return Funnel(FX.silver_tables(spark, sf_dir), config or FX.FIXTURE_CONFIG)
+def funnel(spark: SparkSession, sf_dir: str, config: C.FunnelConfig | None = None, materialize: bool = True) -> Funnel:
+    return Funnel(FX.silver_tables(spark, sf_dir), config or FX.FIXTURE_CONFIG, materialize=materialize)
 
 
 def _ord_cols(prefix: str = "ordinal") -> list:
@@ -297,7 +297,7 @@ def _ads_level_sql(keys: list[str]) -> str:
 
 def _ads_level(spark, sf, keys: list[str]) -> DataFrame:
     f = funnel(spark, sf)
-    k = RU.keyed_ads(f.ads_f, True, True, True)
+    k = RU.keyed_ads(f.ads_f, True, True, f.has_order)
     cond = F.lit(True)
     for c in keys:
         cond = cond & F.col(c).isNotNull()

@@ -8,7 +8,9 @@ DataFrame plan over the whole tables: its cost grows with the data.
 * campaign  = p_type + a suffix that decides which keyword filters it passes
 * ad set    = p_brand, creative = p_name
 * e-mail    = 'lead' || l_orderkey (one person per order)
-* ordinal   = a unique row-order key, used for "first spelling" semantics
+* ordinal   = a unique row identity (struct of lineitem fields)
+* row_order = l_orderkey * 8 + l_linenumber, the row position that decides
+  which spelling of a key is shown first (ties: least spelling)
 
 Two renderings exist: *silver* (typed, canonical column names) which the
 funnel consumes directly, and *bronze* (everything text, sheet-style headers,
@@ -66,6 +68,11 @@ def _ordinal() -> Column:
     ).alias("ordinal")
 
 
+def _row_order() -> Column:
+    """Source row position as one long (ties are broken by the spelling)."""
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_order")
+
+
 def _dec2(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)")
 
@@ -139,6 +146,7 @@ def silver_tables(spark: SparkSession, sf_dir: str, with_segments: bool = True)
     keys = [_campaign().alias("campaign"), F.col("p_brand").alias("adset"), F.col("p_name").alias("creative")]
     ads = b.select(
         _ordinal(),
+        _row_order(),
         F.col("l_shipdate").alias("date"),
         *keys,
         (_dec2("l_extendedprice") * _dec2("l_discount")).cast(MONEY).alias("spend"),
@@ -215,6 +223,7 @@ def bronze_tables(spark: SparkSession, sf_dir: str) -> FunnelTables:
     s = silver_tables(spark, sf_dir)
     ads = s.ads.select(
         "ordinal",
+        "row_order",
         render_date(F.col("date")).alias("Date"),
         render_key(F.col("campaign")).alias("Campaign Name"),
         render_key(F.col("adset")).alias("Ad Set Name"),
