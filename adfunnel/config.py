@@ -79,6 +79,10 @@ WHITESPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The same set as a string of characters, built from the rule itself
+# (every code point Python's str.isspace() accepts; all lie below U+3001).
+WHITESPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
 # Performance score: (metric, weight, lower_is_better), added in this order.
 SCORE_WEIGHTS: list[tuple[str, float, bool]] = [
     ("roas", 0.45, False),

@@ -30,15 +30,13 @@ def ads_totals(rollup: DataFrame) -> DataFrame:
     )
 
 
-def funnel_totals(emails: DataFrame) -> DataFrame:
-    """A6 + A7 from the per-e-mail summary: distinct e-mails per table,
-    independent of campaign matching, and the total revenue of the sales."""
-    known = F.col("email").isNotNull()
-    return emails.agg(
-        F.count(F.when(known & (F.col("is_lead") == 1), F.lit(1))).alias("total_leads"),
-        F.count(F.when(known & (F.col("has_appt") == 1), F.lit(1))).alias("total_appointments"),
-        F.count(F.when(known & (F.col("has_sale") == 1), F.lit(1))).alias("total_sales"),
-        F.coalesce(F.sum("revenue"), F.lit(0).cast(MONEY)).alias("revenue"),
+def funnel_totals(level_facts: DataFrame, totals_level: str) -> DataFrame:
+    """A6 + A7: the run-totals row carried by the level facts."""
+    return level_facts.where(F.col("level") == totals_level).select(
+        F.col("leads").alias("total_leads"),
+        F.col("appointments").alias("total_appointments"),
+        F.col("sales").alias("total_sales"),
+        "revenue",
     )
 
 

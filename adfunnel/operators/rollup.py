@@ -138,29 +138,51 @@ def lead_level_emails(leads_f: DataFrame) -> DataFrame:
     return rows.where(keep).distinct()
 
 
-def email_summary(leads_f: DataFrame, appts_f: DataFrame, sales_f: DataFrame, has_revenue: bool = True) -> DataFrame:
+def appt_pairs(appts_f: DataFrame, has_campaign: bool = True) -> DataFrame:
+    """Distinct (campaign_key, e-mail) of the filtered appointments."""
+    c = norm_key("campaign") if has_campaign else _null_str()
+    return appts_f.select(c.alias("campaign_key"), norm_key("email").alias("email")).distinct()
+
+
+def sale_pairs(sales_f: DataFrame, has_campaign: bool = True, has_revenue: bool = True) -> DataFrame:
+    """(campaign_key, e-mail) of the filtered sales with their summed revenue."""
+    c = norm_key("campaign") if has_campaign else _null_str()
+    rev = F.col("revenue").cast(MONEY) if has_revenue else F.lit(0).cast(MONEY)
+    return (
+        sales_f.select(c.alias("campaign_key"), norm_key("email").alias("email"), rev.alias("revenue"))
+        .groupBy("campaign_key", "email")
+        .agg(F.sum("revenue").alias("revenue"))
+    )
+
+
+def email_summary(level_emails: DataFrame, appts: DataFrame, sales: DataFrame) -> DataFrame:
     """One row per e-mail: lead?, booked?, bought?, total revenue over all its
-    sales (A8).  A single shuffle on e-mail serves both the attribution join
-    and the run totals (A6, A7).  Rows with a null e-mail keep one null group
-    so their revenue still counts in the total."""
+    sales (A8).  One shuffle on e-mail serves both the attribution join and
+    the run totals (A6, A7).  Every filtered lead has a campaign (the keyword
+    filter needs one), so the level rows list all lead e-mails.
+    Sales with a null e-mail keep one null group so their revenue still
+    counts in the total."""
     zero = F.lit(0).cast(MONEY)
-
-    def part(df: DataFrame, lead: int, appt: int, sale: int, rev) -> DataFrame:
-        return df.select(
-            norm_key("email").alias("email"),
-            F.lit(lead).alias("is_lead"),
-            F.lit(appt).alias("has_appt"),
-            F.lit(sale).alias("has_sale"),
-            rev.alias("revenue"),
+    # Every level row's e-mail also has a campaign-level row, so all rows give
+    # the same e-mail set; not filtering keeps the distinct's exchange
+    # identical to the attribution branch, so Spark reuses it.
+    leads = level_emails.select(
+        "email", F.lit(1).alias("is_lead"), F.lit(0).alias("has_appt"), F.lit(0).alias("has_sale"), zero.alias("revenue")
+    )
+    booked = appts.select(
+        "email", F.lit(0).alias("is_lead"), F.lit(1).alias("has_appt"), F.lit(0).alias("has_sale"), zero.alias("revenue")
+    )
+    bought = sales.select("email", F.lit(0).alias("is_lead"), F.lit(0).alias("has_appt"), F.lit(1).alias("has_sale"), "revenue")
+    return (
+        leads.unionByName(booked)
+        .unionByName(bought)
+        .groupBy("email")
+        .agg(
+            F.max("is_lead").alias("is_lead"),
+            F.max("has_appt").alias("has_appt"),
+            F.max("has_sale").alias("has_sale"),
+            F.sum("revenue").alias("revenue"),
         )
-
-    sale_rev = F.col("revenue").cast(MONEY) if has_revenue else zero
-    u = part(leads_f, 1, 0, 0, zero).unionByName(part(appts_f, 0, 1, 0, zero)).unionByName(part(sales_f, 0, 0, 1, sale_rev))
-    return u.groupBy("email").agg(
-        F.max("is_lead").alias("is_lead"),
-        F.max("has_appt").alias("has_appt"),
-        F.max("has_sale").alias("has_sale"),
-        F.sum("revenue").alias("revenue"),
     )
 
 
@@ -187,33 +209,44 @@ def lead_facts(level_emails: DataFrame, emails: DataFrame) -> DataFrame:
     )
 
 
-def appts_by_campaign(appts_f: DataFrame) -> DataFrame:
+def appts_by_campaign(pairs: DataFrame) -> DataFrame:
     """A10: distinct appointment e-mails by the appointment's own campaign."""
-    return (
-        appts_f.select(norm_key("campaign").alias("campaign_key"), norm_key("email").alias("email"))
-        .where(F.col("campaign_key").isNotNull())
-        .groupBy("campaign_key")
-        .agg(F.count_distinct("email").alias("appointments"))
+    return pairs.where(F.col("campaign_key").isNotNull()).groupBy("campaign_key").agg(
+        F.count("email").alias("appointments")
     )
 
 
-def sales_by_campaign(sales_f: DataFrame, has_revenue: bool = True) -> DataFrame:
+def sales_by_campaign(pairs: DataFrame) -> DataFrame:
     """Distinct buyers and summed revenue by the sale's own campaign (blank skipped)."""
-    rev = F.col("revenue").cast(MONEY) if has_revenue else F.lit(0).cast(MONEY)
     return (
-        sales_f.select(norm_key("campaign").alias("campaign_key"), norm_key("email").alias("email"), rev.alias("revenue"))
-        .where(F.coalesce(F.col("campaign_key") != "", F.lit(False)))
+        pairs.where(F.coalesce(F.col("campaign_key") != "", F.lit(False)))
         .groupBy("campaign_key")
-        .agg(F.count_distinct("email").alias("sales"), F.sum("revenue").alias("revenue"))
+        .agg(F.count("email").alias("sales"), F.sum("revenue").alias("revenue"))
     )
 
 
+TOTALS_LEVEL = "__totals__"
+
+
+def run_totals(emails: DataFrame) -> DataFrame:
+    """A6 + A7 as one row shaped like a facts row (level = TOTALS_LEVEL)."""
+    known = F.col("email").isNotNull()
+    return emails.agg(
+        F.count(F.when(known & (F.col("is_lead") == 1), F.lit(1))).alias("leads"),
+        F.count(F.when(known & (F.col("has_appt") == 1), F.lit(1))).alias("appointments"),
+        F.count(F.when(known & (F.col("has_sale") == 1), F.lit(1))).alias("sales"),
+        F.coalesce(F.sum("revenue"), F.lit(0).cast(MONEY)).alias("revenue"),
+    ).select(F.lit(TOTALS_LEVEL).alias("level"), _null_str().alias("campaign_key"), _null_str().alias("adset_key"),
+             _null_str().alias("creative_key"), "leads", "appointments", "sales", "revenue")
+
+
 def level_facts(
-    facts: DataFrame, appts_c: DataFrame | None, sales_c: DataFrame | None
+    facts: DataFrame, appts_c: DataFrame | None, sales_c: DataFrame | None, totals: DataFrame | None = None
 ) -> DataFrame:
     """Facts for every tree level.  Campaign rows take leads from the lead
     attribution but appointments / sales / revenue from the records' own
-    campaign (the two attribution models of the dashboard)."""
+    campaign (the two attribution models of the dashboard).  The run totals
+    ride along as one extra row so a single job (and checkpoint) yields both."""
     zero_m = F.lit(0).cast(MONEY)
     parts = [
         facts.where(F.col("level") == "campaign").select(
@@ -235,7 +268,10 @@ def level_facts(
     )
     camp = camp.select(F.lit("campaign").alias("level"), "campaign_key", _null_str().alias("adset_key"), _null_str().alias("creative_key"), "leads", "appointments", "sales", "revenue")
     children = facts.where(F.col("level") != "campaign").select("level", *KEYS, "leads", "appointments", "sales", "revenue")
-    return camp.unionByName(children)
+    out = camp.unionByName(children)
+    if totals is not None:
+        out = out.unionByName(totals)
+    return out
 
 
 def with_ratios(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ row).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -114,9 +115,17 @@ class Funnel:
     def level_emails(self) -> DataFrame:
         return RU.lead_level_emails(self.leads_f)
 
+    @cached_property
+    def appt_pairs(self) -> DataFrame:
+        return RU.appt_pairs(self.appts_f, self.res.has("appointments", "campaign"))
+
+    @cached_property
+    def sale_pairs(self) -> DataFrame:
+        return RU.sale_pairs(self.sales_f, self.res.has("sales", "campaign"), self.has_revenue)
+
     @cached_property
     def emails(self) -> DataFrame:
-        return self._pin(RU.email_summary(self.leads_f, self.appts_f, self.sales_f, self.has_revenue))
+        return RU.email_summary(self.level_emails, self.appt_pairs, self.sale_pairs)
 
     @cached_property
     def lead_facts(self) -> DataFrame:
@@ -124,18 +133,30 @@ class Funnel:
 
     @cached_property
     def appts_by_campaign(self) -> DataFrame | None:
-        return RU.appts_by_campaign(self.appts_f) if self.res.has("appointments", "campaign") else None
+        return RU.appts_by_campaign(self.appt_pairs) if self.res.has("appointments", "campaign") else None
 
     @cached_property
     def sales_by_campaign(self) -> DataFrame | None:
-        return RU.sales_by_campaign(self.sales_f, self.has_revenue) if self.res.has("sales", "campaign") else None
+        return RU.sales_by_campaign(self.sale_pairs) if self.res.has("sales", "campaign") else None
 
     @cached_property
     def level_facts(self) -> DataFrame:
-        return self._pin(RU.level_facts(self.lead_facts, self.appts_by_campaign, self.sales_by_campaign))
+        """Per-level facts plus the run-totals row; one job, one checkpoint."""
+        facts = RU.level_facts(self.lead_facts, self.appts_by_campaign, self.sales_by_campaign, RU.run_totals(self.emails))
+        return self._pin(facts)
+
+    def _prefetch(self, *names: str) -> None:
+        """Materialise independent intermediates concurrently (two Spark jobs
+        in flight share the cluster instead of running back to back)."""
+        todo = [n for n in names if n not in self.__dict__]
+        if not self.materialize or len(todo) < 2:
+            return
+        with ThreadPoolExecutor(max_workers=len(todo)) as pool:
+            list(pool.map(lambda n: getattr(self, n), todo))
 
     @cached_property
     def unscored_tree(self) -> DataFrame:
+        self._prefetch("rollup", "level_facts")
         return RU.tree_rows(self.rollup, self.level_facts)
 
     @cached_property
@@ -177,10 +198,11 @@ class Funnel:
 
     @cached_property
     def funnel_totals(self) -> DataFrame:
-        return M.funnel_totals(self.emails)
+        return M.funnel_totals(self.level_facts, RU.TOTALS_LEVEL)
 
     @cached_property
     def kpis(self) -> DataFrame:
+        self._prefetch("rollup", "level_facts")
         return M.kpis(self.ads_totals, self.funnel_totals, self.ads_present)
 
     @cached_property

@@ -355,8 +355,8 @@ def q_funnel_totals(spark, sf):
     _sql(f"SELECT {O.key('email')} AS email, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales_f WHERE {O.key('email')} IS NOT NULL GROUP BY 1"),
 )
 def q_revenue_by_email(spark, sf):
-    r = RU.revenue_by_email(funnel(spark, sf).sales_f)
-    return r.select("email", F.col("revenue").cast("double").alias("revenue"))
+    e = funnel(spark, sf).emails.where((F.col("has_sale") == 1) & F.col("email").isNotNull())
+    return e.select("email", F.col("revenue").cast("double").alias("revenue"))
 
 
 @register("leads_by_level", _sql("SELECT level, campaign_key, adset_key, creative_key, leads FROM lead_facts"))
@@ -727,6 +727,228 @@ def q_kpi_roas_class(spark, sf):
     return RL.kpi_roas_class(funnel(spark, sf).kpis)
 
 
+# ---------------------------------------------------------------------------
+# Text ingest: the all-text ("bronze") rendering parsed back
+# ---------------------------------------------------------------------------
+
+def _bronze_sql_ctes() -> str:
+    v = "l_linenumber % 4"
+    date = (
+        f"CASE WHEN {v} = 0 THEN strftime(date, '%Y-%m-%d') WHEN {v} = 1 THEN strftime(date, '%-d/%-m/%Y') "
+        f"WHEN {v} = 2 THEN strftime(date, '%d/%m/%Y %H:%M:%S') ELSE '''' || strftime(date, '%d-%m-%Y') || '''' END"
+    )
+    us = "format('{:,.4f}', CAST(spend AS DOUBLE))"
+    br = f"translate({us}, ',.', '.,')"
+    money = f"CASE WHEN {v} = 0 THEN replace({us}, ',', '') WHEN {v} = 1 THEN {us} WHEN {v} = 2 THEN {br} ELSE 'R$ ' || {br} END"
+
+    def k(x: str) -> str:
+        return f"CASE WHEN {v} = 0 THEN {x} WHEN {v} = 1 THEN upper({x}) WHEN {v} = 2 THEN '  ' || {x} || ' ' ELSE {x} || chr(9) END"
+
+    return (
+        f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {date} AS date_text, {k('campaign')} AS campaign_text, "
+        f"{k('adset')} AS adset_text, {k('creative')} AS creative_text, {money} AS spend_text, "
+        f"CAST(CAST(trunc(impressions) AS BIGINT) AS VARCHAR) AS impressions_text, CAST(CAST(trunc(clicks) AS BIGINT) AS VARCHAR) AS clicks_text, "
+        f"CAST(CAST(trunc(reach) AS BIGINT) AS VARCHAR) AS reach_text FROM f_ads"
+    )
+
+
+def _parse_date_sql(x: str) -> str:
+    cleaned = f"regexp_replace({O.strip(x)}, '^[''\"]+|[''\"]+$', '', 'g')"
+    return "coalesce(" + ", ".join(f"try_strptime({cleaned}, '{duck}')" for _, duck in C.DATE_FORMATS) + ")"
+
+
+def _number_sql(x: str, target: str) -> str:
+    kept = f"regexp_replace({x}, '[^0-9,.]', '', 'g')"
+    val = f"CASE WHEN regexp_matches({kept}, ',[^.]*$') THEN replace(replace({kept}, '.', ''), ',', '.') ELSE replace({kept}, ',', '') END"
+    return f"coalesce(TRY_CAST({val} AS {target}), CAST(0 AS {target}))"
+
+
+def _bronze_sql(body: str) -> str:
+    return _sql(f", bronze_ads AS ({_bronze_sql_ctes()})\n" + body)
+
+
+def _bronze_ads(spark, sf):
+    return FX.bronze_tables(spark, sf).ads
+
+
+@register(
+    "parse_dates",
+    _bronze_sql(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, date_text, {_parse_date_sql('date_text')} AS date FROM bronze_ads"),
+)
+def q_parse_dates(spark, sf):
+    b = _bronze_ads(spark, sf)
+    return b.select(*_ord_cols(), F.col("Date").alias("date_text"), parse_date(F.col("Date")).alias("date"))
+
+
+@register(
+    "parse_number",
+    _bronze_sql(
+        f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, spend_text, "
+        f"CAST({_number_sql('spend_text', 'DECIMAL(38,6)')} AS DOUBLE) AS spend, {_number_sql('spend_text', 'DOUBLE')} AS spend_number, "
+        f"{_number_sql('impressions_text', 'DOUBLE')} AS impressions FROM bronze_ads"
+    ),
+)
+def q_parse_number(spark, sf):
+    b = _bronze_ads(spark, sf)
+    s = F.col("`Spend (Cost, Amount Spent)`")
+    return b.select(
+        *_ord_cols(), s.alias("spend_text"), parse_money(s).cast("double").alias("spend"),
+        parse_number(s).alias("spend_number"), parse_number(F.col("Impressions")).alias("impressions"),
+    )
+
+
+@register(
+    "normalize_keys",
+    _bronze_sql(
+        f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {O.key('campaign_text')} AS campaign_key, "
+        f"{O.key('adset_text')} AS adset_key, {O.key('creative_text')} AS creative_key FROM bronze_ads"
+    ),
+)
+def q_normalize_keys(spark, sf):
+    b = _bronze_ads(spark, sf)
+    return b.select(
+        *_ord_cols(), norm_key(F.col("`Campaign Name`")).alias("campaign_key"),
+        norm_key(F.col("`Ad Set Name`")).alias("adset_key"), norm_key(F.col("`Ad Name`")).alias("creative_key"),
+    )
+
+
+@register(
+    "resolve_columns",
+    _bronze_sql(
+        f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_parse_date_sql('date_text')} AS date, campaign_text AS campaign, "
+        f"adset_text AS adset, creative_text AS creative, CAST({_number_sql('spend_text', 'DECIMAL(38,6)')} AS DOUBLE) AS spend, "
+        f"{_number_sql('impressions_text', 'DOUBLE')} AS impressions, {_number_sql('clicks_text', 'DOUBLE')} AS clicks, "
+        f"{_number_sql('reach_text', 'DOUBLE')} AS reach FROM bronze_ads"
+    ),
+)
+def q_resolve_columns(spark, sf):
+    """S2 + S4: sheet headers normalised, resolved by alias, then typed."""
+    b = IN.normalize_headers(_bronze_ads(spark, sf), keep=["ordinal", "row_order"])
+    silver, _ = IN.to_silver({"ads": b, "leads": b.limit(0), "appointments": b.limit(0), "sales": b.limit(0)}, keep=["ordinal"])
+    a = silver.ads
+    return a.select(
+        *_ord_cols(), "date", "campaign", "adset", "creative", F.col("spend").cast("double").alias("spend"),
+        "impressions", "clicks", "reach",
+    )
+
+
+@register(
+    "dedupe_columns",
+    _sql(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {O.key('email')} AS email, {O.key('campaign')} AS campaign_key FROM f_appts"),
+)
+def q_dedupe_columns(spark, sf):
+    """S3: a repeated header (' EMAIL ') and a blank one are dropped; the first wins."""
+    a = FX.bronze_tables(spark, sf).appointments
+    messy = a.select(
+        "ordinal", "Email", "utm_campaign", F.lit("junk@example.invalid").alias(" EMAIL "), F.lit("x").alias(" "),
+    )
+    n = IN.normalize_headers(messy, keep=["ordinal"])
+    return n.select(*_ord_cols(), norm_key("email").alias("email"), norm_key("utm_campaign").alias("campaign_key"))
+
+
+@register(
+    "load_raw",
+    _bronze_sql(
+        "SELECT 'ads' AS \"table\", count(*) AS \"rows\", CAST(sum(" + _number_sql("spend_text", "DECIMAL(38,6)") + ") AS DOUBLE) AS amount FROM bronze_ads "
+        "UNION ALL SELECT 'leads', count(*), 0.0 FROM f_leads UNION ALL SELECT 'appointments', count(*), 0.0 FROM f_appts "
+        "UNION ALL SELECT 'sales', count(*), CAST(sum(revenue) AS DOUBLE) FROM f_sales"
+    ),
+)
+def q_load_raw(spark, sf):
+    """The four raw text tables, headers normalised and typed."""
+    b = FX.bronze_tables(spark, sf)
+    raw = {n: IN.normalize_headers(d, keep=["ordinal"]) for n, d in b.as_dict().items()}
+    silver, _ = IN.to_silver(raw, keep=["ordinal"])
+    parts = []
+    for name, df in silver.as_dict().items():
+        amount = {"ads": F.sum("spend"), "sales": F.sum("revenue")}.get(name)
+        agg = df.agg(F.count(F.lit(1)).alias("rows"), (amount.cast("double") if amount is not None else F.lit(0.0)).alias("amount"))
+        parts.append(agg.select(F.lit(name).alias("table"), "rows", "amount"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("bronze_kpis", _sql("SELECT * FROM kpis"))
+def q_bronze_kpis(spark, sf):
+    """The whole funnel from the text tables: parsing is lossless, so the
+    KPIs equal those of the typed tables."""
+    b = FX.bronze_tables(spark, sf)
+    raw = {n: IN.normalize_headers(d, keep=["ordinal", "row_order"]) for n, d in b.as_dict().items()}
+    silver, res = IN.to_silver(raw)
+    return Funnel(silver, FX.FIXTURE_CONFIG, resolution=res, materialize=True).kpis
+
+
+@register(
+    "empty_payload",
+    "SELECT 0.0 AS total_spend, 0.0 AS total_revenue, 0.0 AS overall_roas, 0.0 AS overall_cpl, 0.0 AS overall_ctr, "
+    "CAST(0 AS BIGINT) AS total_leads, CAST(0 AS BIGINT) AS total_appointments, CAST(0 AS BIGINT) AS total_sales, "
+    "0.0 AS overall_cac, 0.0 AS lead_to_appt_rate, 0.0 AS appt_to_sale_rate, 0.0 AS overall_cpm, CAST(0 AS BIGINT) AS total_reach, "
+    "0.0 AS overall_frequency, 0.0 AS overall_connect_rate, 0.0 AS overall_page_cvr, CAST(0 AS BIGINT) AS tree_rows",
+)
+def q_empty_payload(spark, sf):
+    """Ads without a resolvable campaign column -> zero KPIs, empty tree."""
+    t = FX.silver_tables(spark, sf)
+    ads = t.ads.withColumnRenamed("campaign", "campaign_label")
+    f = Funnel(FX.FunnelTables(ads, t.leads, t.appointments, t.sales), FX.FIXTURE_CONFIG)
+    return f.kpis.crossJoin(f.tree.agg(F.count(F.lit(1)).alias("tree_rows")))
+
+
+# ---------------------------------------------------------------------------
+# Export and refresh (rows-only checks)
+# ---------------------------------------------------------------------------
+
+@register("performance_nested", None)
+def q_performance_nested(spark, sf):
+    """H1 nested export: campaigns with ad-set children with creative children."""
+    from ..operators.hierarchy import nested_export
+
+    return nested_export(funnel(spark, sf).tree)
+
+
+@register("payload_export", None)
+def q_payload_export(spark, sf):
+    """KPIs and date span as one JSON document row."""
+    f = funnel(spark, sf)
+    return f.kpis.crossJoin(f.date_span).select(F.to_json(F.struct("*")).alias("payload"))
+
+
+@register("refresh_stream", None)
+def q_refresh_stream(spark, sf):
+    """Stream the four stored tables through the refresh and return
+    the published tree (equals the batch tree)."""
+    from ..session import checkpoint_dir
+    from ..streaming.refresh import TABLES, latest_snapshot, start_refresh
+    import uuid
+
+    t = FX.silver_tables(spark, sf)
+    work = f"{checkpoint_dir(spark)}/refresh-{uuid.uuid4().hex[:8]}"
+    src = {n: f"{work}/source/{n}" for n in TABLES}
+    schemas = {}
+    for n, df in t.as_dict().items():
+        df.write.mode("overwrite").parquet(src[n])
+        schemas[n] = df.schema
+    for q in start_refresh(spark, src, schemas, work, FX.FIXTURE_CONFIG, available_now=True):
+        q.awaitTermination()
+    return spark.read.parquet(f"{latest_snapshot(spark, work)}/performance_tree")
+
+
+@register("freshness", None)
+def q_freshness(spark, sf):
+    """T4: health of the last refresh (one row)."""
+    from ..session import checkpoint_dir
+    from ..streaming.refresh import TABLES, freshness, publish_snapshot
+    import uuid
+
+    t = FX.silver_tables(spark, sf)
+    work = f"{checkpoint_dir(spark)}/fresh-{uuid.uuid4().hex[:8]}"
+    for n, df in t.as_dict().items():
+        df.write.mode("overwrite").parquet(f"{work}/stored/{n}")
+    publish_snapshot(spark, work, {n: d.schema for n, d in t.as_dict().items()}, FX.FIXTURE_CONFIG.resolved(), "batch")
+    return freshness(spark, work)
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in QUERIES.items()}
 
