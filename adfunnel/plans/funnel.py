@@ -61,6 +61,10 @@ class Funnel:
     def ads_f(self) -> DataFrame:
         ads = self.tables.ads
         if not self.ads_usable:
+            # empty payload: no rows, but the canonical columns exist
+            for c, t in (("campaign", "string"), ("adset", "string"), ("creative", "string"), ("date", "timestamp_ntz")):
+                if c not in ads.columns:
+                    ads = ads.withColumn(c, F.lit(None).cast(t))
             return ads.where(F.lit(False))
         return FL.filter_ads(ads, self.cfg, has_campaign=True)
 

@@ -52,7 +52,7 @@ def normalize_headers(df: DataFrame, keep: list[str] | None = None) -> DataFrame
     """Rename columns to their normalised header; drop blank headers and
     later duplicates (first occurrence wins).  Columns listed in ``keep``
     (e.g. a row-order key) pass through untouched."""
-    keep = keep or []
+    keep = [k for k in (keep or []) if k in df.columns]
     names = [c for c in df.columns if c not in keep]
     cols = [F.col(_quote(k)) for k in keep]
     cols += [F.col(_quote(names[i])).alias(n) for i, n in _first_wins(names) if n not in keep]

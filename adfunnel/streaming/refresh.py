@@ -18,6 +18,7 @@ recomputed from the stored tables in each micro-batch.
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,10 @@ from ..sources.fixtures import FunnelTables
 
 TABLES = ("ads", "leads", "appointments", "sales")
 
+# One refresh at a time per driver: the streams of the four tables call back
+# concurrently, and each refresh recomputes the whole payload anyway.
+_PUBLISH = threading.Lock()
+
 
 def _stored(spark: SparkSession, work_dir: str, name: str, schema) -> DataFrame:
     path = f"{work_dir}/stored/{name}"
@@ -40,20 +45,26 @@ def _stored(spark: SparkSession, work_dir: str, name: str, schema) -> DataFrame:
 
 
 def publish_snapshot(spark: SparkSession, work_dir: str, schemas: dict, config: FunnelConfig, source: str) -> str:
-    """Recompute every payload table from the stored tables and publish them."""
-    tables = FunnelTables(*[_stored(spark, work_dir, n, schemas[n]) for n in TABLES])
-    funnel = Funnel(tables, config)
-    snap = f"{work_dir}/snapshots/{dt.datetime.now(dt.timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:6]}"
-    for name, df in funnel.outputs().items():
-        df.write.mode("overwrite").parquet(f"{snap}/{name}")
-    log = spark.range(1).select(
-        F.current_timestamp().alias("last_sync"),
-        F.lit(snap).alias("snapshot"),
-        F.lit(source).alias("source"),
-        F.lit(False).alias("stale"),
-    )
-    log.write.mode("append").parquet(f"{work_dir}/refresh_log")
-    return snap
+    """Recompute every payload table from the stored tables and publish them.
+
+    The snapshot is written first; its log entry (its own folder, so no two
+    writers share an output directory) is written last and makes it visible.
+    """
+    with _PUBLISH:
+        tables = FunnelTables(*[_stored(spark, work_dir, n, schemas[n]) for n in TABLES])
+        funnel = Funnel(tables, config, materialize=True)
+        snap_id = f"{dt.datetime.now(dt.timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:6]}"
+        snap = f"{work_dir}/snapshots/{snap_id}"
+        for name, df in funnel.outputs().items():
+            df.write.mode("overwrite").parquet(f"{snap}/{name}")
+        log = spark.range(1).select(
+            F.current_timestamp().alias("last_sync"),
+            F.lit(snap).alias("snapshot"),
+            F.lit(source).alias("source"),
+            F.lit(False).alias("stale"),
+        )
+        log.coalesce(1).write.mode("overwrite").parquet(f"{work_dir}/refresh_log/{snap_id}")
+        return snap
 
 
 def start_refresh(
@@ -92,14 +103,14 @@ def start_refresh(
 
 
 def latest_snapshot(spark: SparkSession, work_dir: str) -> str | None:
-    log = spark.read.parquet(f"{work_dir}/refresh_log")
+    log = spark.read.parquet(f"{work_dir}/refresh_log/*")
     row = log.orderBy(F.col("last_sync").desc(), F.col("snapshot").desc()).select("snapshot").limit(1).collect()
     return row[0][0] if row else None
 
 
 def freshness(spark: SparkSession, work_dir: str, interval_seconds: int = DATA_REFRESH_SECONDS) -> DataFrame:
     """T4: last sync, its age and whether the published data is stale."""
-    log = spark.read.parquet(f"{work_dir}/refresh_log")
+    log = spark.read.parquet(f"{work_dir}/refresh_log/*")
     last = log.agg(F.max("last_sync").alias("last_sync"), F.count(F.lit(1)).alias("refreshes"))
     age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("last_sync")
     return last.select(
