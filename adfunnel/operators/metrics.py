@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import MONEY, norm_key, round2, safe_div
+from ..functions.clean import MONEY, round2, safe_div
 
 KPI_COLUMNS = [
     "total_spend", "total_revenue", "overall_roas", "overall_cpl", "overall_ctr",

@@ -139,9 +139,17 @@ def lead_level_emails(leads_f: DataFrame) -> DataFrame:
 
 
 def appt_pairs(appts_f: DataFrame, has_campaign: bool = True) -> DataFrame:
-    """Distinct (campaign_key, e-mail) of the filtered appointments."""
+    """Distinct (campaign_key, e-mail) of the filtered appointments.
+
+    Null e-mails are dropped here, once, so that every consumer sees the same
+    plan and Spark can reuse this shuffle instead of repeating it.
+    """
     c = norm_key("campaign") if has_campaign else _null_str()
-    return appts_f.select(c.alias("campaign_key"), norm_key("email").alias("email")).distinct()
+    return (
+        appts_f.select(c.alias("campaign_key"), norm_key("email").alias("email"))
+        .where(F.col("email").isNotNull())
+        .distinct()
+    )
 
 
 def sale_pairs(sales_f: DataFrame, has_campaign: bool = True, has_revenue: bool = True) -> DataFrame:
@@ -156,23 +164,22 @@ def sale_pairs(sales_f: DataFrame, has_campaign: bool = True, has_revenue: bool
 
 
 def email_summary(level_emails: DataFrame, appts: DataFrame, sales: DataFrame) -> DataFrame:
-    """One row per e-mail: lead?, booked?, bought?, total revenue over all its
-    sales (A8).  One shuffle on e-mail serves both the attribution join and
-    the run totals (A6, A7).  Every filtered lead has a campaign (the keyword
-    filter needs one), so the level rows list all lead e-mails.
-    Sales with a null e-mail keep one null group so their revenue still
-    counts in the total."""
+    """One row per (non-null) e-mail: lead?, booked?, bought?, total revenue
+    over all its sales (A8).  One shuffle on e-mail serves both the
+    attribution join and the run totals (A6, A7).  Every filtered lead has a
+    campaign (the keyword filter needs one), so the level rows list all lead
+    e-mails; taking all of them (not only campaign rows) keeps their
+    distinct's exchange identical to the attribution branch, so it is reused."""
     zero = F.lit(0).cast(MONEY)
-    # Every level row's e-mail also has a campaign-level row, so all rows give
-    # the same e-mail set; not filtering keeps the distinct's exchange
-    # identical to the attribution branch, so Spark reuses it.
     leads = level_emails.select(
         "email", F.lit(1).alias("is_lead"), F.lit(0).alias("has_appt"), F.lit(0).alias("has_sale"), zero.alias("revenue")
     )
     booked = appts.select(
         "email", F.lit(0).alias("is_lead"), F.lit(1).alias("has_appt"), F.lit(0).alias("has_sale"), zero.alias("revenue")
     )
-    bought = sales.select("email", F.lit(0).alias("is_lead"), F.lit(0).alias("has_appt"), F.lit(1).alias("has_sale"), "revenue")
+    bought = sales.where(F.col("email").isNotNull()).select(
+        "email", F.lit(0).alias("is_lead"), F.lit(0).alias("has_appt"), F.lit(1).alias("has_sale"), "revenue"
+    )
     return (
         leads.unionByName(booked)
         .unionByName(bought)
@@ -199,7 +206,7 @@ def revenue_by_email(sales_f: DataFrame) -> DataFrame:
 def lead_facts(level_emails: DataFrame, emails: DataFrame) -> DataFrame:
     """A9 + J4-J6: per (level, keys): distinct leads, how many of them booked,
     bought, and the total revenue of the buyers (each e-mail counted once)."""
-    outcomes = emails.where(F.col("email").isNotNull()).select("email", "has_appt", "has_sale", "revenue")
+    outcomes = emails.select("email", "has_appt", "has_sale", "revenue")
     j = level_emails.join(outcomes, "email", "left")
     return j.groupBy("level", *KEYS).agg(
         F.count(F.lit(1)).alias("leads"),
@@ -210,34 +217,40 @@ def lead_facts(level_emails: DataFrame, emails: DataFrame) -> DataFrame:
 
 
 def appts_by_campaign(pairs: DataFrame) -> DataFrame:
-    """A10: distinct appointment e-mails by the appointment's own campaign."""
-    return pairs.where(F.col("campaign_key").isNotNull()).groupBy("campaign_key").agg(
-        F.count("email").alias("appointments")
-    )
+    """A10: distinct appointment e-mails by the appointment's own campaign
+    (blank campaigns were already removed by F5)."""
+    return pairs.groupBy("campaign_key").agg(F.count("email").alias("appointments"))
 
 
-def sales_by_campaign(pairs: DataFrame) -> DataFrame:
-    """Distinct buyers and summed revenue by the sale's own campaign (blank skipped)."""
-    return (
-        pairs.where(F.coalesce(F.col("campaign_key") != "", F.lit(False)))
-        .groupBy("campaign_key")
-        .agg(F.count("email").alias("sales"), F.sum("revenue").alias("revenue"))
-    )
+def sales_by_campaign(pairs: DataFrame, skip_blank: bool = True) -> DataFrame:
+    """Distinct buyers and summed revenue by the sale's own campaign.
+
+    Blank campaigns are skipped in the output; inside the tree the blank
+    group is harmless (no ads campaign is blank: F1 needs the keyword) and
+    keeping it lets the pair shuffle be shared.
+    """
+    out = pairs.groupBy("campaign_key").agg(F.count("email").alias("sales"), F.sum("revenue").alias("revenue"))
+    if skip_blank:
+        out = out.where(F.coalesce(F.col("campaign_key") != "", F.lit(False)))
+    return out
 
 
 TOTALS_LEVEL = "__totals__"
 
 
-def run_totals(emails: DataFrame) -> DataFrame:
-    """A6 + A7 as one row shaped like a facts row (level = TOTALS_LEVEL)."""
-    known = F.col("email").isNotNull()
-    return emails.agg(
-        F.count(F.when(known & (F.col("is_lead") == 1), F.lit(1))).alias("leads"),
-        F.count(F.when(known & (F.col("has_appt") == 1), F.lit(1))).alias("appointments"),
-        F.count(F.when(known & (F.col("has_sale") == 1), F.lit(1))).alias("sales"),
-        F.coalesce(F.sum("revenue"), F.lit(0).cast(MONEY)).alias("revenue"),
-    ).select(F.lit(TOTALS_LEVEL).alias("level"), _null_str().alias("campaign_key"), _null_str().alias("adset_key"),
-             _null_str().alias("creative_key"), "leads", "appointments", "sales", "revenue")
+def run_totals(emails: DataFrame, sales: DataFrame) -> DataFrame:
+    """A6 + A7 as one row shaped like a facts row (level = TOTALS_LEVEL).
+    Revenue comes from the sale pairs, so sales without an e-mail count too."""
+    counts = emails.agg(
+        F.count(F.when(F.col("is_lead") == 1, F.lit(1))).alias("leads"),
+        F.count(F.when(F.col("has_appt") == 1, F.lit(1))).alias("appointments"),
+        F.count(F.when(F.col("has_sale") == 1, F.lit(1))).alias("sales"),
+    )
+    revenue = sales.agg(F.coalesce(F.sum("revenue"), F.lit(0).cast(MONEY)).alias("revenue"))
+    return counts.crossJoin(revenue).select(
+        F.lit(TOTALS_LEVEL).alias("level"), _null_str().alias("campaign_key"), _null_str().alias("adset_key"),
+        _null_str().alias("creative_key"), "leads", "appointments", "sales", "revenue",
+    )
 
 
 def level_facts(

@@ -10,6 +10,7 @@ row).
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
@@ -50,6 +51,11 @@ class Funnel:
         tables instead of re-planning the scans and joins of the raw data."""
         self.cfg = (config or FunnelConfig()).resolved()
         self.materialize = materialize
+        self._run_id = uuid.uuid4().hex[:12]
+        self._pinned: list[str] = []
+        # views read by several outputs are stored only when many outputs
+        # are produced in one run (collect_outputs)
+        self._pin_shared = False
         self.tables = tables
         self.res = resolution or _all_present(tables)
         self.has_order = "row_order" in tables.ads.columns
@@ -102,11 +108,18 @@ class Funnel:
         return self.res.has("sales", "revenue")
 
     # ---- aggregation core -------------------------------------------------
-    def _pin(self, df: DataFrame) -> DataFrame:
-        if not self.materialize:
+    def _pin(self, df: DataFrame, shared: bool = False) -> DataFrame:
+        """Write ``df`` as a Parquet table in the shared checkpoint folder and
+        read it back: one job, lineage cut, and the read-back carries file
+        statistics the planner can use.  (An eager ``checkpoint()`` of an
+        uncached plan runs it twice: once for the action, once to write.)"""
+        if not self.materialize or (shared and not self._pin_shared):
             return df
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        spark = df.sparkSession
+        path = f"{checkpoint_dir(spark)}/funnel-{self._run_id}/{uuid.uuid4().hex[:8]}"
+        df.write.mode("overwrite").parquet(path)
+        self._pinned.append(path)
+        return spark.read.parquet(path)
 
     @cached_property
     def rollup(self) -> DataFrame:
@@ -143,10 +156,15 @@ class Funnel:
     def sales_by_campaign(self) -> DataFrame | None:
         return RU.sales_by_campaign(self.sale_pairs) if self.res.has("sales", "campaign") else None
 
+    @cached_property
+    def _sales_for_tree(self) -> DataFrame | None:
+        return RU.sales_by_campaign(self.sale_pairs, skip_blank=False) if self.res.has("sales", "campaign") else None
+
     @cached_property
     def level_facts(self) -> DataFrame:
         """Per-level facts plus the run-totals row; one job, one checkpoint."""
-        facts = RU.level_facts(self.lead_facts, self.appts_by_campaign, self.sales_by_campaign, RU.run_totals(self.emails))
+        totals = RU.run_totals(self.emails, self.sale_pairs)
+        facts = RU.level_facts(self.lead_facts, self.appts_by_campaign, self._sales_for_tree, totals)
         return self._pin(facts)
 
     def _prefetch(self, *names: str) -> None:
@@ -175,15 +193,15 @@ class Funnel:
     # ---- consolidated views (H3) -------------------------------------------
     @cached_property
     def campaigns_flat(self) -> DataFrame:
-        return H.consolidate(self.tree, "campaign")
+        return self._pin(H.consolidate(self.tree, "campaign"), shared=True)
 
     @cached_property
     def adsets_flat(self) -> DataFrame:
-        return H.consolidate(self.tree, "adset")
+        return self._pin(H.consolidate(self.tree, "adset"), shared=True)
 
     @cached_property
     def creatives_flat(self) -> DataFrame:
-        return H.consolidate(self.tree, "creative")
+        return self._pin(H.consolidate(self.tree, "creative"), shared=True)
 
     def level_view(self, level: str = "all") -> DataFrame:
         """the consolidated table of one level, or the tree for 'all'."""
@@ -257,6 +275,15 @@ class Funnel:
             self.__dict__[name] = getattr(self, name).persist()
         return self
 
+    def collect_outputs(self, workers: int = 4) -> dict[str, list]:
+        """Materialise the whole payload, running independent outputs as
+        concurrent jobs (they share the stored intermediates)."""
+        self._pin_shared = self.materialize
+        outs = self.outputs()
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            rows = list(pool.map(lambda df: df.collect(), outs.values()))
+        return dict(zip(outs, rows))
+
     def outputs(self) -> dict[str, DataFrame]:
         """The payload as named tables."""
         return {

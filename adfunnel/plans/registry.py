@@ -232,6 +232,23 @@ def q_bottom_creatives(spark, sf):
     return funnel(spark, sf).bottom_creatives.select("rank", *_cols(_RANK_COLS))
 
 
+@register(
+    "rankings",
+    _sql(
+        f"SELECT 'top' AS list, * FROM (SELECT CAST(row_number() OVER (ORDER BY performance_score DESC, first_campaign_key, first_adset_key, first_creative_key) AS INTEGER) AS rank, "
+        f"{_RANK_COLS} FROM cons_creative WHERE depth = 0 ORDER BY rank LIMIT {C.RANKING_SIZE}) "
+        f"UNION ALL SELECT 'bottom', * FROM (SELECT CAST(row_number() OVER (ORDER BY performance_score ASC, first_campaign_key DESC, first_adset_key DESC, first_creative_key DESC) AS INTEGER) AS rank, "
+        f"{_RANK_COLS} FROM cons_creative WHERE depth = 0 ORDER BY rank LIMIT {C.RANKING_SIZE})"
+    ),
+)
+def q_rankings(spark, sf):
+    """Both ranked lists with the position shown next to each name."""
+    f = funnel(spark, sf)
+    top = f.top_creatives.select(F.lit("top").alias("list"), "rank", *_cols(_RANK_COLS))
+    bottom = f.bottom_creatives.select(F.lit("bottom").alias("list"), "rank", *_cols(_RANK_COLS))
+    return top.unionByName(bottom)
+
+
 def _tree_sorted_sql() -> str:
     return _sql(
         f"""SELECT t.level, t.id, t.spend, c.spend AS sort0,
@@ -870,6 +887,56 @@ def q_load_raw(spark, sf):
     return out
 
 
+_LEADS_HEADERS = ["data_padrão", "qual_é_o_e-mail_você_mais_utiliza?", "utm_campaign", "utm_medium", "utm_content"]
+
+
+def _bronze_leads_sql() -> str:
+    v = "l_linenumber % 4"
+    date = (
+        f"CASE WHEN {v} = 0 THEN strftime(date, '%Y-%m-%d') WHEN {v} = 1 THEN strftime(date, '%-d/%-m/%Y') "
+        f"WHEN {v} = 2 THEN strftime(date, '%d/%m/%Y %H:%M:%S') ELSE chr(39) || strftime(date, '%d-%m-%Y') || chr(39) END"
+    )
+
+    def k(x: str) -> str:
+        return f"CASE WHEN {v} = 0 THEN {x} WHEN {v} = 1 THEN upper({x}) WHEN {v} = 2 THEN '  ' || {x} || ' ' ELSE {x} || chr(9) END"
+
+    return (
+        f'SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {date} AS "data_padrão", '
+        f'{k("email")} AS "qual_é_o_e-mail_você_mais_utiliza?", '
+        f"{k('campaign')} AS utm_campaign, {k('adset')} AS utm_medium, {k('creative')} AS utm_content FROM f_leads"
+    )
+
+
+@register("normalize_headers", _sql(f", bronze_leads AS ({_bronze_leads_sql()})\nSELECT * FROM bronze_leads"))
+def q_normalize_headers(spark, sf):
+    """Sheet headers stripped, lower-cased, spaces -> '_' (values untouched)."""
+    n = IN.normalize_headers(FX.bronze_tables(spark, sf).leads, keep=["ordinal"])
+    return n.select(*_ord_cols(), *[F.col(f"`{h}`") for h in _LEADS_HEADERS])
+
+
+def _date_audit_sql() -> str:
+    col = '"data_padrão"'
+    raw = f"regexp_replace({O.strip(col)}, '^[''\"]+|[''\"]+$', '', 'g')"
+    keyword = f"coalesce(contains(upper(utm_campaign), '{FX.FIXTURE_CONFIG.leads_keyword}'), false)"
+    order = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+    return _sql(
+        f", bronze_leads AS ({_bronze_leads_sql()}), "
+        f"failing AS (SELECT {order}, {raw} AS raw FROM bronze_leads WHERE {keyword} AND {_parse_date_sql(col)} IS NULL)\n"
+        f"SELECT (SELECT count(*) FROM failing) AS null_dates, "
+        f"(SELECT coalesce(list(raw ORDER BY {order}), []) FROM (SELECT * FROM failing ORDER BY {order} LIMIT 5)) AS failing_samples"
+    )
+
+
+@register("date_audit", _date_audit_sql())
+def q_date_audit(spark, sf):
+    """Unparsable lead dates after the keyword filter, with the first
+    five failing raw texts (row order)."""
+    b = IN.normalize_headers(FX.bronze_tables(spark, sf).leads, keep=["ordinal"])
+    b = b.withColumn("campaign", F.col("utm_campaign"))
+    out = Q.date_audit(b, "data_padrão", FX.FIXTURE_CONFIG)
+    return out.select(F.col("null_dates").cast("long").alias("null_dates"), "failing_samples")
+
+
 @register("bronze_kpis", _sql("SELECT * FROM kpis"))
 def q_bronze_kpis(spark, sf):
     """The whole funnel from the text tables: parsing is lossless, so the

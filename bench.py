@@ -53,8 +53,7 @@ def _timed(fn) -> float:
 
 def refresh(spark, sf_dir: str) -> None:
     f = Funnel(silver_tables(spark, sf_dir), FIXTURE_CONFIG, materialize=True)
-    for df in f.outputs().values():
-        df.collect()
+    f.collect_outputs()
 
 
 def main() -> None:
