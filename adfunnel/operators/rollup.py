@@ -119,21 +119,32 @@ def ads_rollup(ads_k: DataFrame, has_adset: bool, has_creative: bool) -> DataFra
     return out.where(own_key_present).drop("_gid")
 
 
+TOTALS_LEVEL = "__totals__"
+
+
 def lead_level_emails(leads_f: DataFrame) -> DataFrame:
-    """A9 input: distinct (level, keys, e-mail); a level needs all its keys non-blank."""
+    """A9 input: distinct (level, keys, e-mail); a level needs all its keys
+    non-blank.  One extra level (TOTALS_LEVEL, no keys) lists every lead
+    e-mail once, so the run's distinct lead count comes out of the same
+    aggregate instead of a second pass over the leads."""
     c, a, r = norm_key("campaign"), norm_key("adset"), norm_key("creative")
+    none = _null_str()
     levels = F.array(
-        F.struct(F.lit("campaign").alias("level"), c.alias("campaign_key"), _null_str().alias("adset_key"), _null_str().alias("creative_key")),
-        F.struct(F.lit("adset").alias("level"), c.alias("campaign_key"), a.alias("adset_key"), _null_str().alias("creative_key")),
+        F.struct(F.lit("campaign").alias("level"), c.alias("campaign_key"), none.alias("adset_key"), none.alias("creative_key")),
+        F.struct(F.lit("adset").alias("level"), c.alias("campaign_key"), a.alias("adset_key"), none.alias("creative_key")),
         F.struct(F.lit("creative").alias("level"), c.alias("campaign_key"), a.alias("adset_key"), r.alias("creative_key")),
+        F.struct(F.lit(TOTALS_LEVEL).alias("level"), none.alias("campaign_key"), none.alias("adset_key"), none.alias("creative_key")),
     )
     rows = leads_f.select(norm_key("email").alias("email"), F.explode(levels).alias("k")).select("email", "k.*")
     nonblank = lambda col: F.coalesce(F.col(col) != "", F.lit(False))
-    keep = (
-        F.col("email").isNotNull()
-        & nonblank("campaign_key")
-        & ((F.col("level") == "campaign") | nonblank("adset_key"))
-        & ((F.col("level") != "creative") | nonblank("creative_key"))
+    level = F.col("level")
+    keep = F.col("email").isNotNull() & (
+        (level == TOTALS_LEVEL)
+        | (
+            nonblank("campaign_key")
+            & ((level == "campaign") | nonblank("adset_key"))
+            & ((level != "creative") | nonblank("creative_key"))
+        )
     )
     return rows.where(keep).distinct()
 
@@ -163,29 +174,18 @@ def sale_pairs(sales_f: DataFrame, has_campaign: bool = True, has_revenue: bool
     )
 
 
-def email_summary(level_emails: DataFrame, appts: DataFrame, sales: DataFrame) -> DataFrame:
-    """One row per (non-null) e-mail: lead?, booked?, bought?, total revenue
-    over all its sales (A8).  One shuffle on e-mail serves both the
-    attribution join and the run totals (A6, A7).  Every filtered lead has a
-    campaign (the keyword filter needs one), so the level rows list all lead
-    e-mails; taking all of them (not only campaign rows) keeps their
-    distinct's exchange identical to the attribution branch, so it is reused."""
+def email_summary(appts: DataFrame, sales: DataFrame) -> DataFrame:
+    """One row per e-mail: booked?, bought?, total revenue over all its sales
+    (A8).  One shuffle on e-mail serves the attribution join and the run
+    totals.  Sales without an e-mail keep one null group so their revenue
+    still counts in the total (the join never matches it)."""
     zero = F.lit(0).cast(MONEY)
-    leads = level_emails.select(
-        "email", F.lit(1).alias("is_lead"), F.lit(0).alias("has_appt"), F.lit(0).alias("has_sale"), zero.alias("revenue")
-    )
-    booked = appts.select(
-        "email", F.lit(0).alias("is_lead"), F.lit(1).alias("has_appt"), F.lit(0).alias("has_sale"), zero.alias("revenue")
-    )
-    bought = sales.where(F.col("email").isNotNull()).select(
-        "email", F.lit(0).alias("is_lead"), F.lit(0).alias("has_appt"), F.lit(1).alias("has_sale"), "revenue"
-    )
+    booked = appts.select("email", F.lit(1).alias("has_appt"), F.lit(0).alias("has_sale"), zero.alias("revenue"))
+    bought = sales.select("email", F.lit(0).alias("has_appt"), F.lit(1).alias("has_sale"), "revenue")
     return (
-        leads.unionByName(booked)
-        .unionByName(bought)
+        booked.unionByName(bought)
         .groupBy("email")
         .agg(
-            F.max("is_lead").alias("is_lead"),
             F.max("has_appt").alias("has_appt"),
             F.max("has_sale").alias("has_sale"),
             F.sum("revenue").alias("revenue"),
@@ -235,56 +235,71 @@ def sales_by_campaign(pairs: DataFrame, skip_blank: bool = True) -> DataFrame:
     return out
 
 
-TOTALS_LEVEL = "__totals__"
-
-
-def run_totals(emails: DataFrame, sales: DataFrame) -> DataFrame:
-    """A6 + A7 as one row shaped like a facts row (level = TOTALS_LEVEL).
-    Revenue comes from the sale pairs, so sales without an e-mail count too."""
-    counts = emails.agg(
-        F.count(F.when(F.col("is_lead") == 1, F.lit(1))).alias("leads"),
-        F.count(F.when(F.col("has_appt") == 1, F.lit(1))).alias("appointments"),
-        F.count(F.when(F.col("has_sale") == 1, F.lit(1))).alias("sales"),
-    )
-    revenue = sales.agg(F.coalesce(F.sum("revenue"), F.lit(0).cast(MONEY)).alias("revenue"))
-    return counts.crossJoin(revenue).select(
-        F.lit(TOTALS_LEVEL).alias("level"), _null_str().alias("campaign_key"), _null_str().alias("adset_key"),
-        _null_str().alias("creative_key"), "leads", "appointments", "sales", "revenue",
-    )
-
-
-def level_facts(
-    facts: DataFrame, appts_c: DataFrame | None, sales_c: DataFrame | None, totals: DataFrame | None = None
-) -> DataFrame:
-    """Facts for every tree level.  Campaign rows take leads from the lead
-    attribution but appointments / sales / revenue from the records' own
-    campaign (the two attribution models of the dashboard).  The run totals
-    ride along as one extra row so a single job (and checkpoint) yields both."""
+def own_facts(appts_c: DataFrame | None, sales_c: DataFrame | None, emails: DataFrame) -> DataFrame:
+    """Facts counted on the records' own campaign (A10, A11), plus the run
+    totals (A6, A7) as the TOTALS_LEVEL row: appointments, sales, revenue."""
     zero_m = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast("long")
+    known = F.col("email").isNotNull()
     parts = [
-        facts.where(F.col("level") == "campaign").select(
-            "campaign_key", "leads", F.lit(0).cast("long").alias("appointments"), F.lit(0).cast("long").alias("sales"), zero_m.alias("revenue")
-        )
+        emails.agg(
+            F.count(F.when(known & (F.col("has_appt") == 1), F.lit(1))).alias("appointments"),
+            F.count(F.when(known & (F.col("has_sale") == 1), F.lit(1))).alias("sales"),
+            F.coalesce(F.sum("revenue"), zero_m).alias("revenue"),
+        ).select(F.lit(TOTALS_LEVEL).alias("level"), _null_str().alias("campaign_key"), "appointments", "sales", "revenue")
     ]
     if appts_c is not None:
-        parts.append(appts_c.select("campaign_key", F.lit(0).cast("long").alias("leads"), "appointments", F.lit(0).cast("long").alias("sales"), zero_m.alias("revenue")))
+        parts.append(appts_c.select(F.lit("campaign").alias("level"), "campaign_key", "appointments", zero.alias("sales"), zero_m.alias("revenue")))
     if sales_c is not None:
-        parts.append(sales_c.select("campaign_key", F.lit(0).cast("long").alias("leads"), F.lit(0).cast("long").alias("appointments"), "sales", "revenue"))
-    camp = parts[0]
+        parts.append(sales_c.select(F.lit("campaign").alias("level"), "campaign_key", zero.alias("appointments"), "sales", "revenue"))
+    out = parts[0]
     for p in parts[1:]:
-        camp = camp.unionByName(p)
-    camp = camp.groupBy("campaign_key").agg(
-        F.sum("leads").alias("leads"),
-        F.sum("appointments").alias("appointments"),
-        F.sum("sales").alias("sales"),
-        F.sum("revenue").alias("revenue"),
+        out = out.unionByName(p)
+    return out.groupBy("level", "campaign_key").agg(
+        F.sum("appointments").alias("appointments"), F.sum("sales").alias("sales"), F.sum("revenue").alias("revenue")
+    )
+
+
+def level_facts(lead_facts_all: DataFrame, own: DataFrame) -> DataFrame:
+    """Facts for every tree level plus the run-totals row.
+
+    Campaign rows take leads from the lead attribution but appointments /
+    sales / revenue from the records' own campaign (the two attribution
+    models of the dashboard); ad set and creative rows take everything from
+    the lead attribution.  One full outer join on all keys merges the two
+    sources: no branch filters a level out of the lead facts, so Spark never
+    pushes a level predicate down and computes the lead side once.
+    """
+    lf = lead_facts_all.alias("lf")
+    ow = own.select(
+        F.col("level").alias("o_level"), F.col("campaign_key").alias("o_campaign_key"),
+        _null_str().alias("o_adset_key"), _null_str().alias("o_creative_key"),
+        F.col("appointments").alias("o_appointments"), F.col("sales").alias("o_sales"), F.col("revenue").alias("o_revenue"),
+    )
+    cond = (
+        (F.col("lf.level") == F.col("o_level"))
+        & F.col("lf.campaign_key").eqNullSafe(F.col("o_campaign_key"))
+        & F.col("lf.adset_key").eqNullSafe(F.col("o_adset_key"))
+        & F.col("lf.creative_key").eqNullSafe(F.col("o_creative_key"))
+    )
+    j = lf.join(ow, cond, "full_outer")
+    level = F.coalesce(F.col("lf.level"), F.col("o_level"))
+    own_side = level.isin("campaign", TOTALS_LEVEL)
+    zero = F.lit(0).cast("long")
+
+    def pick(name: str, zero_value: Column) -> Column:
+        return F.when(own_side, F.coalesce(F.col(f"o_{name}"), zero_value)).otherwise(F.coalesce(F.col(f"lf.{name}"), zero_value))
+
+    return j.select(
+        level.alias("level"),
+        F.coalesce(F.col("lf.campaign_key"), F.col("o_campaign_key")).alias("campaign_key"),
+        F.col("lf.adset_key").alias("adset_key"),
+        F.col("lf.creative_key").alias("creative_key"),
+        F.coalesce(F.col("lf.leads"), zero).alias("leads"),
+        pick("appointments", zero).alias("appointments"),
+        pick("sales", zero).alias("sales"),
+        pick("revenue", F.lit(0).cast(MONEY)).alias("revenue"),
     )
-    camp = camp.select(F.lit("campaign").alias("level"), "campaign_key", _null_str().alias("adset_key"), _null_str().alias("creative_key"), "leads", "appointments", "sales", "revenue")
-    children = facts.where(F.col("level") != "campaign").select("level", *KEYS, "leads", "appointments", "sales", "revenue")
-    out = camp.unionByName(children)
-    if totals is not None:
-        out = out.unionByName(totals)
-    return out
 
 
 def with_ratios(df: DataFrame) -> DataFrame:

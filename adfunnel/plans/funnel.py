@@ -142,12 +142,17 @@ class Funnel:
 
     @cached_property
     def emails(self) -> DataFrame:
-        return RU.email_summary(self.level_emails, self.appt_pairs, self.sale_pairs)
+        return RU.email_summary(self.appt_pairs, self.sale_pairs)
 
     @cached_property
-    def lead_facts(self) -> DataFrame:
+    def lead_facts_all(self) -> DataFrame:
+        """Lead attribution per level, plus the run's distinct-lead row."""
         return RU.lead_facts(self.level_emails, self.emails)
 
+    @cached_property
+    def lead_facts(self) -> DataFrame:
+        return self.lead_facts_all.where(F.col("level") != RU.TOTALS_LEVEL)
+
     @cached_property
     def appts_by_campaign(self) -> DataFrame | None:
         return RU.appts_by_campaign(self.appt_pairs) if self.res.has("appointments", "campaign") else None
@@ -156,16 +161,12 @@ class Funnel:
     def sales_by_campaign(self) -> DataFrame | None:
         return RU.sales_by_campaign(self.sale_pairs) if self.res.has("sales", "campaign") else None
 
-    @cached_property
-    def _sales_for_tree(self) -> DataFrame | None:
-        return RU.sales_by_campaign(self.sale_pairs, skip_blank=False) if self.res.has("sales", "campaign") else None
-
     @cached_property
     def level_facts(self) -> DataFrame:
-        """Per-level facts plus the run-totals row; one job, one checkpoint."""
-        totals = RU.run_totals(self.emails, self.sale_pairs)
-        facts = RU.level_facts(self.lead_facts, self.appts_by_campaign, self._sales_for_tree, totals)
-        return self._pin(facts)
+        """Per-level facts plus the run-totals row; one job, one stored table."""
+        sales_c = RU.sales_by_campaign(self.sale_pairs, skip_blank=False) if self.res.has("sales", "campaign") else None
+        own = RU.own_facts(self.appts_by_campaign, sales_c, self.emails)
+        return self._pin(RU.level_facts(self.lead_facts_all, own))
 
     def _prefetch(self, *names: str) -> None:
         """Materialise independent intermediates concurrently (two Spark jobs
