@@ -18,15 +18,13 @@ from .scoring import score
 
 def performance_tree(unscored: DataFrame) -> DataFrame:
     """H1 + M3 + M4: creatives scored as one pool, campaigns as another;
-    ad sets carry no score."""
-    creatives = score(unscored.where(F.col("level") == "creative"))
-    campaigns = score(unscored.where(F.col("level") == "campaign"))
-    adsets = unscored.where(F.col("level") == "adset").select(
-        "*",
-        F.lit(None).cast("int").alias("performance_score"),
-        F.lit(None).cast("string").alias("score_band"),
-    )
-    return campaigns.unionByName(adsets).unionByName(creatives)
+    ad sets carry no score.  The pool key is the level (three values, so the
+    pool statistics are broadcast): one aggregate and one join for the tree."""
+    scored = score(unscored, ["level"], bounded_pool=True)
+    is_adset = F.col("level") == "adset"
+    return scored.withColumn(
+        "performance_score", F.when(is_adset, F.lit(None).cast("int")).otherwise(F.col("performance_score"))
+    ).withColumn("score_band", F.when(is_adset, F.lit(None).cast("string")).otherwise(F.col("score_band")))
 
 
 # name columns that spell the path of a tree row below a given root level

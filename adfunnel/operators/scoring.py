@@ -35,12 +35,15 @@ def normalised(x: Column, mn: Column, mx: Column, invert: bool) -> Column:
     return F.when(mx == mn, F.lit(0.5)).otherwise(norm)
 
 
-def score(df: DataFrame, pool: list[str] | tuple = (), weights=None) -> DataFrame:
+def score(df: DataFrame, pool: list[str] | tuple = (), weights=None, bounded_pool: bool = False) -> DataFrame:
     """Add ``performance_score`` (int 0-100) and ``score_band``.
 
     A metric takes part only if its pool sum is positive (all metrics are
     non-negative, so that is ``max > 0``); weights are not re-scaled.
     Terms are added in the order of ``weights`` starting from 0.0.
+
+    ``bounded_pool=True`` declares that the pool keys take a handful of
+    values (e.g. the three tree levels), so the statistics are broadcast.
     """
     weights = list(weights or SCORE_WEIGHTS)
     pool = list(pool)
@@ -49,7 +52,7 @@ def score(df: DataFrame, pool: list[str] | tuple = (), weights=None) -> DataFram
         aggs += [F.min(metric).alias(f"_mn_{metric}"), F.max(metric).alias(f"_mx_{metric}")]
     if pool:
         stats = df.groupBy(*pool).agg(*aggs)
-        joined = df.join(stats, pool, "left")
+        joined = df.join(F.broadcast(stats) if bounded_pool else stats, pool, "left")
     else:
         stats = df.agg(*aggs)
         joined = df.crossJoin(F.broadcast(stats))
