@@ -187,13 +187,18 @@ def store_silver(spark: SparkSession, sf_dir: str) -> FunnelTables:
 
     root = f"{checkpoint_dir(spark)}/silver-{_input_fingerprint(sf_dir)}"
     names = ("ads", "leads", "appointments", "sales")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_COMPLETE")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    marker = f"{root}/complete-marker"
+    try:
+        done = spark.read.parquet(marker).count() == 1
+    except Exception:  # not written yet (path does not exist)
+        done = False
+    if not done:
         live = project_silver(spark, sf_dir).as_dict()
         for name in names:
             live[name].write.mode("overwrite").parquet(f"{root}/{name}")
-        fs.create(hadoop, True).close()
+        # written last: a crash before this point leaves no marker and the
+        # tables are rewritten on the next call
+        spark.range(1).write.mode("overwrite").parquet(marker)
     return FunnelTables(*[spark.read.parquet(f"{root}/{name}") for name in names])
 
 
