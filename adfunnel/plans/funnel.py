@@ -54,7 +54,7 @@ class Funnel:
         self._run_id = uuid.uuid4().hex[:12]
         self._pinned: list[str] = []
         # views read by several outputs are stored only when many outputs
-        # are produced in one run (collect_outputs)
+        # are produced in one run (write_outputs)
         self._pin_shared = False
         self.tables = tables
         self.res = resolution or _all_present(tables)
@@ -276,14 +276,23 @@ class Funnel:
             self.__dict__[name] = getattr(self, name).persist()
         return self
 
-    def collect_outputs(self, workers: int = 4) -> dict[str, list]:
-        """Materialise the whole payload, running independent outputs as
-        concurrent jobs (they share the stored intermediates)."""
+    def write_outputs(self, path: str, workers: int = 4) -> dict[str, str]:
+        """Write the whole payload as Parquet tables under ``path`` (a gold
+        snapshot), running independent outputs as concurrent jobs that share
+        the stored intermediates.  Nothing passes through the driver."""
         self._pin_shared = self.materialize
+        _ = self.tree
+        self._prefetch("campaigns_flat", "adsets_flat", "creatives_flat")
         outs = self.outputs()
+
+        def write(item):
+            name, df = item
+            target = f"{path}/{name}"
+            df.write.mode("overwrite").parquet(target)
+            return name, target
+
         with ThreadPoolExecutor(max_workers=workers) as pool:
-            rows = list(pool.map(lambda df: df.collect(), outs.values()))
-        return dict(zip(outs, rows))
+            return dict(pool.map(write, outs.items()))
 
     def outputs(self) -> dict[str, DataFrame]:
         """The payload as named tables."""

@@ -55,8 +55,7 @@ def publish_snapshot(spark: SparkSession, work_dir: str, schemas: dict, config:
         funnel = Funnel(tables, config, materialize=True)
         snap_id = f"{dt.datetime.now(dt.timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:6]}"
         snap = f"{work_dir}/snapshots/{snap_id}"
-        for name, df in funnel.outputs().items():
-            df.write.mode("overwrite").parquet(f"{snap}/{name}")
+        funnel.write_outputs(snap)
         log = spark.range(1).select(
             F.current_timestamp().alias("last_sync"),
             F.lit(snap).alias("snapshot"),
