@@ -251,6 +251,10 @@ class Funnel:
 
     @cached_property
     def digest(self) -> DataFrame:
+        # top and bottom both read the consolidated creatives: store it once
+        if "creatives_flat" not in self.__dict__ and self.materialize:
+            self._pin_shared = True
+            _ = self.creatives_flat
         return RL.digest_lines(self.tree, self.kpis, self.top_creatives, self.bottom_creatives)
 
     @cached_property
