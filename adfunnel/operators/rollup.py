@@ -193,16 +193,6 @@ def email_summary(appts: DataFrame, sales: DataFrame) -> DataFrame:
     )
 
 
-def revenue_by_email(sales_f: DataFrame) -> DataFrame:
-    """Revenue per e-mail over all campaigns."""
-    return (
-        sales_f.select(norm_key("email").alias("email"), F.col("revenue").cast(MONEY).alias("revenue"))
-        .where(F.col("email").isNotNull())
-        .groupBy("email")
-        .agg(F.sum("revenue").alias("revenue"))
-    )
-
-
 def lead_facts(level_emails: DataFrame, emails: DataFrame) -> DataFrame:
     """A9 + J4-J6: per (level, keys): distinct leads, how many of them booked,
     bought, and the total revenue of the buyers (each e-mail counted once)."""

@@ -1,11 +1,11 @@
 """The whole funnel as one bundle of lazy DataFrames.
 
 ``Funnel(tables, config)`` declares every output; nothing runs until an
-output is collected or written.  Outputs that share inputs share plan
-fragments, so inside one query Spark reuses exchanges (ReuseExchange); when
-several outputs are materialised in one run, ``persist_core()`` pins the
-small intermediate tables (the tree is one row per ad group, not per ad
-row).
+output is collected or written.  With ``materialize=True`` the per-group
+intermediates (one row per ad group, not per ad row) are written once as
+Parquet tables in the shared checkpoint folder and read back, so every
+output plans over small stored tables; ``write_outputs()`` produces the
+whole payload as a snapshot.
 """
 
 from __future__ import annotations
@@ -273,13 +273,6 @@ class Funnel:
         appts = self.appts_f if self.res.has("appointments", "campaign") else self.appts_f.where(F.lit(False))
         return Q.campaign_keys(self.ads_f, appts, self.sales_f)
 
-    def persist_core(self) -> "Funnel":
-        """Pin the per-group tables when many outputs are materialised in one
-        run (they are small: one row per ad group, not per input row)."""
-        for name in ("tree", "campaigns_flat", "adsets_flat", "creatives_flat", "kpis"):
-            self.__dict__[name] = getattr(self, name).persist()
-        return self
-
     def write_outputs(self, path: str, workers: int = 4) -> dict[str, str]:
         """Write the whole payload as Parquet tables under ``path`` (a gold
         snapshot), running independent outputs as concurrent jobs that share
