@@ -164,8 +164,7 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = out.join(per_text, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__t")), "left")
     out = out.withColumn("__parts", F.when(F.col("__new").isNotNull(), F.split("__text", f"(?:{_ALL})", -1)))
     joined = F.expr("array_join(transform(__parts, (p, i) -> concat(p, if(i < size(__new), __new[i].surrogate, ''))), '')")
-    counts = [F.coalesce(F.size(F.filter("__new", lambda e, t=t: e.type == t)), F.lit(0)) for t, _ in TYPES]
-    counts = [F.when(F.col("__new").isNull(), 0).otherwise(c).cast("bigint").alias(f"n_{t}") for c, (t, _) in zip(counts, TYPES, strict=True)]
+    counts = [F.expr(f"if(__new is null, 0L, bigint(size(filter(__new, e -> e.type = '{t}'))))").alias(f"n_{t}") for t, _ in TYPES]
     made = {f"n_{t}" for t, _ in TYPES}
     kept = [F.when(F.col("__new").isNull(), F.col("__text")).otherwise(joined).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in made]
     return out.select(*kept, *counts)
