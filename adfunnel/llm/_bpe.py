@@ -84,7 +84,7 @@ class WordCoder:
         if not len(words):
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         coded = words.dictionary_encode()
-        each = coded.dictionary.to_pylist()
+        each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(each) > self.most:
             self.known.clear()
         if new := [w for w in each if w not in self.known]:

@@ -58,11 +58,17 @@ def split(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
 def hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word; every distinct word of the slice is hashed once."""
     coded = words.dictionary_encode()
-    each = coded.dictionary.cast(pa.binary()).to_pylist()
+    each = coded.dictionary.to_numpy(zero_copy_only=False)  # much faster than to_pylist
     own = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
     return own[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
 
 
+def joined(words: pa.Array, starts: np.ndarray) -> list[str]:
+    """The words of each text joined by one space."""
+    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words)
+    return pc.binary_join(lists, " ").to_numpy(zero_copy_only=False).tolist() if len(starts) > 1 else []
+
+
 def window_hashes(word_hash: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k consecutive words from each word on (shorter by k - 1 than the input; windows may cross texts)."""
     n = len(word_hash) - k + 1
@@ -72,3 +78,13 @@ def window_hashes(word_hash: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + word_hash[i : i + n]
     return mix(out)
+
+
+def sliding(x: np.ndarray, w: int, of) -> np.ndarray:
+    """``of`` (np.minimum or np.maximum) over the w values from each place on; shorter by w - 1."""
+    n, step = len(x) - w + 1, 1
+    if n <= 0:
+        return x[:0]
+    while 2 * step <= w:  # of windows of step values to windows of twice as many
+        x, step = of(x[:-step], x[step:]), 2 * step
+    return of(x[:n], x[w - step : w - step + n])

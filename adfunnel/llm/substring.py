@@ -37,49 +37,62 @@ from adfunnel.llm import _words
 from adfunnel.llm._store import Scratch
 
 WINDOW, PHRASE = 20, 6
-PHRASES_A_SHARD = 20_000
-CHARS_A_TASK = 8 << 20
+PHRASES_A_SHARD = 50_000
+CHARS_A_TASK = 32 << 20
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
-def _chosen(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the phrases from each word on, and for each window the place of the phrase it chooses, for one text's word hashes."""
-    grams = _words.window_hashes(h, phrase)
-    w = window - phrase + 1
-    if len(grams) < w:
-        return grams, np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, w)
-    return grams, view.argmin(axis=1) + np.arange(len(view))
+class _Slice:
+    """The words of a slice of texts, their phrases and windows; all places are those of words in the slice."""
 
+    def __init__(self, texts: pa.Array, window: int, phrase: int):
+        self.words, self.at = _words.split(texts)
+        self.lines = _words.joined(self.words, self.at)
+        self.hash = _words.hashes(self.words)
+        n = len(self.hash)
+        self.end = np.repeat(self.at[1:], np.diff(self.at))  # of each word's text
+        top = np.iinfo(np.uint64).max
+        grams = _words.window_hashes(self.hash, phrase)
+        self.grams = np.concatenate((grams, np.full(n - len(grams), top, np.uint64)))
+        self.width = window - phrase + 1
+        self.whole = np.arange(n) + window <= self.end  # a window begins here
+        least = _words.sliding(self.grams, self.width, np.minimum)
+        #: Of each window the least hash of its phrases: the phrase that it chooses.
+        self.least = np.where(self.whole, np.concatenate((least, np.zeros(n - len(least), np.uint64))), np.uint64(0))
 
-def _rows_of(part: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(row, words, word hashes) of each text of a slice."""
-    words, at = _words.split(part.column("text"))
-    h = _words.hashes(words)
-    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-        yield i, words.slice(a, b - a), h[a:b]
+    def chosen(self) -> np.ndarray:
+        """Whether a word begins a phrase that some window over it chooses."""
+        before = np.concatenate((np.zeros(self.width - 1, np.uint64), self.least))
+        return (_words.sliding(before, self.width, np.maximum) == self.grams) & (self.grams != np.iinfo(np.uint64).max)
 
+    def having(self, found: np.ndarray) -> np.ndarray:
+        """Windows whose chosen phrase begins at a place in ``found``."""
+        seen = np.where(found, self.grams, np.iinfo(np.uint64).max)
+        seen = _words.sliding(seen, self.width, np.minimum)
+        return np.flatnonzero(self.whole[: len(seen)] & (seen == self.least[: len(seen)]))
 
-def _sha(words: pa.Array) -> str:
-    return hashlib.sha256(b" ".join(words.cast(pa.binary()).to_pylist())).hexdigest()
+
+def _digest(line: str) -> tuple[str, int, int]:
+    d = hashlib.sha256(line.encode())
+    return d.hexdigest(), int.from_bytes(d.digest()[:8], "little", signed=True), int.from_bytes(d.digest()[8:16], "little", signed=True)
 
 
 def _read(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _words.chunks(batch, "text", 1 << 20):
-                n, f, g, sha, chosen = [], [], [], [], []
-                for _, words, h in _rows_of(part):
-                    digest = hashlib.sha256(b" ".join(words.cast(pa.binary()).to_pylist()))
-                    n.append(len(words))
-                    sha.append(digest.hexdigest())
-                    f.append(int.from_bytes(digest.digest()[:8], "little", signed=True))
-                    g.append(int.from_bytes(digest.digest()[8:16], "little", signed=True))
-                    grams, at = _chosen(h, window, phrase)
-                    own, times = np.unique(grams[np.unique(at)], return_counts=True)
-                    # a phrase chosen at two places of a text is listed twice
-                    chosen.append(np.concatenate((own, own[times > 1])).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(sha), pa.array(chosen, pa.list_(pa.int64()))], ["id", "n_words", "f", "g", "sha", "chosen"])
+                s = _Slice(part.column("text"), window, phrase)
+                sha, f, g = zip(*map(_digest, s.lines), strict=True)
+                # phrases chosen by each text; one chosen at two places is listed twice
+                place = np.flatnonzero(s.chosen())
+                text, value = np.searchsorted(s.at, place, side="right") - 1, s.grams[place]
+                order = np.lexsort((value, text))
+                text, value = text[order], value[order]
+                same = (text[1:] == text[:-1]) & (value[1:] == value[:-1])
+                keep = np.concatenate(([True], ~(same & np.concatenate(([False], same[:-1]))))) if len(text) else np.zeros(0, bool)
+                text, value = text[keep], value[keep]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)), pa.int32()), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(s.at)), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(sha), lists], ["id", "n_words", "f", "g", "sha", "chosen"])
 
     return docs.mapInArrow(run, "id bigint, n_words bigint, f bigint, g bigint, sha string, chosen array<bigint>")
 
@@ -90,16 +103,18 @@ def _phrases(active: DataFrame, phrase: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _words.chunks(batch, "text", 1 << 20):
-                own, shard = part.column("own").to_pylist(), part.column("shard").to_pylist()
-                shards, out = [], []
-                for i, words, h in _rows_of(part):
-                    grams = _words.window_hashes(h, phrase).view(np.int64)
-                    seen = set()
-                    for p in np.flatnonzero(np.isin(grams, np.asarray(own[i], np.int64))).tolist():
-                        if int(grams[p]) not in seen:
-                            seen.add(int(grams[p]))
-                            shards.append(shard[i])
-                            out.append(" ".join(words.slice(p, phrase).to_pylist()))
+                words, at = _words.split(part.column("text"))
+                grams = _words.window_hashes(_words.hashes(words), phrase).view(np.int64)
+                shard = part.column("shard").to_pylist()
+                place: list[np.ndarray] = []
+                for i, own in enumerate(part.column("own").to_numpy(zero_copy_only=False)):
+                    here = grams[at[i] : max(at[i], at[i + 1] - phrase + 1)]
+                    value, first = np.unique(here, return_index=True)
+                    place.append(at[i] + first[np.isin(value, own)])
+                shards = np.repeat(np.asarray(shard, np.int32), list(map(len, place)))
+                begin = np.concatenate(place) if place else np.zeros(0, np.int64)
+                take = (begin[:, None] + np.arange(phrase)).ravel()
+                out = _words.joined(words.take(pa.array(take)), np.arange(len(begin) + 1) * phrase)
                 yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(out, pa.string())], ["shard", "phrase"])
 
     own = active.where("size(own) > 0").select("text", "own", "shard")
@@ -107,9 +122,9 @@ def _phrases(active: DataFrame, phrase: int) -> DataFrame:
 
 
 def _locate(rows: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(w, id, f, p): windows whose chosen phrase the automaton of their shard locates.
+    """(w, id, u, p): windows whose chosen phrase the automaton of their shard locates.
 
-    Rows arrive ordered by shard and part, phrases (no id) before documents.
+    Rows arrive ordered by shard and part, phrases before documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,65 +132,58 @@ def _locate(rows: DataFrame, window: int, phrase: int) -> DataFrame:
 
         at, open_, machine = None, True, None
         for batch in batches:
-            for part in _words.chunks(batch, "text", 1 << 20):
-                where = list(zip(part.column("shard").to_pylist(), part.column("part").to_pylist(), strict=True))
-                is_doc = part.column("is_doc").to_pylist()
-                texts = part.column("text")
-                ids, f = part.column("id").to_pylist(), part.column("f").to_pylist()
-                out: list[list] = [[], [], [], []]
-                parsed: dict[int, tuple] = {i: (w, h) for i, w, h in _rows_of(part)}
-                for i, key in enumerate(where):
-                    if key != at:
-                        at, open_, machine = key, True, ahocorasick.Automaton(ahocorasick.STORE_ANY)
-                    if not is_doc[i]:
-                        machine.add_word(f" {texts[i].as_py()} ", True)
-                        continue
-                    if open_:
-                        machine.make_automaton()
-                        open_ = False
-                    words, h = parsed[i]
-                    if len(words) < window or machine.kind != ahocorasick.AHOCORASICK:
-                        continue
-                    line = " " + " ".join(words.to_pylist()) + " "
-                    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-                    ends = np.cumsum(size)  # of the space after each word
-                    hits = np.fromiter((e for e, _ in machine.iter(line)), np.int64)
-                    if not len(hits):
-                        continue
-                    found = np.zeros(len(words), bool)
-                    found[np.searchsorted(ends, hits) - phrase + 1] = True
-                    _, chosen = _chosen(h, window, phrase)
-                    p = np.flatnonzero(found[chosen])
-                    out[0].append(_words.window_hashes(h, window)[p].view(np.int64))
-                    out[1].append(np.full(len(p), ids[i], np.int64))
-                    out[2].append(np.full(len(p), f[i], np.int64))
-                    out[3].append(p.astype(np.int32))
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["w", "id", "f", "p"])
-
-    return rows.mapInArrow(run, "w bigint, id bigint, f bigint, p int")
+            is_doc = batch.column("is_doc").to_numpy(zero_copy_only=False)
+            shard, parts = batch.column("shard").to_numpy(), batch.column("part").to_numpy()
+            edge = np.flatnonzero((np.diff(shard) != 0) | (np.diff(parts) != 0) | (np.diff(is_doc.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if (shard[lo], parts[lo]) != at:
+                    at, open_, machine = (shard[lo], parts[lo]), True, ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+                run_ = batch.slice(lo, hi - lo)
+                if not is_doc[lo]:
+                    for text in run_.column("text").to_numpy(zero_copy_only=False):
+                        machine.add_word(f" {text} ")
+                    continue
+                if open_:
+                    machine.make_automaton()
+                    open_ = False
+                if machine.kind != ahocorasick.AHOCORASICK:
+                    continue
+                for part in _words.chunks(run_, "text", 1 << 20):
+                    s = _Slice(part.column("text"), window, phrase)
+                    # where the space after each word stands in the line of its text
+                    size = np.cumsum(pc.utf8_length(s.words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+                    found = np.zeros(len(s.words), bool)
+                    for a, b, line in zip(s.at[:-1].tolist(), s.at[1:].tolist(), s.lines, strict=True):
+                        if b - a >= window and (hits := [e for e, _ in machine.iter(f" {line} ")]):
+                            ends = size[a:b] - (size[a - 1] if a else 0)
+                            found[a + np.searchsorted(ends, hits) - phrase + 1] = True
+                    p = s.having(found)
+                    text = np.searchsorted(s.at, p, side="right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(_words.window_hashes(s.hash, window)[p].view(np.int64)), part.column("id").take(pa.array(text)), part.column("u").take(pa.array(text)), pa.array((p - s.at[text]).astype(np.int32))], ["w", "id", "u", "p"])
+
+    return rows.mapInArrow(run, "w bigint, id bigint, u bigint, p int")
 
 
 def _cut(rows: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """(id, f, n_removed, sha[, kept]) of texts with the windows that begin at ``starts`` removed."""
-    out = "id bigint, f bigint, n_removed bigint, kept_sha string" + (", kept string" if keep_text else "")
+    """(id, u, n_removed, sha[, kept]) of texts with the windows that begin at ``starts`` removed."""
+    out = "id bigint, u bigint, n_removed bigint, kept_sha string" + (", kept string" if keep_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _words.chunks(batch, "text", 1 << 20):
-                starts = part.column("starts").to_pylist()
-                n, sha, kept = [], [], []
-                for i, words, _ in _rows_of(part):
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    s = np.asarray(starts[i], np.int64)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + window, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    left = words.filter(pa.array(~gone))
-                    n.append(int(gone.sum()))
-                    sha.append(_sha(left))
-                    kept.append(" ".join(left.to_pylist()))
-                cols = [part.column("id"), part.column("f"), pa.array(n, pa.int64()), pa.array(sha, pa.string())]
+                words, at = _words.split(part.column("text"))
+                edge = np.zeros(len(words) + window + 1, np.int64)
+                for i, starts in enumerate(part.column("starts").to_numpy(zero_copy_only=False)):
+                    np.add.at(edge, at[i] + starts, 1)
+                    np.add.at(edge, at[i] + starts + window, -1)
+                stay = np.cumsum(edge[: len(words)]) == 0
+                left = np.concatenate(([0], np.cumsum(stay)))[at]
+                kept = _words.joined(words.filter(pa.array(stay)), left)
+                n = np.diff(at) - np.diff(left)
+                sha = [hashlib.sha256(x.encode()).hexdigest() for x in kept]
+                cols = [part.column("id"), part.column("u"), pa.array(n, pa.int64()), pa.array(sha, pa.string())]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.string())] if keep_text else [])], [x.split(" ")[0] for x in out.split(", ")])
 
     return rows.mapInArrow(run, out)
@@ -195,38 +203,42 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     low = F.lit(-(1 << 63)).cast("bigint")
     own = docs.select(F.coalesce(F.col(id_col).cast("bigint"), low).alias("id"), F.col(text_col).alias("text"))
     read = scratch.save(_read(own, window, phrase), "read")
+    # texts of one id are told apart by u: the hash of the words, or 0 for the many ids with one text
+    twins = read.groupBy("id").agg((F.min("f") != F.max("f")).alias("twin")).where("twin")
+    twins = scratch.save(twins.select(F.col("id").alias("t_id"), "twin"), "twins")
     # one document for all with the same words
     first = read.groupBy("f", "g").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     firsts = scratch.save(first.where("n > 1").select("f", "g", "first"), "firsts")
-    named = read.join(firsts, ["f", "g"], "left").select(read["id"], "n_words", "f", "sha", "chosen", F.coalesce("first", read["id"]).alias("first"))
-    posts = named.where("id = first and size(chosen) > 0").select("id", "f", F.explode("chosen").alias("h"))
+    named = read.join(firsts, ["f", "g"], "left").join(twins, F.col("id") == F.col("t_id"), "left")
+    named = named.select(read["id"], "n_words", "f", F.when(F.col("twin"), read["f"]).otherwise(0).alias("u"), "sha", "chosen", F.coalesce("first", read["id"]).alias("first"))
+    posts = named.where("id = first and size(chosen) > 0").select("id", "f", "u", F.explode("chosen").alias("h"))
     # confirmed phrases, with the first document that has them
-    shared = posts.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "f")).alias("owner")).where("n > 1").select("h", "owner")
+    shared = posts.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "u")).alias("owner")).where("n > 1").select("h", "owner")
     shared = scratch.save(shared, "shared")
     shards = max(1, -(-shared.count() // phrases_a_shard))
-    shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int")
-    met = posts.join(shared, "h").withColumn("shard", shard).withColumn("mine", F.when(F.struct("id", "f") == F.col("owner"), F.col("h")))
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
+    met = posts.join(shared, "h").withColumn("shard", shard("owner")).withColumn("mine", F.when(F.struct("id", "u") == F.col("owner"), F.col("h")))
     # per document: the shards it goes to, and the phrases it owns (of one shard, its own)
-    info = met.groupBy("id", "f").agg(F.collect_set("shard").alias("shards"), F.collect_set("mine").alias("own"))
-    info = scratch.save(info.select(F.col("id").alias("i_id"), F.col("f").alias("i_f"), "shards", "own"), "info")
-    # texts of these documents: equal ids are told apart by the hash of the words in the next reading
-    texts = own.join(info, F.col("id") == F.col("i_id")).select("id", F.col("i_f").alias("f"), "text", "shards", "own")
-    active = scratch.save(_same_words(texts), "active")
+    info = met.groupBy("id", "f", "u").agg(F.collect_set("shard").alias("shards"), F.collect_set("mine").alias("own"))
+    info = scratch.save(info.withColumnRenamed("id", "i_id"), "info")
+    active = own.join(info, F.col("id") == F.col("i_id")).select("id", "f", "u", "text", "shards", "own")
+    active = scratch.save(_same_words(active).drop("f"), "active")
     size = active.select(F.explode("shards").alias("shard"), F.length("text").alias("c")).groupBy("shard").agg(F.ceil(F.sum("c") / chars_a_task).cast("int").alias("parts"))
     size = scratch.save(size, "size")
-    words = _phrases(active.withColumn("shard", F.pmod(F.xxhash64(F.struct("id", "f")), F.lit(shards)).cast("int")), phrase)
-    words = words.join(size, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_doc"), F.lit(0).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("f"), F.col("phrase").alias("text"))
-    sent = active.select(F.explode("shards").alias("shard"), "id", "f", "text").join(size, "shard")
-    sent = sent.select("shard", F.pmod(F.xxhash64("id", "f"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_doc"), "id", "f", "text")
+    words = _phrases(active.withColumn("shard", shard(F.struct("id", "u"))), phrase)
+    none = F.lit(0).cast("bigint")
+    words = words.join(size, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_doc"), none.alias("id"), none.alias("u"), F.col("phrase").alias("text"))
+    sent = active.select(F.explode("shards").alias("shard"), "id", "u", "text").join(size, "shard")
+    sent = sent.select("shard", F.pmod(F.xxhash64("id", "u"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_doc"), "id", "u", "text")
     dealt = words.unionByName(sent).repartition("shard", "part").sortWithinPartitions("shard", "part", "is_doc")
     found = scratch.save(_locate(dealt, window, phrase), "found")
-    least = found.groupBy("w").agg(F.min(F.struct("id", "f", "p")).alias("least"), F.count("*").alias("n")).where("n > 1").select("w", "least")
-    later = found.join(least, "w").where(F.struct("id", "f", "p") > F.col("least"))
-    starts = later.groupBy("id", "f").agg(F.collect_list("p").alias("starts"))
-    cut = _cut(active.select("id", "f", "text").join(starts, ["id", "f"]), window, keep_text)
-    cut = scratch.save(cut.dropDuplicates(["id", "f"]), "cut")
+    least = found.groupBy("w").agg(F.min(F.struct("id", "u", "p")).alias("least"), F.count("*").alias("n")).where("n > 1").select("w", "least")
+    later = found.join(least, "w").where(F.struct("id", "u", "p") > F.col("least"))
+    starts = later.groupBy("id", "u").agg(F.collect_list("p").alias("starts"))
+    cut = _cut(active.select("id", "u", "text").join(starts, ["id", "u"]), window, keep_text)
+    cut = scratch.save(cut.dropDuplicates(["id", "u"]), "cut")
     copy = (F.col("id") != F.col("first")) & (F.col("n_words") >= window)
-    out = named.drop("chosen").join(cut, ["id", "f"], "left")
+    out = named.drop("chosen").join(cut, ["id", "u"], "left")
     cols = [
         F.when(F.col("id") != low, F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col),
         "n_words",
@@ -245,9 +257,7 @@ def _same_words(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in _words.chunks(batch, "text", 1 << 20):
                 words, at = _words.split(part.column("text"))
-                raw = words.cast(pa.binary())
-                f = part.column("f").to_pylist()
-                ok = [int.from_bytes(hashlib.sha256(b" ".join(raw.slice(a, b - a).to_pylist())).digest()[:8], "little", signed=True) == x for a, b, x in zip(at[:-1], at[1:], f, strict=True)]
+                ok = [_digest(line)[1] == f for line, f in zip(_words.joined(words, at), part.column("f").to_pylist(), strict=True)]
                 yield part.filter(pa.array(ok, pa.bool_()))
 
     return texts.mapInArrow(run, texts.schema)
