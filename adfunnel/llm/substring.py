@@ -223,6 +223,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     info = scratch.save(info.withColumnRenamed("id", "i_id"), "info")
     active = own.join(info, F.col("id") == F.col("i_id")).select("id", "f", "u", "text", "shards", "own")
     active = scratch.save(_same_words(active).drop("f"), "active")
+    scratch.drop("shared", "info")
     size = active.select(F.explode("shards").alias("shard"), F.length("text").alias("c")).groupBy("shard").agg(F.ceil(F.sum("c") / chars_a_task).cast("int").alias("parts"))
     size = scratch.save(size, "size")
     words = _phrases(active.withColumn("shard", shard(F.struct("id", "u"))), phrase)
@@ -237,6 +238,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     starts = later.groupBy("id", "u").agg(F.collect_list("p").alias("starts"))
     cut = _cut(active.select("id", "u", "text").join(starts, ["id", "u"]), window, keep_text)
     cut = scratch.save(cut.dropDuplicates(["id", "u"]), "cut")
+    scratch.drop("found", "active")
     copy = (F.col("id") != F.col("first")) & (F.col("n_words") >= window)
     out = named.drop("chosen").join(cut, ["id", "u"], "left")
     cols = [
