@@ -21,16 +21,18 @@ ROUNDS = 25
 MIN_POSTERIOR = 0.5
 
 #: Each rule: name, condition of a bad vote, condition of a good vote (neither: abstain). Integer arithmetic, the
-#: same in every SQL. n_upper, n_letters_etc are the features below.
+#: same in every SQL, over the features below. Rules that look for one fault abstain where they don't find it:
+#: its absence says little. Repeated lines that "repeats" sees don't count a second time.
 RULES = [
-    ("symbols", "n_symbols * 20 > n_words", "n_symbols * 100 <= n_words"),
-    ("repeats", "n_repeat_words * 4 > n_words", "n_repeat_words * 10 <= n_words"),
-    ("lines", "n_dup_lines * 10 > n_lines * 3", "n_dup_lines * 20 <= n_lines"),
-    ("capitals", "n_upper * 3 > word_chars", "n_upper * 8 <= word_chars"),
-    ("exclaims", "n_exclaims * 10 > n_words", "n_exclaims * 50 <= n_words"),
-    ("word_length", "word_chars > n_words * 10 or word_chars < n_words * 3", "word_chars >= n_words * 4 and word_chars <= n_words * 7"),
+    ("symbols", "n_symbols * 20 > n_words", "false"),
+    ("plain", "(n_symbols + n_exclaims) * 100 > word_chars", "(n_symbols + n_exclaims) * 200 <= n_words"),
+    ("repeats", "n_repeat_words * 4 > n_words", "false"),
+    ("lines", "n_dup_lines * 10 > n_lines * 3 and n_repeat_words * 4 <= n_words", "false"),
+    ("capitals", "n_upper * 3 > word_chars", "false"),
+    ("exclaims", "n_exclaims * 10 > n_words", "false"),
+    ("digits", "n_digits * 3 > word_chars", "false"),
+    ("word_length", "word_chars > n_words * 10 or word_chars < n_words * 3", "word_chars >= n_words * 4 and word_chars <= n_words * 6"),
     ("sentences", "n_ends * 2 > n_words or (n_ends * 100 < n_words and n_words >= 50)", "n_ends * 50 >= n_words and n_ends * 3 <= n_words"),
-    ("digits", "n_digits * 5 > word_chars", "n_digits * 20 <= word_chars"),
 ]
 
 _SPACE = " \t\n\x0b\x0c\r"
