@@ -11,6 +11,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from adfunnel.llm import _words
 
@@ -80,7 +81,11 @@ class WordCoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and per text the place of its first id (one more entry than texts)."""
-        words, starts = _words.split(texts, self.lower)
+        if self.lower:
+            # a capital and a combining mark can compose otherwise than their lower case: such texts are left to the tokenizer
+            marked = pc.match_substring_regex(texts, "[^\\x{0}-\\x{2FF}]")
+            texts = pc.if_else(marked, texts, pc.ascii_lower(texts))
+        words, starts = _words.split(texts)
         if not len(words):
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         coded = words.dictionary_encode()
