@@ -78,16 +78,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = starts.select("id", "t", F.explode(F.sequence(F.col("j"), F.col("j") + (min_lines - 1))).alias("j"))
     # at most the lines of one document
     gone = gone.groupBy("id", "t").agg(F.collect_set("j").alias("gone"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumn("__text", F.col(text_col)).withColumn("__hash", F.xxhash64("__text"))
-    out = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__t")), "left")
-    out = out.withColumn("__lines", F.split("__text", "\n"))
+    gone = gone.withColumnsRenamed({"id": "g_id", "t": "g_t"})
+    # the row as it came, apart from columns made here
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    out = keyed.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("t") == F.col("g_t")), "left")
+    out = out.select("row", "text", "gone", F.split("text", "\n").alias("lines"))
     # places of lines with a word; the sequence counts only these
-    out = out.withColumn("__at", F.expr(r"filter(transform(__lines, (x, i) -> if(length(btrim(x, ' \t\n\u000B\f\r')) > 0, i, -1)), i -> i >= 0)"))
-    rest = F.expr("array_except(sequence(0, size(__lines) - 1), transform(__gone, j -> __at[j]))")
-    out = out.withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
-    text = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.expr("transform(__rest, i -> __lines[i])"), "\n"))
-    n_lines = F.when(F.col("__text").isNull(), 0).otherwise(F.size("__at")).cast("bigint")
-    n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint")
-    kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    at = F.transform("lines", lambda x, i: F.when(F.length(F.btrim(x, F.lit(_SPACE))) > 0, i).otherwise(-1))
+    out = out.withColumn("at", F.filter(at, lambda i: i >= 0))
+    out = out.withColumn("rest", F.when(F.col("gone").isNotNull(), F.expr("array_except(sequence(0, size(lines) - 1), transform(gone, j -> at[j]))")))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr("transform(rest, i -> lines[i])"), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("at")).cast("bigint")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint")
+    kept = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(*kept, n_lines.alias("n_lines"), n_removed.alias("n_removed"))

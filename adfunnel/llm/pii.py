@@ -158,13 +158,15 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     each = scratch.save(each.withColumn("name", name), "entities")
     mapped = distinct_surrogates(each.select("type", "name"), key, scratch)
     # as many as one text holds
-    per_text = each.join(mapped, ["type", "name"]).groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("i", "type", "surrogate"))).alias("__new"))
-    per_text = per_text.withColumnRenamed("id", "__id").withColumnRenamed("t", "__t")
-    out = docs.withColumn("__text", text).withColumn("__hash", F.xxhash64("__text"))
-    out = out.join(per_text, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__t")), "left")
-    out = out.withColumn("__parts", F.when(F.col("__new").isNotNull(), F.split("__text", f"(?:{_ALL})", -1)))
-    joined = F.expr("array_join(transform(__parts, (p, i) -> concat(p, if(i < size(__new), __new[i].surrogate, ''))), '')")
-    counts = [F.expr(f"if(__new is null, 0L, bigint(size(filter(__new, e -> e.type = '{t}'))))").alias(f"n_{t}") for t, _ in TYPES]
+    per_text = each.join(mapped, ["type", "name"]).groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("i", "type", "surrogate"))).alias("new"))
+    per_text = per_text.withColumnsRenamed({"id": "n_id", "t": "n_t"})
+    # the row as it came, apart from columns made here
+    out = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    out = out.join(per_text, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("t") == F.col("n_t")), "left")
+    out = out.withColumn("parts", F.when(F.col("new").isNotNull(), F.split("text", f"(?:{_ALL})", -1)))
+    joined = F.expr("array_join(transform(parts, (p, i) -> concat(p, if(i < size(new), new[i].surrogate, ''))), '')")
+    counts = [F.expr(f"if(new is null, 0L, bigint(size(filter(new, e -> e.type = '{t}'))))").alias(f"n_{t}") for t, _ in TYPES]
     made = {f"n_{t}" for t, _ in TYPES}
-    kept = [F.when(F.col("__new").isNull(), F.col("__text")).otherwise(joined).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in made]
+    text = F.when(F.col("new").isNull(), F.col("text")).otherwise(joined)
+    kept = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in made]
     return out.select(*kept, *counts)
