@@ -40,9 +40,11 @@ def parse_date(col) -> Column:
     Whitespace, then single/double quotes are removed from both ends; the
     first format that parses wins; anything else is null.
     """
-    cleaned = F.regexp_replace(strip_ws(col), _EDGE_QUOTES, "")
-    tries = [F.try_to_timestamp(cleaned, F.lit(spark_fmt)) for spark_fmt, _ in DATE_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    cleaned = F.concat(F.regexp_replace(strip_ws(col), _EDGE_QUOTES, ""), F.lit("Z"))
+    # read as UTC and counted from the epoch, so that no session zone's clock change moves a date
+    tries = [F.try_to_timestamp(cleaned, F.lit(spark_fmt + "X")) for spark_fmt, _ in DATE_FORMATS]
+    seconds = (F.unix_micros(F.coalesce(*tries)) / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def _number_text(col) -> Column:

@@ -16,11 +16,11 @@ from .rollup import KEYS
 from .scoring import score
 
 
-def performance_tree(unscored: DataFrame) -> DataFrame:
+def performance_tree(unscored: DataFrame, weights=None) -> DataFrame:
     """H1 + M3 + M4: creatives scored as one pool, campaigns as another;
     ad sets carry no score.  The pool key is the level (three values, so the
     pool statistics are broadcast): one aggregate and one join for the tree."""
-    scored = score(unscored, ["level"], bounded_pool=True)
+    scored = score(unscored, ["level"], weights, bounded_pool=True)
     is_adset = F.col("level") == "adset"
     return scored.withColumn(
         "performance_score", F.when(is_adset, F.lit(None).cast("int")).otherwise(F.col("performance_score"))
@@ -63,7 +63,7 @@ def _path(tree: DataFrame, root: str) -> DataFrame:
     return out
 
 
-def consolidate(tree: DataFrame, root: str) -> DataFrame:
+def consolidate(tree: DataFrame, root: str, weights=None) -> DataFrame:
     """H3 for one root level (campaign, adset or creative).
 
     Sums of the *displayed* (rounded) values and of already-distinct counts;
@@ -103,12 +103,12 @@ def consolidate(tree: DataFrame, root: str) -> DataFrame:
         round2(safe_div("appointments", "leads") * 100).alias("appointment_rate"),
         round2(safe_div("sales", "appointments") * 100).alias("close_rate"),
     )
-    scored = score(m.where(F.col("depth") == 0))
+    scored = score(m.where(F.col("depth") == 0), weights=weights)
     depths = len(_CHILD_LEVELS[root])
     if depths > 1:
-        scored = scored.unionByName(score(m.where(F.col("depth") == 1), ["key0"]))
+        scored = scored.unionByName(score(m.where(F.col("depth") == 1), ["key0"], weights))
     if depths > 2:
-        scored = scored.unionByName(score(m.where(F.col("depth") == 2), ["key0", "key1"]))
+        scored = scored.unionByName(score(m.where(F.col("depth") == 2), ["key0", "key1"], weights))
     return scored.select(*FLAT_COLUMNS)
 
 

@@ -185,7 +185,7 @@ class Funnel:
     @cached_property
     def tree(self) -> DataFrame:
         """performance_tree: every level, scored (H1, M3, M4)."""
-        return self._pin(H.performance_tree(self.unscored_tree))
+        return self._pin(H.performance_tree(self.unscored_tree, self.cfg.weights))
 
     def tree_filtered(self, campaign: str | None = None) -> DataFrame:
         """F8: tree restricted to campaigns whose name contains ``campaign``."""
@@ -194,15 +194,15 @@ class Funnel:
     # ---- consolidated views (H3) -------------------------------------------
     @cached_property
     def campaigns_flat(self) -> DataFrame:
-        return self._pin(H.consolidate(self.tree, "campaign"), shared=True)
+        return self._pin(H.consolidate(self.tree, "campaign", self.cfg.weights), shared=True)
 
     @cached_property
     def adsets_flat(self) -> DataFrame:
-        return self._pin(H.consolidate(self.tree, "adset"), shared=True)
+        return self._pin(H.consolidate(self.tree, "adset", self.cfg.weights), shared=True)
 
     @cached_property
     def creatives_flat(self) -> DataFrame:
-        return self._pin(H.consolidate(self.tree, "creative"), shared=True)
+        return self._pin(H.consolidate(self.tree, "creative", self.cfg.weights), shared=True)
 
     def level_view(self, level: str = "all") -> DataFrame:
         """the consolidated table of one level, or the tree for 'all'."""

@@ -840,8 +840,9 @@ def q_normalize_keys(spark, sf):
 )
 def q_resolve_columns(spark, sf):
     """S2 + S4: sheet headers normalised, resolved by alias, then typed."""
-    b = IN.normalize_headers(_bronze_ads(spark, sf), keep=["ordinal", "row_order"])
-    silver, _ = IN.to_silver({"ads": b, "leads": b.limit(0), "appointments": b.limit(0), "sales": b.limit(0)}, keep=["ordinal"])
+    bronze = FX.bronze_tables(spark, sf)
+    raw = {n: IN.normalize_headers(getattr(bronze, n), keep=["ordinal", "row_order"]) for n in ("ads", "leads", "appointments", "sales")}
+    silver, _ = IN.to_silver(raw, keep=["ordinal"])
     a = silver.ads
     return a.select(
         *_ord_cols(), "date", "campaign", "adset", "creative", F.col("spend").cast("double").alias("spend"),

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..config import ADS_REQUIRED, ALIASES
 from ..functions.clean import parse_date, parse_money, parse_number
+from ..session import path_exists
 from .fixtures import FunnelTables
 
 log = logging.getLogger(__name__)
@@ -104,20 +105,17 @@ def read_sheet_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_raw(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") -> dict[str, DataFrame]:
-    """Load the four raw tables; a missing path gives an empty table."""
+    """Load the four raw tables; a missing path gives an empty table, any other failure raises."""
     out: dict[str, DataFrame] = {}
     for name in ALIASES:
         path = paths.get(name)
-        try:
-            if path is None:
-                raise FileNotFoundError(name)
-            if fmt == "csv":
-                df = read_sheet_csv(spark, path)
-            else:
-                df = normalize_headers(spark.read.format(fmt).load(path))
-        except Exception as exc:  # missing sheet -> empty table, as the dashboard does
-            log.error("table %s not loaded (%s); using an empty table", name, exc)
+        if path is None or not path_exists(spark, path):  # missing sheet -> empty table, as the dashboard does
+            log.error("table %s not found; using an empty table", name)
             df = spark.createDataFrame([], T.StructType([]))
+        elif fmt == "csv":
+            df = read_sheet_csv(spark, path)
+        else:
+            df = normalize_headers(spark.read.format(fmt).load(path))
         out[name] = df
     return out
 

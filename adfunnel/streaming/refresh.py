@@ -18,6 +18,7 @@ recomputed from the stored tables in each micro-batch.
 from __future__ import annotations
 
 import datetime as dt
+import logging
 import threading
 import uuid
 
@@ -27,8 +28,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DATA_REFRESH_SECONDS, FunnelConfig
 from ..plans.funnel import Funnel
+from ..session import path_exists
 from ..sources.fixtures import FunnelTables
 
+log = logging.getLogger(__name__)
+
 TABLES = ("ads", "leads", "appointments", "sales")
 
 # One refresh at a time per driver: the streams of the four tables call back
@@ -38,10 +42,9 @@ _PUBLISH = threading.Lock()
 
 def _stored(spark: SparkSession, work_dir: str, name: str, schema) -> DataFrame:
     path = f"{work_dir}/stored/{name}"
-    try:
-        return spark.read.schema(schema).parquet(path).drop("batch_id")
-    except Exception:  # nothing stored yet
+    if not path_exists(spark, path):  # nothing stored yet
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).drop("batch_id")
 
 
 def publish_snapshot(spark: SparkSession, work_dir: str, schemas: dict, config: FunnelConfig, source: str) -> str:
@@ -49,23 +52,49 @@ def publish_snapshot(spark: SparkSession, work_dir: str, schemas: dict, config:
 
     The snapshot is written first; its log entry (its own folder, so no two
     writers share an output directory) is written last and makes it visible.
+    An open date window is resolved here, so it moves with the day.
     """
     with _PUBLISH:
         tables = FunnelTables(*[_stored(spark, work_dir, n, schemas[n]) for n in TABLES])
-        funnel = Funnel(tables, config, materialize=True)
-        snap_id = f"{dt.datetime.now(dt.timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:6]}"
+        funnel = Funnel(tables, config.resolved(), materialize=True)
+        snap_id = _new_id()
         snap = f"{work_dir}/snapshots/{snap_id}"
         funnel.write_outputs(snap)
-        log = spark.range(1).select(
-            F.current_timestamp().alias("last_sync"),
-            F.lit(snap).alias("snapshot"),
-            F.lit(source).alias("source"),
-            F.lit(False).alias("stale"),
-        )
-        log.coalesce(1).write.mode("overwrite").parquet(f"{work_dir}/refresh_log/{snap_id}")
+        _log(spark, work_dir, snap_id, snap, source, stale=False)
         return snap
 
 
+def _new_id() -> str:
+    return f"{dt.datetime.now(dt.timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:6]}"
+
+
+def _log(spark: SparkSession, work_dir: str, entry: str, snapshot: str | None, source: str, stale: bool) -> None:
+    row = spark.range(1).select(
+        F.current_timestamp().alias("last_sync"),
+        F.lit(snapshot).cast("string").alias("snapshot"),
+        F.lit(source).alias("source"),
+        F.lit(stale).alias("stale"),
+    )
+    row.coalesce(1).write.mode("overwrite").parquet(f"{work_dir}/refresh_log/{entry}")
+
+
+def _read_log(spark: SparkSession, work_dir: str) -> DataFrame:
+    schema = "last_sync timestamp, snapshot string, source string, stale boolean"
+    if not path_exists(spark, f"{work_dir}/refresh_log/*"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{work_dir}/refresh_log/*")
+
+
+def refresh_or_mark_stale(spark: SparkSession, work_dir: str, schemas: dict, config: FunnelConfig, source: str) -> str | None:
+    """Publish; if that fails, keep the last good snapshot and log it as stale."""
+    try:
+        return publish_snapshot(spark, work_dir, schemas, config, source)
+    except Exception as exc:
+        log.error("refresh from %s failed: %s", source, exc)
+        _log(spark, work_dir, _new_id(), latest_snapshot(spark, work_dir), source, stale=True)
+        return None
+
+
 def start_refresh(
     spark: SparkSession,
     source_dirs: dict[str, str],
@@ -80,7 +109,7 @@ def start_refresh(
     ``available_now`` processes what is there and stops (tests, catch-up
     runs); otherwise a micro-batch fires every ``interval_seconds``.
     """
-    cfg = (config or FunnelConfig()).resolved()
+    cfg = config or FunnelConfig()  # resolved at each publish
     queries = []
     for name in TABLES:
         stream = spark.readStream.schema(schemas[name]).parquet(source_dirs[name])
@@ -93,7 +122,7 @@ def start_refresh(
                 .partitionBy("batch_id")
                 .parquet(f"{work_dir}/stored/{_name}")
             )
-            publish_snapshot(batch.sparkSession, work_dir, schemas, cfg, f"{_name}:{batch_id}")
+            refresh_or_mark_stale(batch.sparkSession, work_dir, schemas, cfg, f"{_name}:{batch_id}")
 
         w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{work_dir}/checkpoints/{name}")
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{interval_seconds} seconds")
@@ -102,20 +131,23 @@ def start_refresh(
 
 
 def latest_snapshot(spark: SparkSession, work_dir: str) -> str | None:
-    log = spark.read.parquet(f"{work_dir}/refresh_log/*")
-    row = log.orderBy(F.col("last_sync").desc(), F.col("snapshot").desc()).select("snapshot").limit(1).collect()
+    good = _read_log(spark, work_dir).where("snapshot is not null and not stale")
+    row = good.orderBy(F.col("last_sync").desc(), F.col("snapshot").desc()).select("snapshot").limit(1).collect()
     return row[0][0] if row else None
 
 
 def freshness(spark: SparkSession, work_dir: str, interval_seconds: int = DATA_REFRESH_SECONDS) -> DataFrame:
     """T4: last sync, its age and whether the published data is stale."""
-    log = spark.read.parquet(f"{work_dir}/refresh_log/*")
-    last = log.agg(F.max("last_sync").alias("last_sync"), F.count(F.lit(1)).alias("refreshes"))
+    good = F.when(~F.col("stale"), F.col("last_sync"))
+    newest = F.max(F.struct("last_sync", "stale"))
+    last = _read_log(spark, work_dir).agg(F.max(good).alias("last_sync"), F.count(good).alias("refreshes"), newest.alias("newest"))
     age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("last_sync")
     return last.select(
         "last_sync",
         "refreshes",
         age.alias("age_seconds"),
         (F.col("last_sync").isNotNull()).alias("connected"),
-        (age > interval_seconds).alias("stale"),
+        F.coalesce(F.col("newest.stale") | (age > interval_seconds), F.lit(True)).alias("stale"),
+        # alerts and recommendations are part of every good snapshot
+        (F.col("refreshes") > 0).alias("insights_ready"),
     )

@@ -65,3 +65,17 @@ def test_safe_div_and_round(spark):
 def test_fixed_point_text(spark, v, two, one, zero):
     r = spark.range(1).select(fmt2(F.lit(v)), fmt1(F.lit(v)), fmt0(F.lit(v))).collect()[0]
     assert tuple(r) == (two, one, zero)
+
+
+def test_dates_ignore_clock_changes_of_the_session_zone(spark):
+    import datetime
+
+    from adfunnel.functions.clean import parse_date
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        row = spark.createDataFrame([("15/10/2017",)], "d string").select(parse_date("d").alias("d")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert row.d == datetime.datetime(2017, 10, 15)

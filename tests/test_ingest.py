@@ -54,3 +54,14 @@ def test_csv_with_dirty_headers(spark, tmp_path):
 def test_missing_table_is_empty(spark, tmp_path):
     tables = IN.load_raw(spark, {"ads": str(tmp_path / "nope.csv")})
     assert all(len(t.columns) == 0 for t in tables.values())
+
+
+def test_missing_path_is_empty_and_a_broken_file_raises(spark, tmp_path):
+    import pytest as _pytest
+
+    from adfunnel.sources.ingest import load_raw
+
+    assert load_raw(spark, {"ads": f"{tmp_path}/none"})["ads"].columns == []
+    (tmp_path / "bad.parquet").write_bytes(b"not parquet")
+    with _pytest.raises(Exception):
+        load_raw(spark, {"ads": f"{tmp_path}/bad.parquet"}, fmt="parquet")

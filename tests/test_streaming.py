@@ -28,3 +28,17 @@ def test_stream_equals_batch(spark):
     assert Counter(tuple(r) for r in streamed.select(*cols).collect()) == Counter(tuple(r) for r in batch.select(*cols).collect())
     fr = freshness(spark, work).collect()[0]
     assert fr["connected"] and fr["refreshes"] >= 1 and not fr["stale"]
+
+
+def test_a_failing_refresh_is_marked_stale_and_keeps_the_last_good_one(spark, tmp_path):
+    from adfunnel.config import FunnelConfig
+    from adfunnel.streaming import refresh as R
+
+    work = str(tmp_path / "work")
+    first = R.freshness(spark, work).first()
+    assert not first.connected and first.stale and not first.insights_ready and R.latest_snapshot(spark, work) is None
+    R._log(spark, work, "a", f"{work}/snapshots/a", "ads:0", stale=False)
+    assert R.refresh_or_mark_stale(spark, work, {}, FunnelConfig(), "ads:1") is None  # no schema for any table
+    last = R.freshness(spark, work).first()
+    assert last.connected and last.stale and last.insights_ready and last.refreshes == 1
+    assert R.latest_snapshot(spark, work) == f"{work}/snapshots/a"
