@@ -256,39 +256,24 @@ def level_facts(lead_facts_all: DataFrame, own: DataFrame) -> DataFrame:
     Campaign rows take leads from the lead attribution but appointments /
     sales / revenue from the records' own campaign (the two attribution
     models of the dashboard); ad set and creative rows take everything from
-    the lead attribution.  One full outer join on all keys merges the two
-    sources: no branch filters a level out of the lead facts, so Spark never
-    pushes a level predicate down and computes the lead side once.
+    the lead attribution.  The two sources are stacked, each with the other's
+    measures null, and merged by one aggregate on all four keys: the rows of a
+    large campaign are dealt by ad set and creative as well, where a join
+    could only be dealt by campaign (the own-campaign side has no other key).
     """
-    lf = lead_facts_all.alias("lf")
-    ow = own.select(
-        F.col("level").alias("o_level"), F.col("campaign_key").alias("o_campaign_key"),
-        _null_str().alias("o_adset_key"), _null_str().alias("o_creative_key"),
-        F.col("appointments").alias("o_appointments"), F.col("sales").alias("o_sales"), F.col("revenue").alias("o_revenue"),
+    by_lead = ~F.col("level").isin("campaign", TOTALS_LEVEL)
+    measures = ("appointments", "sales", "revenue")
+    leads = lead_facts_all.select("level", *KEYS, "leads", *[F.when(by_lead, F.col(m)).alias(m) for m in measures])
+    owned = own.select(
+        "level", "campaign_key", _null_str().alias("adset_key"), _null_str().alias("creative_key"),
+        F.lit(None).cast("long").alias("leads"), *measures,
     )
-    cond = (
-        (F.col("lf.level") == F.col("o_level"))
-        & F.col("lf.campaign_key").eqNullSafe(F.col("o_campaign_key"))
-        & F.col("lf.adset_key").eqNullSafe(F.col("o_adset_key"))
-        & F.col("lf.creative_key").eqNullSafe(F.col("o_creative_key"))
-    )
-    j = lf.join(ow, cond, "full_outer")
-    level = F.coalesce(F.col("lf.level"), F.col("o_level"))
-    own_side = level.isin("campaign", TOTALS_LEVEL)
     zero = F.lit(0).cast("long")
-
-    def pick(name: str, zero_value: Column) -> Column:
-        return F.when(own_side, F.coalesce(F.col(f"o_{name}"), zero_value)).otherwise(F.coalesce(F.col(f"lf.{name}"), zero_value))
-
-    return j.select(
-        level.alias("level"),
-        F.coalesce(F.col("lf.campaign_key"), F.col("o_campaign_key")).alias("campaign_key"),
-        F.col("lf.adset_key").alias("adset_key"),
-        F.col("lf.creative_key").alias("creative_key"),
-        F.coalesce(F.col("lf.leads"), zero).alias("leads"),
-        pick("appointments", zero).alias("appointments"),
-        pick("sales", zero).alias("sales"),
-        pick("revenue", F.lit(0).cast(MONEY)).alias("revenue"),
+    return leads.unionByName(owned).groupBy("level", *KEYS).agg(
+        F.coalesce(F.max("leads"), zero).alias("leads"),
+        F.coalesce(F.max("appointments"), zero).alias("appointments"),
+        F.coalesce(F.max("sales"), zero).alias("sales"),
+        F.coalesce(F.max("revenue"), F.lit(0).cast(MONEY)).alias("revenue"),
     )
 
 

@@ -28,6 +28,16 @@ def test_no_python_udfs_and_no_cartesian(spark):
             assert bad not in p, (name, bad)
 
 
+def test_level_facts_are_dealt_by_all_keys(spark):
+    """No join that could only be dealt by campaign: a hot campaign's rows spread over its ad sets and creatives."""
+    f = Funnel(silver_tables(spark, SF), FIXTURE_CONFIG)
+    p = plan(f.level_facts)
+    assert "FullOuter" not in p
+    top = next(line for line in p.splitlines() if "Exchange hashpartitioning" in line)
+    for key in ("level", "campaign_key", "adset_key", "creative_key"):
+        assert f"{key}#" in top, top
+
+
 def test_date_filter_reaches_the_scan(spark):
     f = Funnel(silver_tables(spark, SF), FIXTURE_CONFIG)
     p = plan(f.ads_f)
