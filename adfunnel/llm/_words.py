@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -55,12 +54,34 @@ def split(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     return words, np.concatenate(([0], np.cumsum(counts)))
 
 
-def hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word; every distinct word of the slice is hashed once."""
-    coded = words.dictionary_encode()
-    each = coded.dictionary.to_numpy(zero_copy_only=False)  # much faster than to_pylist
-    own = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
-    return own[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+def _byte_values(key: np.ndarray) -> np.ndarray:
+    """A random-looking 64-bit value for each place << 8 | byte."""
+    return mix((key.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_VALUES = _byte_values(np.arange(64 << 8))
+
+
+def hashes(words: pa.Array, block: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each word (none is empty): the mixed sum of the values of its bytes by their places in it."""
+    out = np.zeros(len(words), np.uint64)
+    if not len(words):
+        return out
+    _, at, data = words.buffers()
+    ends = np.frombuffer(at, np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    for k in range(0, len(words), block):
+        some = ends[k : k + block + 1]
+        size = np.diff(some)
+        key = np.arange(some[0], some[-1])
+        key -= np.repeat(some[:-1], size)
+        key <<= 8
+        key += data[some[0] : some[-1]]
+        value = _VALUES.take(key, mode="clip")
+        far = np.flatnonzero(key >= len(_VALUES))
+        value[far] = _byte_values(key[far])
+        out[k : k + block] = np.add.reduceat(value, some[:-1] - some[0])
+    return mix(out)
 
 
 def joined(words: pa.Array, starts: np.ndarray) -> list[str]:
