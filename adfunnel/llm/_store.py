@@ -34,7 +34,7 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         self.spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of plans that the driver has forgotten
         # with the schema at hand no file is opened for it, and an empty table reads back too
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
