@@ -47,7 +47,6 @@ class _Slice:
 
     def __init__(self, texts: pa.Array, window: int, phrase: int):
         self.words, self.at = _words.split(texts)
-        self.lines = _words.joined(self.words, self.at)
         self.hash = _words.hashes(self.words)
         n = len(self.hash)
         self.end = np.repeat(self.at[1:], np.diff(self.at))  # of each word's text
@@ -82,7 +81,7 @@ def _read(docs: DataFrame, window: int, phrase: int) -> DataFrame:
         for batch in batches:
             for part in _words.chunks(batch, "text", 1 << 20):
                 s = _Slice(part.column("text"), window, phrase)
-                sha, f, g = zip(*map(_digest, s.lines), strict=True)
+                sha, f, g = zip(*map(_digest, _words.joined(s.words, s.at)), strict=True)
                 # phrases chosen by each text; one chosen at two places is listed twice
                 place = np.flatnonzero(s.chosen())
                 text, value = np.searchsorted(s.at, place, side="right") - 1, s.grams[place]
@@ -155,7 +154,8 @@ def _locate(rows: DataFrame, window: int, phrase: int) -> DataFrame:
                     # where the space after each word stands in the line of its text
                     size = np.cumsum(pc.utf8_length(s.words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
                     found = np.zeros(len(s.words), bool)
-                    for a, b, line in zip(s.at[:-1].tolist(), s.at[1:].tolist(), s.lines, strict=True):
+                    lines = part.column("text").to_numpy(zero_copy_only=False)  # words joined by one space
+                    for a, b, line in zip(s.at[:-1].tolist(), s.at[1:].tolist(), lines, strict=True):
                         if b - a >= window and (hits := [e for e, _ in machine.iter(f" {line} ")]):
                             ends = size[a:b] - (size[a - 1] if a else 0)
                             found[a + np.searchsorted(ends, hits) - phrase + 1] = True
@@ -233,12 +233,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sent = sent.select("shard", F.pmod(F.xxhash64("id", "u"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_doc"), "id", "u", "text")
     dealt = words.unionByName(sent).repartition("shard", "part").sortWithinPartitions("shard", "part", "is_doc")
     found = scratch.save(_locate(dealt, window, phrase), "found")
+    # each of these shuffles is deleted before the next begins
     least = found.groupBy("w").agg(F.min(F.struct("id", "u", "p")).alias("least"), F.count("*").alias("n")).where("n > 1").select("w", "least")
+    least = scratch.save(least, "least")
     later = found.join(least, "w").where(F.struct("id", "u", "p") > F.col("least"))
-    starts = later.groupBy("id", "u").agg(F.collect_list("p").alias("starts"))
+    starts = scratch.save(later.groupBy("id", "u").agg(F.collect_list("p").alias("starts")), "starts")
+    scratch.drop("found", "least")
     cut = _cut(active.select("id", "u", "text").join(starts, ["id", "u"]), window, keep_text)
     cut = scratch.save(cut.dropDuplicates(["id", "u"]), "cut")
-    scratch.drop("found", "active")
+    scratch.drop("starts", "active")
     copy = (F.col("id") != F.col("first")) & (F.col("n_words") >= window)
     out = named.drop("chosen").join(cut, ["id", "u"], "left")
     cols = [
@@ -253,13 +256,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _same_words(texts: DataFrame) -> DataFrame:
-    """Rows whose text has the words that f stands for; of equal rows all stay."""
+    """Rows whose text has the words that f stands for, with these words joined by one space as text; of equal rows all stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _words.chunks(batch, "text", 1 << 20):
                 words, at = _words.split(part.column("text"))
-                ok = [_digest(line)[1] == f for line, f in zip(_words.joined(words, at), part.column("f").to_pylist(), strict=True)]
-                yield part.filter(pa.array(ok, pa.bool_()))
+                lines = _words.joined(words, at)
+                ok = [_digest(line)[1] == f for line, f in zip(lines, part.column("f").to_pylist(), strict=True)]
+                plain = part.set_column(part.schema.get_field_index("text"), "text", pa.array(lines, pa.string()))
+                yield plain.filter(pa.array(ok, pa.bool_()))
 
     return texts.mapInArrow(run, texts.schema)
