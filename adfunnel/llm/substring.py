@@ -9,11 +9,13 @@ also starts earlier. Comparing all windows of a corpus would shuffle every word
    one, so about 2 / (window - phrase + 2) phrases a word are posted.
 2. Confirmed phrases are those chosen twice or more in the corpus. Each has an
    owner, the first document with it; the shard of a phrase is that of its
-   owner, so a copied passage stays together and a document goes to few shards.
+   owner, so a copied passage stays together.
 3. Per shard an Aho-Corasick automaton is compiled from the confirmed phrases,
-   and the documents sent there stream through it: it locates every occurrence.
-   A shard with many documents is dealt to several tasks, each with the
-   automaton; memory is bounded by the phrases of a shard.
+   and all documents stream through it: it locates every occurrence. Of a
+   document a shard gets the stretches that can hold a window with one of its
+   phrases, so what is sent doesn't grow with the number of shards. A shard
+   with much text is dealt to several tasks, each with the automaton; memory is
+   bounded by the phrases of a shard.
 4. Windows whose phrase was located are posted by the hash of their words; the
    first place of each is a pre-aggregated minimum, and later places are
    removed.
@@ -120,10 +122,50 @@ def _phrases(active: DataFrame, phrase: int) -> DataFrame:
     return own.mapInArrow(run, "shard int, phrase string")
 
 
+def _stretches(active: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(shard, id, u, off, text): words of each document, from word ``off`` on, that windows with a phrase of the shard can cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _words.chunks(batch, "text", 1 << 20):
+                words, at = _words.split(part.column("text"))
+                grams = _words.window_hashes(_words.hashes(words), phrase).view(np.int64)
+                text, shards, begin, end = [], [], [], []
+                for i, (own, of) in enumerate(zip(part.column("met").to_numpy(zero_copy_only=False), part.column("met_shard").to_numpy(zero_copy_only=False), strict=True)):
+                    here = grams[at[i] : max(at[i], at[i + 1] - phrase + 1)]
+                    order = np.argsort(own)
+                    own, of = own[order], of[order]
+                    k = np.minimum(np.searchsorted(own, here), len(own) - 1)
+                    place = np.flatnonzero(own[k] == here)
+                    if not len(place):
+                        continue
+                    shard = of[k[place]]
+                    order = np.argsort(shard, kind="stable")
+                    place, shard = place[order], shard[order]
+                    low, high = np.maximum(place - (window - phrase), 0), np.minimum(place + window, at[i + 1] - at[i])
+                    # stretches of one shard that touch are one
+                    new = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (low[1:] > high[:-1]))))
+                    last = np.append(new[1:], len(place)) - 1
+                    text.append(np.full(len(new), i))
+                    shards.append(shard[new])
+                    begin.append(low[new])
+                    end.append(high[last])
+                if not text:
+                    continue
+                row, off, size = np.concatenate(text), np.concatenate(begin), np.concatenate(end) - np.concatenate(begin)
+                starts = np.concatenate(([0], np.cumsum(size)))
+                take = np.arange(starts[-1]) + np.repeat(at[row] + off - starts[:-1], size)
+                lines = _words.joined(words.take(pa.array(take)), starts)
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards), pa.int32()), part.column("id").take(row), part.column("u").take(row), pa.array(off, pa.int32()), pa.array(lines, pa.string())], ["shard", "id", "u", "off", "text"])
+
+    return active.mapInArrow(run, "shard int, id bigint, u bigint, off int, text string")
+
+
 def _locate(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     """(w, id, u, p): windows whose chosen phrase the automaton of their shard locates.
 
-    Rows arrive ordered by shard and part, phrases before documents.
+    Rows arrive ordered by shard and part, phrases before stretches of documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +203,9 @@ def _locate(rows: DataFrame, window: int, phrase: int) -> DataFrame:
                             found[a + np.searchsorted(ends, hits) - phrase + 1] = True
                     p = s.having(found)
                     text = np.searchsorted(s.at, p, side="right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(_words.window_hashes(s.hash, window)[p].view(np.int64)), part.column("id").take(pa.array(text)), part.column("u").take(pa.array(text)), pa.array((p - s.at[text]).astype(np.int32))], ["w", "id", "u", "p"])
+                    begin = p - s.at[text] + part.column("off").to_numpy()[text]
+                    text = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([pa.array(_words.window_hashes(s.hash, window)[p].view(np.int64)), part.column("id").take(text), part.column("u").take(text), pa.array(begin.astype(np.int32))], ["w", "id", "u", "p"])
 
     return rows.mapInArrow(run, "w bigint, id bigint, u bigint, p int")
 
@@ -218,21 +262,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shards = max(1, -(-shared.count() // phrases_a_shard))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
     met = posts.join(shared, "h").withColumn("shard", shard("owner")).withColumn("mine", F.when(F.struct("id", "u") == F.col("owner"), F.col("h")))
-    # per document: the shards it goes to, and the phrases it owns (of one shard, its own)
-    info = met.groupBy("id", "f", "u").agg(F.collect_set("shard").alias("shards"), F.collect_set("mine").alias("own"))
-    info = scratch.save(info.withColumnRenamed("id", "i_id"), "info")
-    active = own.join(info, F.col("id") == F.col("i_id")).select("id", "f", "u", "text", "shards", "own")
+    # per document: its confirmed phrases with their shards, and the phrases it owns (of one shard, its own)
+    info = met.groupBy("id", "f", "u").agg(F.collect_set(F.struct("h", "shard")).alias("met"), F.collect_set("mine").alias("own"))
+    info = info.select(F.col("id").alias("i_id"), "f", "u", F.col("met.h").alias("met"), F.col("met.shard").alias("met_shard"), "own")
+    info = scratch.save(info, "info")
+    active = own.join(info, F.col("id") == F.col("i_id")).select("id", "f", "u", "text", "met", "met_shard", "own")
     active = scratch.save(_same_words(active).drop("f"), "active")
     scratch.drop("shared", "info")
-    size = active.select(F.explode("shards").alias("shard"), F.length("text").alias("c")).groupBy("shard").agg(F.ceil(F.sum("c") / chars_a_task).cast("int").alias("parts"))
+    sent = scratch.save(_stretches(active, window, phrase), "sent")
+    size = sent.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / chars_a_task).cast("int").alias("parts"))
     size = scratch.save(size, "size")
     words = _phrases(active.withColumn("shard", shard(F.struct("id", "u"))), phrase)
     none = F.lit(0).cast("bigint")
-    words = words.join(size, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_doc"), none.alias("id"), none.alias("u"), F.col("phrase").alias("text"))
-    sent = active.select(F.explode("shards").alias("shard"), "id", "u", "text").join(size, "shard")
-    sent = sent.select("shard", F.pmod(F.xxhash64("id", "u"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_doc"), "id", "u", "text")
+    words = words.join(size, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_doc"), none.alias("id"), none.alias("u"), F.lit(0).alias("off"), F.col("phrase").alias("text"))
+    sent = sent.join(size, "shard").withColumn("part", F.pmod(F.xxhash64("id", "u", "off"), F.col("parts")).cast("int"))
+    sent = sent.select("shard", "part", F.lit(True).alias("is_doc"), "id", "u", "off", "text")
     dealt = words.unionByName(sent).repartition("shard", "part").sortWithinPartitions("shard", "part", "is_doc")
     found = scratch.save(_locate(dealt, window, phrase), "found")
+    scratch.drop("sent")
     # each of these shuffles is deleted before the next begins
     least = found.groupBy("w").agg(F.min(F.struct("id", "u", "p")).alias("least"), F.count("*").alias("n")).where("n > 1").select("w", "least")
     least = scratch.save(least, "least")
