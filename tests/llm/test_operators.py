@@ -9,9 +9,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from adfunnel.llm import _words as _word_arrays
 from adfunnel.llm import binary, bpe, embed, lines, minhash, mixing, oracle, pii, quality, queries, secrets, substring
 from adfunnel.llm._bpe import WordCoder
 from adfunnel.llm._store import Scratch
@@ -172,7 +174,8 @@ def test_tree_join_of_unsplit_text():
         assert got == coder.tok.encode(text, add_special_tokens=False).ids, (n, text, cut)
 
 
-def test_substrings_brute_force(docs, rows):
+def _substrings(rows):
+    """The rows of op5 by plain search."""
     first, want = {}, {}
     order = sorted({(i if i is not None else -(1 << 63), " ".join(_words(t))) for i, t, _ in rows}, key=lambda r: (r[0], int.from_bytes(hashlib.sha256(r[1].encode()).digest()[:8], "little", signed=True)))
     for i, line in order:
@@ -183,8 +186,37 @@ def test_substrings_brute_force(docs, rows):
                 gone.update(range(p, p + 20))
             first.setdefault(tuple(w[p : p + 20]), (i, p))
         want[i, line] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+    return sorted(((i, *want[i if i is not None else -(1 << 63), " ".join(_words(t))]) for i, t, _ in rows), key=repr)
+
+
+def test_substrings_brute_force(docs, rows):
     got = sorted((tuple(r) for r in substring.dedup_substrings(docs, phrases_a_shard=40, chars_a_task=2000).collect()), key=repr)
-    assert got == sorted(((i, *want[i if i is not None else -(1 << 63), " ".join(_words(t))]) for i, t, _ in rows), key=repr)
+    assert got == _substrings(rows)
+
+
+def test_substrings_from_many_owners(spark):
+    """Documents made of passages of many others, back to back, apart, cut and repeated, so that shards get several stretches of one document."""
+    rng = random.Random(11)
+    passages = [_rng_words(rng, rng.randrange(18, 60), 3000) for _ in range(40)]
+    rows = [(i, " ".join(_rng_words(rng, 30, 3000) + p), None) for i, p in enumerate(passages)]
+    for i in range(100, 130):
+        words = []
+        for p in rng.choices(passages, k=rng.randrange(1, 25)):
+            words += p[rng.randrange(3) :] + _rng_words(rng, rng.choice([0, 0, 1, 5, 80]), 3000)
+        rows.append((i, "  ".join(words), None))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = sorted((tuple(r) for r in substring.dedup_substrings(docs, phrases_a_shard=8, chars_a_task=3000).collect()), key=repr)
+    assert got == _substrings(rows)
+
+
+def test_word_hashes():
+    """Equal for equal words wherever they stand, apart for others, long words included."""
+    words = pa.array(["a", "b", "ab", "ba", "aa", "é", "x" * 70, "x" * 71, "x" * 70 + "y", "a"] * 20)
+    h = _word_arrays.hashes(words)
+    assert len(set(h.tolist())) == 9 and h[0] == h[9]
+    for other, want in ((words.slice(5, 7), h[5:12]), (words.cast(pa.large_string()), h), (words.slice(0, 0), h[:0])):
+        assert (_word_arrays.hashes(other) == want).all()
+    assert (_word_arrays.hashes(words, block=3) == h).all()
 
 
 @pytest.mark.parametrize("m", [1, 2, 3, 5])
