@@ -8,6 +8,7 @@ slice is looked up once; words not seen before are encoded together.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ class WordCoder:
 
     ``most_words`` bounds the memory only: when it is full it is emptied, and
     results don't depend on it. Lower-casing ASCII letters first is exact where
-    the file's normaliser lower-cases; otherwise it is left out.
+    the file's normaliser lower-cases, but for texts that ``cased`` matches;
+    otherwise it is left out.
     """
 
     def __init__(self, path: str, most_words: int):
@@ -41,6 +43,8 @@ class WordCoder:
         self.wide = size > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        # a capital and a combining mark can compose otherwise than their lower case, and added tokens are matched in the raw text
+        self.cased = "|".join(["[^\\x{0}-\\x{2FF}]", *(f"(?i:{re.escape(t)})" for t in sorted(self.special))])
         self.mark = next((i for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip), None)
         self.mark_text = self.tok.id_to_token(self.mark) if self.mark is not None else None
 
@@ -82,9 +86,9 @@ class WordCoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and per text the place of its first id (one more entry than texts)."""
         if self.lower:
-            # a capital and a combining mark can compose otherwise than their lower case: such texts are left to the tokenizer
-            marked = pc.match_substring_regex(texts, "[^\\x{0}-\\x{2FF}]")
-            texts = pc.if_else(marked, texts, pc.ascii_lower(texts))
+            # such texts are left to the tokenizer
+            cased = pc.match_substring_regex(texts, self.cased)
+            texts = pc.if_else(cased, texts, pc.ascii_lower(texts))
         words, starts = _words.split(texts)
         if not len(words):
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)

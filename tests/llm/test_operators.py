@@ -174,6 +174,36 @@ def test_tree_join_of_unsplit_text():
         assert got == coder.tok.encode(text, add_special_tokens=False).ids, (n, text, cut)
 
 
+def _cased_marks():
+    """Texts with added tokens in other spellings, alone, within words, beside right ones and cut by halves."""
+    texts = ["x <|EndOfText|> y", "<|STARTOFTEXT|>", "A<|endoftext|>B <|ENDOFTEXT|>.", "<|EndOfText", "Plain Text", "<|\u017ftartoftext|>", "a <|startoftext|> B"]
+    return [(i, t, "s") for i, t in enumerate(texts)] + [(20 + k, "Ab cd " * (40 + k) + "<|EndOfText|> E<|ENDOFTEXT|>f " * 9, "s") for k in range(8)]
+
+
+@pytest.mark.parametrize("piece", [97, 16384])
+def test_encoding_of_added_tokens_in_capitals(spark, piece):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    rows = _cased_marks()
+    out = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), queries.tokenizer_path(), piece_chars=piece, with_ids=True)
+    assert {r.doc_id: r.ids for r in out.collect()} == {i: tok.encode(t, add_special_tokens=False).ids for i, t, _ in rows}
+
+
+def test_token_files_of_added_tokens_in_capitals(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    rows = _cased_marks()
+    binary.write_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string"), f"file://{tmp_path}/t", queries.tokenizer_path(), end_id=1, partitions=2)
+    at, want = 0, []
+    for i, t, _ in rows:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
+        want.append((i, at, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in binary.read_digests(spark, f"file://{tmp_path}/t").collect()) == want
+
+
 def _substrings(rows):
     """The rows of op5 by plain search."""
     first, want = {}, {}
