@@ -377,3 +377,12 @@ def test_pipeline_stages(spark):
             assert before == after and set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
         docs = out
     assert p.run(spark, SF).exceptAll(docs).count() == 0
+
+
+def test_pipeline_leaves_no_repeated_line(spark):
+    """A line that repeats by itself, without a neighbour that does, goes too."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(1, "a one\nshared line\nb one", 22), (2, "a two\nshared line\nb two", 22), (3, "shared line", 11)], "doc_id long, text string, n_chars int")
+    got = sorted(tuple(r) for r in p.line_dedup(spark, docs, SF).collect())
+    assert got == [(1, "a one\nshared line\nb one", 22), (2, "a two\nb two", 11), (3, "", 0)]
