@@ -7,9 +7,10 @@ turned back. Distinct entities keep distinct replacements: all entities of the
 corpus are one table, where replacements that meet each other or a real entity
 are drawn again until none does.
 
-Form is kept character by character: digits become digits, Latin, Cyrillic and
-Greek letters become letters of their script and case, vowels vowels;
-punctuation stays. Card numbers keep their check digit right, IP addresses
+Form is kept character by character: digits become digits, letters become
+letters of their script and case, vowels vowels where the script is Latin,
+Cyrillic or Greek (letters of scripts not listed become Latin ones);
+punctuation stays. A form without a free member is left. Card numbers keep their check digit right, IP addresses
 stay in range, e-mail hosts keep the top-level name, given names are taken from
 names of the same gender and script, and the last letter of other names, which
 often marks gender, stays.
@@ -40,7 +41,23 @@ FEMALE_CYRILLIC = ("Анна", "Вера", "Елена", "Ирина", "Мари
 PERSON = r"\b(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES) + r")\b\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
 TYPES = [("email", EMAIL), ("card", CARD), ("ip", IP), ("ssn", SSN), ("phone", PHONE), ("person", PERSON)]
 #: Letters that take each other's place.
-LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+LETTERS = [
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
+    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "ъь", "ЪЬ", "іїє", "ІЇЄ", "ўґђѓјљњћќџѕ", "ЎҐЂЃЈЉЊЋЌЏЅ",
+    "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "άέήίόύώϊϋΐΰ", "ΆΈΉΊΌΎΏΪΫ", "ςνρ",
+    "àáâãäåāăąæèéêëēĕėęěìíîïĩīĭįòóôõöøōŏőœùúûüũūŭůűųýÿŷ", "ÀÁÂÃÄÅĀĂĄÆÈÉÊËĒĔĖĘĚÌÍÎÏĨĪĬĮÒÓÔÕÖØŌŎŐŒÙÚÛÜŨŪŬŮŰŲÝŸŶ",
+    "çćĉċčďđĝğġģĥħĵķĺļľłñńņňŕŗřśŝşšţťŧŵźżžðþß", "ÇĆĈĊČĎĐĜĞĠĢĤĦĴĶĹĻĽŁÑŃŅŇŔŖŘŚŜŞŠŢŤŦŴŹŻŽÐÞ",
+]
+#: Other letters by script (Java patterns), and what takes their place; the last ones leave the script, not the case.
+SCRIPTS = [
+    (r"\p{IsHan}", "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗"), (r"\p{IsHangul}", "김이박최정강조윤장임한오서신권황안송류홍"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねの"), (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノ"),
+    (r"[\p{IsArabic}&&\p{L}]", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"), (r"[\p{IsHebrew}&&\p{L}]", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"[\p{IsArmenian}&&\p{Lu}]", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀ"), (r"[\p{IsArmenian}&&\p{L}]", "աբգդեզէըթժիլխծկհ"), (r"[\p{IsGeorgian}&&\p{Ll}\p{Lo}]", "აბგდევზთიკლმნოპრსტუფქღყშჩცძწჭხჯჰ"),
+    (r"[\p{IsDevanagari}&&\p{L}]", "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"), (r"[\p{IsThai}&&\p{L}]", "กขคงจฉชซดตถทนบปผฝพฟภมยรลวสหอ"),
+    (r"[\p{IsCyrillic}&&\p{Lu}]", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"), (r"[\p{IsCyrillic}&&\p{L}]", "бвгджзклмнпрстфхцчшщ"), (r"[\p{IsGreek}&&\p{Lu}]", "ΑΕΗΙΟΥΩ"), (r"[\p{IsGreek}&&\p{L}]", "αεηιουω"),
+    (r"[\p{Lu}\p{Lt}]", "ABCDEFGHIJKLMNOPRSTUVZ"), (r"\p{L}", "abcdefghijklmnoprstuvz"),
+]
 
 _ALL = "|".join(p for _, p in TYPES)
 #: What a text must have for any of the patterns.
@@ -55,8 +72,15 @@ def _draw(key: str, salt: str, n: str, at: str) -> str:
 def _by_form(key: str, salt: str, column: str) -> str:
     """SQL that replaces each character by one of its class."""
     cases = "".join(f" when instr('{s}', c) > 0 then substr('{s}', int({_draw(key, salt, str(len(s)), 'i')}) + 1, 1)" for s in LETTERS)
+    other = "".join(f" when c rlike '{p}' then substr('{s}', int({_draw(key, salt, str(len(s)), 'i')}) + 1, 1)" for p, s in [(p.replace("\\", "\\\\"), s) for p, s in SCRIPTS])
     digit = f" when c between '0' and '9' then cast({_draw(key, salt, '10', 'i')} as string)"
-    return f"array_join(transform(split({column}, ''), (c, i) -> case when c = '' then ''{digit}{cases} else c end), '')"
+    return f"array_join(transform(split({column}, ''), (c, i) -> case when c = '' then ''{digit}{cases}{other} else c end), '')"
+
+
+def _more(key: str, every: int, digits: bool) -> str:
+    """SQL for the characters that a surrogate grows by, one more every so many attempts, so that no form can run out."""
+    drawn = f"substr(sha2(concat_ws('|', '{key}', type, name, attempt, 'x'), 256), 1, int(attempt / {every}))"
+    return f"translate({drawn}, 'abcdef', '012345')" if digits else drawn
 
 
 def _quoted(names: tuple[str, ...]) -> str:
@@ -66,24 +90,25 @@ def _quoted(names: tuple[str, ...]) -> str:
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``entities`` (type, name, attempt) with ``surrogate``; a pure function of these and the key.
 
-    From the second attempt on the same entity gets another draw; names grow by
-    a letter every few attempts, so that a small form can't run out.
+    From the second attempt on the same entity gets another draw; after some
+    attempts surrogates of every type leave their form, names and e-mail
+    addresses by a letter every four, the others by a digit every sixteen, so
+    that no form can run out.
     """
     key = key.replace("\\", "").replace("'", "")
     d = entities
     whole = _by_form(key, "", "name")
     d = d.withColumn("formed", F.expr(whole))
     # card: the last digit makes the sum of Luhn's rule divisible by ten
-    body = F.expr("filter(split(formed, ''), c -> c between '0' and '9')")
-    d = d.withColumn("digits", F.when(F.col("type") == "card", body))
-    luhn = "aggregate(transform(slice(digits, 1, 15), (c, i) -> if(i % 2 = 0, if(int(c) * 2 > 9, int(c) * 2 - 9, int(c) * 2), int(c))), 0, (a, x) -> a + x)"
-    card = F.expr(f"concat(substr(name, 1, 1), substr(formed, 2, length(formed) - 2), cast(pmod(10 - pmod({luhn.replace('digits', 'card_digits')}, 10), 10) as string))")
-    d = d.withColumn("card_digits", F.when(F.col("type") == "card", F.expr("concat(array(substr(name, 1, 1)), slice(digits, 2, 15))")))
+    d = d.withColumn("body", F.when(F.col("type") == "card", F.expr(f"concat(substr(name, 1, 1), substr(formed, 2, length(formed) - 2), {_more(key, 16, True)})")))
+    d = d.withColumn("digits", F.expr("filter(split(body, ''), c -> c between '0' and '9')"))
+    luhn = "aggregate(transform(digits, (c, i) -> if((i + size(digits)) % 2 = 1, if(int(c) * 2 > 9, int(c) * 2 - 9, int(c) * 2), int(c))), 0, (a, x) -> a + x)"
+    card = F.expr(f"concat(body, cast(pmod(10 - pmod({luhn}, 10), 10) as string))")
     octets = [f"cast(1 + {_draw(key, 'o' + str(i), '254', str(i))} as string)" for i in range(4)]
-    ip = F.expr(f"concat_ws('.', {', '.join(octets)})")
+    ip = F.expr(f"concat_ws('.', {', '.join(octets)}, nullif({_more(key, 16, True)}, ''))")
     # phone: a number that begins with 0 or 1 doesn't exist in this form; the country code stays
-    phone = F.expr(f"concat(regexp_extract(name, '^(\\\\+\\\\d+[ .-]?)?', 0), regexp_replace(substr(formed, 1 + length(regexp_extract(name, '^(\\\\+\\\\d+[ .-]?)?', 0))), '^(\\\\(?)[01]', concat('$1', cast(2 + {_draw(key, 'p', '8', '0')} as string))))")
-    email = F.expr(f"concat(substring_index(formed, '@', 1), '@', {_host(key)})")
+    phone = F.expr(f"concat(regexp_extract(name, '^(\\\\+\\\\d+[ .-]?)?', 0), regexp_replace(substr(formed, 1 + length(regexp_extract(name, '^(\\\\+\\\\d+[ .-]?)?', 0))), '^(\\\\(?)[01]', concat('$1', cast(2 + {_draw(key, 'p', '8', '0')} as string))), {_more(key, 16, True)})")
+    email = F.expr(f"concat(substring_index(formed, '@', 1), {_more(key, 4, False)}, '@', {_host(key)})")
     title = F.regexp_extract("name", r"^(\p{L}+\.? )", 1)
     rest = F.expr("substr(name, length(regexp_extract(name, '^(\\\\p{L}+\\\\.? )', 1)) + 1)")
     d = d.withColumn("title", title).withColumn("rest", rest)
@@ -101,9 +126,11 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         .when(male, pick(MALE_LATIN)).when(female, pick(FEMALE_LATIN))
         .otherwise(F.expr(_by_form(key, "n", "given")))
     )
-    grown = F.expr(f"concat(substr({_by_form(key, 'l', 'last')}, 1, length(last) - 1), repeat(if(last rlike '\\\\p{{IsCyrillic}}', 'о', 'e'), int(attempt / 4)), substr(last, -1, 1))")
+    # the letter before the last is repeated and drawn with the others
+    d = d.withColumn("stem", F.expr("concat(substr(last, 1, greatest(length(last) - 1, 1)), repeat(substr(last, greatest(length(last) - 1, 1), 1), int(attempt / 4)))"))
+    grown = F.expr(f"concat({_by_form(key, 'l', 'stem')}, if(length(last) > 1, substr(last, -1, 1), ''))")
     person = F.concat("title", given, F.when(F.col("given") == "", "").otherwise(" "), grown)
-    made = F.when(F.col("type") == "card", card).when(F.col("type") == "ip", ip).when(F.col("type") == "phone", phone).when(F.col("type") == "email", email).when(F.col("type") == "person", person).otherwise(F.col("formed"))
+    made = F.when(F.col("type") == "card", card).when(F.col("type") == "ip", ip).when(F.col("type") == "phone", phone).when(F.col("type") == "email", email).when(F.col("type") == "person", person).otherwise(F.expr(f"concat(formed, {_more(key, 16, True)})"))
     return d.select("type", "name", "attempt", made.alias("surrogate"))
 
 
