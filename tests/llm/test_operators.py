@@ -295,6 +295,38 @@ def test_surrogate_collisions_are_drawn_again(spark):
     assert len({r.surrogate for r in out}) == len(names) and not {r.surrogate for r in out} & {n for _, n in names}
 
 
+def test_surrogates_of_name_parts_and_further_mentions(spark):
+    rows = [(1, "Dr Anna Weber spoke. Weber said so, Weber's notes (Weber-led) and Anna Weber agreed; Webern, weber and Mr Webers not."), (2, "Mr. Smith, Mr Smith, Mr John Smith, Dr Smith's and Prof. Anna Smith-Weber"), (3, "Anna, Weber and Smith in a text without titles"), (4, "Mrs Martin Martin and Martin; Dr O'Neil-Ångström, O'Neil-Ångström")]
+    text = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Dr (\w+) (\w+) spoke\. (\w+) said so, (\w+)'s notes \((\w+)-led\) and (\w+) (\w+) agreed; Webern, weber and Mr (\w+) not\.", text[1].text)
+    assert m and m[1] == m[6] != "Anna" and m[1] in pii.FEMALE_LATIN
+    assert len({m[2], m[3], m[4], m[5], m[7]}) == 1 and m[2] != "Weber" and m[8] not in ("Webers", m[2])
+    n = re.fullmatch(r"Mr\. (\w+), Mr (\w+), Mr (\w+) (\w+), Dr (\w+)'s and Prof\. (\w+) (\w+-\w+)", text[2].text)
+    assert n and len({n[1], n[2], n[4], n[5]}) == 1 and n[1] != "Smith" and n[3] in pii.MALE_LATIN and n[6] == m[1]
+    assert text[3].text == rows[2][1] and [text[i].n_person for i in (1, 2, 3, 4)] == [2, 5, 0, 2]
+    assert "Martin" not in text[4].text and "Neil" not in text[4].text
+    assert len(set(re.findall(r"\w'\w+-\w+", text[4].text))) == 1
+
+
+def test_surrogates_of_further_cards_and_phones(spark):
+    rows = [(1, "3782 822463 10005"), (2, "378282246310005"), (3, "30569309025904"), (4, "+44 20 7946 0958"), (5, "5553824111"), (6, "+442079460958"), (7, "+33 1 23 45 67 89"), (8, "at 1733146605 and 12345678901 and x5553824111")]
+    out = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:7]:
+        new = out[i].text
+        assert new != t and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", t) and (out[i].n_card, out[i].n_phone) == ((1, 0) if i < 4 else (0, 1))
+        if i < 4:
+            digits = [int(c) for c in new if c.isdigit()]
+            assert new[:2] == t[:2] and sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(reversed(digits))) % 10 == 0
+    assert out[4].text.startswith("+44 ") and out[6].text.startswith("+44") and out[6].text[3:] != rows[5][1][3:] and out[7].text.startswith("+33 ")
+    assert out[8].text == rows[7][1]
+
+
+def test_given_names_stay_apart_when_the_list_runs_out(spark):
+    names = [("given_m", n) for n in pii.MALE_LATIN] + [("given_f", f"F{c}") for c in "abcdefghijklmnopqrstu"] + [("given_n", "Ka"), ("given_n", "Ke")]
+    out = pii.distinct_surrogates(spark.createDataFrame(names, "type string, name string"), "k", Scratch(spark, "t")).collect()
+    assert len({r.surrogate for r in out}) == len(names) == len(out) and all(r.surrogate != r.name for r in out)
+
+
 @pytest.mark.parametrize("name", ["----@----.com", "%@-.io", "a@b.co"])
 def test_surrogates_leave_a_form_that_has_run_out(spark, name):
     """Forms with one member, or with fewer than there are entities, still come to an end."""
