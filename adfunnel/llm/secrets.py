@@ -1,8 +1,8 @@
-"""Secret scans judged by how many owners share a candidate.
+"""Secret scans judged by how many owners and repositories share a candidate.
 
-Patterns find candidates in every text. A candidate that many owners carry is
-an example copied from documentation; one that stays with its owner looks
-live. Only hashes of candidates leave the scan. Counting is two-level and
+Patterns find candidates in every text. A candidate that many owners carry, or
+many repositories of few owners, is an example copied from documentation; one
+that stays in its place looks live. Only hashes of candidates leave the scan. Counting is two-level and
 pre-aggregated, so an example in a third of all documents is a few rows.
 """
 
@@ -31,6 +31,8 @@ KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:gh[pousr]_[A-Za-z0-9]{36,}|sk_(?:live
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ENTROPY = 3.5
 MIN_OWNERS_OF_EXAMPLE = 3
+#: Repositories per owner from which on a candidate of few owners is widely copied too.
+MIN_REPOSITORIES_PER_OWNER = 20
 
 # a run of 32 covers 8 places in a row of every fourth character
 _SOME_HEX = re.compile(r"[0-9a-f]{7}")
@@ -81,19 +83,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repositories) over all candidates. A null owner or repository counts as one of its own."""
-    each = found.select(F.explode("spans").alias("s"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"))
+    """(hash, n_owners, n_repositories) over all candidates. A null owner or repository counts as one of its own, apart from the empty string."""
+    each = found.select(F.explode("spans").alias("s"), "owner", "repository")
     each = each.groupBy(F.col("s.hash").alias("hash"), "owner", "repository").agg(F.count("*").alias("n"))
     by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository: F.Column | None = None, example_owners: int = MIN_OWNERS_OF_EXAMPLE) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository: F.Column | None = None, example_owners: int = MIN_OWNERS_OF_EXAMPLE, example_repositories: int = MIN_REPOSITORIES_PER_OWNER) -> DataFrame:
     """(id, spans) per row of ``docs``: each span with kind, start, end, hash, n_owners, n_repositories and live.
 
     Spans of the base kinds always stay and carry the verdict; a further
     candidate is a span only if it looks live, that is, if fewer than
-    ``example_owners`` owners have it. By default a document is its own
+    ``example_owners`` owners have it, in fewer than ``example_repositories``
+    repositories per owner. By default a document is its own
     repository. Null and empty texts have no spans; null and repeated ids and
     repeated rows are rows like any other; other columns are not read. An empty
     table gives an empty result.
@@ -102,7 +105,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = scratch.save(scan(docs, id_col, text_col, owner_col, repository), "found")
     owners = scratch.save(ownership(found), "owners")
     each = found.where("size(spans) > 0").select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    each = each.join(owners, "hash").withColumn("live", F.col("n_owners") < example_owners)
+    each = each.join(owners, "hash").withColumn("live", (F.col("n_owners") < example_owners) & (F.col("n_repositories") < F.col("n_owners") * example_repositories))
     base = F.col("kind").isin(*KINDS[:3])
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     # a row's spans: as many as its text holds

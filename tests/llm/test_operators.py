@@ -174,6 +174,20 @@ def test_tree_join_of_unsplit_text():
         assert got == coder.tok.encode(text, add_special_tokens=False).ids, (n, text, cut)
 
 
+def test_secrets_copied_within_one_owner(spark):
+    """Many repositories of one owner make an example; null and empty owners are two, and so are null and empty repositories."""
+    shared, rare, few = "Zz9Yy8Xx7Ww6Vv5Uu4Tt3Ss2R", "aB3dE5gH7jK9mN1pQ3sT5vX7z", "qW3eR5tY7uI9oP1aS3dF5gH7j"
+    n = secrets.MIN_REPOSITORIES_PER_OWNER
+    rows = [(i, f"use {shared} here token=0123456789", "hot") for i in range(n)] + [(100 + i, f"use {rare} here", "hot") for i in range(n - 1)]
+    rows += [(200, f"use {few} here", None), (201, f"use {few} here", ""), (202, f"use {few} here", "a")]
+    rows += [(300, "secret=abcdefgh1", None), (301, "secret=abcdefgh1", ""), (None, "secret=abcdefgh2", "b"), (302, "secret=abcdefgh2", "b")]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [(s.kind, s.live, s.n_owners, s.n_repositories) for s in got[0]] == [("assign", False, 1, n)]
+    assert [(s.kind, s.live) for s in got[100]] == [("key", True)]
+    assert not got[200] and not got[201] and not got[202]  # three owners
+    assert [(s.live, s.n_owners) for s in got[300]] == [(True, 2)] and [(s.n_owners, s.n_repositories) for s in got[302]] == [(1, 2)]
+
+
 def _cased_marks():
     """Texts with added tokens in other spellings, alone, within words, beside right ones and cut by halves."""
     texts = ["x <|EndOfText|> y", "<|STARTOFTEXT|>", "A<|endoftext|>B <|ENDOFTEXT|>.", "<|EndOfText", "Plain Text", "<|\u017ftartoftext|>", "a <|startoftext|> B"]
