@@ -109,6 +109,19 @@ def _uniform(seed: int) -> Iterator[float]:
         yield from rng.random(1024).tolist()
 
 
+def _pieces(own: DataFrame, block_rows: int) -> DataFrame:
+    """``own`` with equal rows as one row with their number m; of many, as several of a part of a block each, dealt apart by an ``h`` of their own."""
+    most = max(1, block_rows // 20)
+    each = own.groupBy(*own.columns).agg(F.count("*").alias("c"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / most).cast("int"))).alias("k"))
+    h = F.when(F.col("k") == 0, F.col("h")).otherwise(F.xxhash64("h", "k"))
+    return each.select("id", "source", "size", h.alias("h"), F.least(F.lit(most), F.col("c") - F.col("k") * most).cast("bigint").alias("m"))
+
+
+def _block(level: int, blocks: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit(level), "h"), F.greatest(blocks, F.lit(1)))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, block_rows: int = 20_000, words: F.Column | None = None) -> DataFrame:
     """The columns of ``docs`` but the text, with size, source_size, target, copies and taken, per row.
 
@@ -117,16 +130,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows a block) is dealt into blocks again, and the last block of a source
     lands. Null texts have size 0 and are taken 0 words; a null source is a
     source of its own, last in order; null and repeated ids are rows like any
-    other, told apart by position. Results depend on the rows, not on their
+    other. Equal rows take each other's place: they are counted, and the counts
+    are dealt into blocks in parts. Results depend on the rows, not on their
     place. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     size = n_words(F.col(text_col)) if words is None else words
     own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
-    # copies of a row are numbered, so that each keeps its own draw
-    base = scratch.save(own, "sizes")
-    stats = base.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+    base = scratch.save(_pieces(own, block_rows), "sizes")
+    stats = base.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("n"), F.sum("m").alias("rows"))
     # one row per source; the order is by code point, as Python compares strings
     got = sorted(stats.collect(), key=lambda r: (r.source is None, r.source or ""))
     rows = [(s, n, t, r.rows) for (s, n, t), r in zip(targets([(r.source, int(r.n)) for r in got], weights, most), got, strict=True)]
@@ -138,6 +151,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     def settle(last: bool):
         def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.loc[frame.index.repeat(frame.m)].assign(m=1)
             frame = frame.sort_values(["h", "id", "size"], kind="stable", ignore_index=True)
             draws = _uniform(abs(hash((seed, int(frame.h.iloc[0]), len(frame)))))
             p = flight(frame.p.to_numpy(), frame["size"].to_numpy(float), draws)
@@ -153,7 +167,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     while True:
         blocks = F.ceil(F.col("source_rows") / F.lit(float(block_rows * (block_rows // 4) ** level))).cast("int")
         last = most_rows <= block_rows * (block_rows // 4) ** level
-        out = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "h"), F.greatest(blocks, F.lit(1)))).groupBy("source", "block")
+        out = open_.withColumn("block", _block(level, blocks)).groupBy("source", "block")
         out = scratch.save(out.applyInPandas(_typed(settle(last), cols), schema), f"level{level}")
         done.append(out.where("p <= 0 or p >= 1"))
         if last:

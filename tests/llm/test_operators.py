@@ -408,6 +408,21 @@ def test_mix_meets_targets(spark):
     assert mixing.targets([("a", 100), ("b", 10), ("c", 1)]) == [("a", 100, 78.0), ("b", 10, 30.0), ("c", 1, 3.0)]
 
 
+def test_mix_deals_equal_rows_into_blocks(spark):
+    """Rows equal in all columns spread over blocks, and take their source's target together."""
+    rows = [(None, "w w w", "a")] * 2000 + [(None, None, "a")] * 501 + [(i, "w " * (i % 50), "a") for i in range(500)] + [(1, "w", "b")] * 7
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    own = d.select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(17), "doc_id", "text").alias("h"))
+    pieces = mixing._pieces(own, 200)
+    assert pieces.agg(F.sum("m"), F.max("m")).first() == (len(rows), 10)
+    largest = pieces.where("source = 'a'").groupBy(mixing._block(0, F.lit(16))).agg(F.sum("m").alias("n")).agg(F.max("n")).first()[0]
+    assert largest <= 400
+    got = sorted(map(tuple, mixing.mix(d, block_rows=200).collect()), key=repr)
+    assert got == sorted(map(tuple, mixing.mix(d.repartition(5), block_rows=200).collect()), key=repr)
+    assert [r[:3] for r in got] == sorted(((i, s, len(_words(t))) for i, t, s in rows), key=repr)
+    assert abs(sum(r[6] for r in got if r[1] == "a") - next(r[4] for r in got if r[1] == "a")) <= 100
+
+
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
