@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -291,6 +291,27 @@ class Funnel:
         with ThreadPoolExecutor(max_workers=workers) as pool:
             return dict(pool.map(write, outs.items()))
 
+    def payload(self) -> DataFrame:
+        """(section, payload): the dashboard's document, one JSON row per
+        record, so that no row and no task holds a whole table (S5)."""
+        self._pin_shared = self.materialize
+        _ = self.tree
+        self._prefetch("campaigns_flat", "adsets_flat", "creatives_flat")
+        synced = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        span = F.struct(F.col("date_start").alias("start"), F.col("date_end").alias("end"))
+        sections = {
+            "meta": self.date_span.select(synced.alias("last_sync"), F.lit(False).alias("stale"), span.alias("date_range")),
+            "kpis": self.kpis,
+            "performance_table": self.tree,
+            "campaigns_flat": self.campaigns_flat,
+            "adsets_flat": self.adsets_flat,
+            "creatives_flat": self.creatives_flat,
+            "creative_rankings.top_5": self.top_creatives,
+            "creative_rankings.bottom_5": self.bottom_creatives,
+        }
+        rows = [df.select(F.lit(name).alias("section"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload")) for name, df in sections.items()]
+        return reduce(DataFrame.unionByName, rows)
+
     def outputs(self) -> dict[str, DataFrame]:
         """The payload as named tables."""
         return {

@@ -977,9 +977,8 @@ def q_performance_nested(spark, sf):
 
 @register("payload_export", None)
 def q_payload_export(spark, sf):
-    """KPIs and date span as one JSON document row."""
-    f = funnel(spark, sf)
-    return f.kpis.crossJoin(f.date_span).select(F.to_json(F.struct("*")).alias("payload"))
+    """The whole payload, one JSON row per record of each section."""
+    return funnel(spark, sf).payload()
 
 
 @register("refresh_stream", None)

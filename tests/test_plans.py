@@ -49,3 +49,23 @@ def test_projection_is_pruned(spark):
     p = plan(f.ads_f.select("spend"))
     read = [line for line in p.splitlines() if "ReadSchema" in line or "FileScan" in line]
     assert read and all("creative" not in line for line in read)
+
+
+def test_payload_export_is_the_whole_payload(spark):
+    """Each section holds the records of its query, null fields included."""
+    import json
+
+    got = {}
+    for r in registry.queries()["payload_export"](spark, SF).collect():
+        got.setdefault(r.section, []).append(json.loads(r.payload))
+    f = Funnel(silver_tables(spark, SF), FIXTURE_CONFIG, materialize=True)
+    span = f.date_span.first()
+    (meta,) = got.pop("meta")
+    assert meta["date_range"] == {"start": span.date_start, "end": span.date_end} and meta["stale"] is False and meta["last_sync"].endswith("Z")
+    want = {"kpis": f.kpis, "performance_table": f.tree, "campaigns_flat": f.campaigns_flat, "adsets_flat": f.adsets_flat, "creatives_flat": f.creatives_flat, "creative_rankings.top_5": f.top_creatives, "creative_rankings.bottom_5": f.bottom_creatives}
+    assert got.keys() == want.keys()
+    for name, df in want.items():
+        rows = [json.loads(x) for x in df.toJSON().collect()]
+        dropped = sorted(json.dumps({k: v for k, v in r.items() if v is not None}, sort_keys=True) for r in got[name])
+        assert dropped == sorted(json.dumps(r, sort_keys=True) for r in rows), name
+        assert all(list(r) == df.columns for r in got[name]), name
