@@ -53,7 +53,7 @@ STAGES = [
     ("bpe_encoding", encode),
 ]
 
-#: Signatures, the mix's draws and the encoding are beyond SQL; tests compare each stage with brute force.
+#: Signatures, the mix's draws and the encoding are beyond SQL; a test compares ids, texts and digests after each stage with SQL, plain Python and the tokenizers library.
 ORACLE_SQL = None
 
 

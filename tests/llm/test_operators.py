@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -467,3 +468,68 @@ def test_pipeline_leaves_no_repeated_line(spark):
     docs = spark.createDataFrame([(1, "a one\nshared line\nb one", 23), (2, "a two\nshared line\nb two", 23), (3, "shared line", 11)], "doc_id long, text string, n_chars int")
     got = sorted(tuple(r) for r in p.line_dedup(spark, docs, SF).collect())
     assert got == [(1, "a one\nshared line\nb one", 23), (2, "a two\nb two", 11), (3, "", 0)]
+
+
+def test_pipeline_decisions_take_effect(spark):
+    """Ids, texts and digests after each stage, from the definitions: SQL for the verdicts, plain Python for the texts, the library for the ids."""
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    scratch = Scratch(spark, "effects")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # near copies on one line, which line dedup leaves
+    some = [r for r in docs.orderBy("doc_id").collect() if len(_words(r.text)) >= 100][:30]
+    near = [{**r.asDict(), "doc_id": 10_000 + r.doc_id, "text": " ".join(_words(r.text)[:-1] + ["changed."])} for r in some]
+    docs = scratch.save(docs.unionByName(spark.createDataFrame(near, docs.schema)), "docs")
+    stages = dict(p.STAGES)
+
+    def texts(df):
+        return sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+
+    def kept(df, sql):
+        con = duckdb.connect()
+        con.register("documents", pa.table({"doc_id": [i for i, _ in texts(df)], "text": [t for _, t in texts(df)]}))
+        got = con.execute(sql)
+        names = [c[0] for c in got.description]
+        return {r[names.index("doc_id")] for r in got.fetchall() if r[names.index("kept")]}
+
+    good = kept(docs, oracle.op3())
+    out = scratch.save(stages["quality_rules"](spark, docs, SF), "a")
+    want = [(i, t) for i, t in texts(docs) if i in good]
+    assert texts(out) == want and len(want) < docs.count()
+
+    seen, lean = set(), []
+    for i, t in want:
+        left = []
+        for x in t.split("\n"):
+            if not WORD.search(x) or x not in seen:
+                left.append(x)
+            seen.update([x] if WORD.search(x) else [])
+        lean.append((i, "\n".join(left)))
+    assert lean != want
+    out = scratch.save(stages["line_dedup"](spark, out, SF), "b")
+    assert texts(out) == lean and {r.doc_id: r.n_chars for r in out.collect()} == {i: len(t) for i, t in lean}
+
+    first = kept(out, oracle.op1(inspect.signature(minhash.near_duplicates).parameters["shingle_words"].default))
+    out = scratch.save(stages["minhash_near_dedup"](spark, out, SF), "c")
+    unique = [(i, t) for i, t in lean if i in first]
+    assert texts(out) == unique and len(unique) < len(lean)
+
+    source = {r.doc_id: r.source for r in out.collect()}
+    sizes = {s: sum(len(_words(t)) for i, t in unique if source[i] == s) for s in sorted(set(source.values()))}
+    targets = {s: t for s, _, t in mixing.targets(list(sizes.items()))}
+    out = scratch.save(stages["source_mixing"](spark, out, SF), "d")
+    mixed = texts(out)
+    assert set(mixed) <= set(unique) and len(set(mixed)) < len(mixed)
+    longest = max(len(_words(t)) for _, t in unique)
+    for s, n in sizes.items():
+        rate = targets[s] / n if n else 0
+        assert all(int(rate) <= mixed.count(d) <= int(rate + 1) for d in unique if source[d[0]] == s)
+        assert abs(sum(len(_words(t)) for i, t in mixed if source[i] == s) - targets[s]) <= 2 * longest
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    digests = []
+    for i, t in mixed:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        digests.append((i, len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(tuple(r) for r in stages["bpe_encoding"](spark, out, SF).collect()) == sorted(digests)
