@@ -101,5 +101,45 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 
+_PLAIN_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_PLAIN_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_PLAIN_WORDS} AS w FROM benchmark),
+size AS (SELECT DISTINCT least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+test AS (SELECT DISTINCT item, least(10, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i : i + least(10, len(w)) - 1], ' '))) AS x FROM b WHERE len(w) > 0),
+place AS (SELECT row, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS x FROM d, size WHERE len(w) >= k),
+hit AS (SELECT row, i, k, item FROM place JOIN test USING (k, x)),
+word AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + k)) AS p FROM hit) GROUP BY row),
+item AS (SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, item FROM hit) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word.n, 0)::BIGINT AS n_hit, coalesce(item.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN word USING (row) LEFT JOIN item USING (row)
+"""
+
+#: Prefixes are named by the digest of their length and all their turns, each with the lengths of its parts.
+OP13 = """
+WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place FROM conversations WHERE conv_id IS NOT NULL),
+byte AS (SELECT unnest(range(256)) AS b),
+crc AS (SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM byte),
+crcs AS MATERIALIZED (SELECT list(v ORDER BY b) AS t FROM crc),
+conv AS (SELECT DISTINCT conv_id FROM own),
+conv_h AS (SELECT conv_id, conv_id - ((conv_id % 5) + 5) % 5 AS source, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 9 AS h FROM conv, crcs),
+turn AS (SELECT c.conv_id, o.place, o.role, o.text FROM conv_h c JOIN own o ON o.conv_id = c.source AND o.place < c.h
+  UNION ALL SELECT c.conv_id, o.place, o.role, o.text FROM conv_h c JOIN own o ON o.conv_id = c.conv_id AND o.place >= c.h),
+numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth, sha256(length(role) || ':' || role || text) AS x, strlen(text) AS bytes FROM turn),
+prefix AS (SELECT conv_id, depth, bytes, sha256(depth || ':' || string_agg(x, '' ) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS p FROM numbered
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM conv),
+node AS (SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes FROM prefix GROUP BY p, depth),
+top AS (SELECT conv_id, max(depth) AS depth FROM prefix GROUP BY conv_id),
+ends AS (SELECT p, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM prefix JOIN top USING (conv_id, depth) GROUP BY p),
+edge AS (SELECT DISTINCT a.p AS parent, b.p AS child FROM prefix a JOIN prefix b ON a.conv_id = b.conv_id AND b.depth = a.depth + 1),
+kids AS (SELECT parent AS p, count(*) AS n FROM edge GROUP BY parent),
+under AS (SELECT DISTINCT a.p AS top, b.p AS p FROM prefix a JOIN prefix b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+below AS (SELECT top AS p, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((node.n - 1) * node.bytes) AS saved FROM under JOIN node USING (p) LEFT JOIN kids USING (p) GROUP BY top)
+SELECT node.conv_id, node.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN below USING (p) LEFT JOIN kids USING (p) LEFT JOIN ends USING (p) LEFT JOIN edge ON edge.child = node.p LEFT JOIN node up ON up.p = edge.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": op1(), "op2_embedding_near_dedup": OP2, "op3_quality_rules": op3(), "op5_substring_dedup": OP5, "op10_line_dedup": OP10}
+    return {"op1_minhash_near_dedup": op1(), "op2_embedding_near_dedup": OP2, "op3_quality_rules": op3(), "op5_substring_dedup": OP5, "op10_line_dedup": OP10, "op11_benchmark_decontamination": OP11, "op13_conversation_trie": OP13}
