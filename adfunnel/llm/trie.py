@@ -96,17 +96,19 @@ def _spread(c: str):
     return F.coalesce(F.col(c), F.col("id"))
 
 
-def locate(nodes: DataFrame, own: DataFrame, strings: DataFrame, steps: int) -> DataFrame:
+def locate(nodes: DataFrame, own: DataFrame, strings: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, n, e, rep, len, up): where each string (id, n, a) leaves the trie, e turns deep.
 
     ``a`` is the depth of a node that the string is known to pass. With a null
     rep it leaves at a node, or ends there; else on the edge of the node (rep,
-    len) that begins at ``up``. One probe more than ``n - a`` has binary digits suffices.
+    len) that begins at ``up``.
     """
     s = strings.select("id", "n", "a", F.col("n").alias("b"), *(F.lit(None).cast("bigint").alias(c) for c in ("lo", "rep", "len", "up")))
     to = nodes.select("hf", "hg", "hd", F.col("f").alias("nf"), F.col("g").alias("ng"), F.col("rep").alias("t_rep"), F.col("len").alias("t_len"), F.col("up").alias("t_up"))
-    for _ in range(steps):
-        s = s.withColumn("probe", F.when(F.col("lo").isNull() & F.expr("a < b"), F.expr(_FATTEST.format(a="a", b="b"))).otherwise(-1))
+    active = F.col("lo").isNull() & F.expr("a < b")
+    k = 0
+    while k == 0 or s.where(active).limit(1).count():  # a probe more than n - a has binary digits at most
+        s = s.withColumn("probe", F.when(active, F.expr(_FATTEST.format(a="a", b="b"))).otherwise(-1))
         s = _at(own, s, "id", F.col("probe"), "pf", "pg")
         s = s.join(to, (_spread("pf") == F.col("hf")) & (F.col("pg") == F.col("hg")) & (F.col("probe") == F.col("hd")), "left")
         s = _at(own, s, "id", F.coalesce("t_len", F.lit(-1)), "ef", "eg")
@@ -118,6 +120,9 @@ def locate(nodes: DataFrame, own: DataFrame, strings: DataFrame, steps: int) ->
             F.when(left, F.col("probe")).otherwise(F.col("lo")).alias("lo"),
             *(F.when(left, F.col("t_" + c)).otherwise(F.col(c)).alias(c) for c in ("rep", "len", "up")),
         )
+        s = scratch.save(s, f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}")
+        k += 1
     # the child by the next turn: its edge may be left before its handle
     s = _at(own, s, "id", F.when(F.col("lo").isNull(), F.col("a") + 1).otherwise(-1), "pf", "pg")
     child = nodes.select("cf", "cg", F.col("rep").alias("t_rep"), F.col("len").alias("t_len"), F.col("up").alias("t_up"))
@@ -152,14 +157,13 @@ def insert(nodes: DataFrame | None, own: DataFrame, strings: DataFrame, scratch:
     left, k = strings.select("id", "n", F.lit(0).cast("bigint").alias("a")), 0
     while True:
         left = scratch.save(left, f"left{k}")
-        most = left.agg(F.max(F.col("n") - F.col("a"))).first()[0]
-        if most is None:
+        if not left.limit(1).count():
             return nodes if nodes is not None else _named(left.select(F.col("id").alias("rep"), F.col("a").alias("up"), F.col("n").alias("len")), own)
         if nodes is None:
             none = F.lit(None).cast("bigint")
             exits = left.select("id", "n", F.col("a").alias("e"), none.alias("rep"), none.alias("len"), none.alias("up"))
         else:
-            exits = locate(nodes, own, left, int(most).bit_length() + 1)
+            exits = locate(nodes, own, left, scratch, f"probe{k}")
         exits = _at(own, exits.where("rep is not null or e < n"), "id", F.least(F.col("e") + 1, F.col("n")), "kf", "kg")
         exits = scratch.save(exits, f"exits{k}")
         # one of those that go on with the same turn; a string that ends on an edge is alone
