@@ -79,9 +79,11 @@ def ads_present(raw_ads: DataFrame) -> DataFrame:
     return raw_ads.select(F.lit(1).alias("_one")).limit(1).agg((F.count("*") > 0).alias("ads_present"))
 
 
-def date_span(ads_f: DataFrame) -> DataFrame:
-    """First and last day of the filtered ads, as yyyy-MM-dd text."""
-    return ads_f.agg(
-        F.date_format(F.min("date"), "yyyy-MM-dd").alias("date_start"),
-        F.date_format(F.max("date"), "yyyy-MM-dd").alias("date_end"),
+def date_span(rollup: DataFrame) -> DataFrame:
+    """First and last day of the filtered ads, as yyyy-MM-dd text, from
+    the stored roll-up (no second scan; the ads filter needs a campaign, so
+    the campaign rows cover every row)."""
+    return rollup.where(F.col("level") == "campaign").agg(
+        F.date_format(F.min("first_date"), "yyyy-MM-dd").alias("date_start"),
+        F.date_format(F.max("last_date"), "yyyy-MM-dd").alias("date_end"),
     )

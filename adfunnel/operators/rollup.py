@@ -50,6 +50,7 @@ def keyed_ads(ads_f: DataFrame, has_adset: bool, has_creative: bool, has_order:
         F.col("impressions").cast("double").alias("impressions"),
         F.col("clicks").cast("double").alias("clicks"),
         F.col("reach").cast("double").alias("reach"),
+        F.col("date").alias("_date") if "date" in ads_f.columns else F.lit(None).cast("timestamp_ntz").alias("_date"),
     )
 
 
@@ -58,26 +59,41 @@ def _first(name: str) -> Column:
     return F.min_by(name, F.struct("_ord", name))
 
 
-def ads_rollup(ads_k: DataFrame, has_adset: bool, has_creative: bool) -> DataFrame:
-    """A1-A3 + A5: all three levels in one plan.
+SPELLINGS = ["c_name", "a_name", "r_name"]
 
-    Phase 1 runs over the raw rows and keeps only fixed-width aggregation
-    buffers (sums, min of a long), so it is a HashAggregate with map-side
-    partial aggregation; it reduces the data to one row per distinct
-    (keys, spellings).  Phase 2 expands that small table into the three
-    grouping sets and picks the first spelling per key.
 
-    Output: level, campaign_key, adset_key, creative_key, name, spend_sum
-    (exact decimal), impressions, clicks, reach (unrounded sums).  Groups with
-    a null key at their own level are dropped, like a pandas group-by.
+def fine_ads(ads_k: DataFrame) -> DataFrame:
+    """Phase 1 of the roll-up: one row per distinct (keys, spellings).
+
+    It keeps only fixed-width buffers (sums, least and greatest of a long or a
+    time), so it is a HashAggregate with map-side partial aggregation.
     """
-    fine = ads_k.groupBy(*KEYS, "c_name", "a_name", "r_name").agg(
-        F.sum("spend").alias("spend"),
-        F.sum("impressions").alias("impressions"),
-        F.sum("clicks").alias("clicks"),
-        F.sum("reach").alias("reach"),
+    return merge_fine(ads_k.withColumns({"first_date": F.col("_date"), "last_date": F.col("_date")}))
+
+
+def merge_fine(fine: DataFrame) -> DataFrame:
+    """Rows of phase 1 from several sources as one: every measure merges."""
+    return fine.groupBy(*KEYS, *SPELLINGS).agg(
+        *(F.sum(c).alias(c) for c in ("spend", "impressions", "clicks", "reach")),
         F.min("_ord").alias("_ord"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
     )
+
+
+def ads_rollup(ads_k: DataFrame, has_adset: bool, has_creative: bool) -> DataFrame:
+    """A1-A3 + A5: all three levels in one plan: phase 1 over the raw rows, phase 2 over its small result."""
+    return expand_rollup(fine_ads(ads_k), has_adset, has_creative)
+
+
+def expand_rollup(fine: DataFrame, has_adset: bool, has_creative: bool) -> DataFrame:
+    """Phase 2: the three grouping sets, with the first spelling per key.
+
+    Output: level, campaign_key, adset_key, creative_key, name, spend_sum
+    (exact decimal), impressions, clicks, reach (unrounded sums), first_date,
+    last_date.  Groups with a null key at their own level are dropped, like a
+    pandas group-by.
+    """
     sets = [["campaign_key"]]
     if has_adset:
         sets.append(["campaign_key", "adset_key"])
@@ -88,6 +104,8 @@ def ads_rollup(ads_k: DataFrame, has_adset: bool, has_creative: bool) -> DataFra
         F.sum("impressions").alias("impressions"),
         F.sum("clicks").alias("clicks"),
         F.sum("reach").alias("reach"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
         _first("c_name").alias("_c_first"),
         _first("a_name").alias("_a_first"),
         _first("r_name").alias("_r_first"),
@@ -109,6 +127,8 @@ def ads_rollup(ads_k: DataFrame, has_adset: bool, has_creative: bool) -> DataFra
         "impressions",
         "clicks",
         "reach",
+        "first_date",
+        "last_date",
         "_gid",
     )
     own_key_present = (

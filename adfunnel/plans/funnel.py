@@ -230,7 +230,7 @@ class Funnel:
 
     @cached_property
     def date_span(self) -> DataFrame:
-        return M.date_span(self.ads_f)
+        return M.date_span(self.rollup)
 
     # ---- rankings, insights ----------------------------------------------------
     @cached_property
@@ -273,14 +273,15 @@ class Funnel:
         appts = self.appts_f if self.res.has("appointments", "campaign") else self.appts_f.where(F.lit(False))
         return Q.campaign_keys(self.ads_f, appts, self.sales_f)
 
-    def write_outputs(self, path: str, workers: int = 4) -> dict[str, str]:
-        """Write the whole payload as Parquet tables under ``path`` (a gold
-        snapshot), running independent outputs as concurrent jobs that share
-        the stored intermediates.  Nothing passes through the driver."""
+    def write_outputs(self, path: str, workers: int = 4, skip: tuple[str, ...] = ()) -> dict[str, str]:
+        """Write the payload, but for the tables in ``skip``, as Parquet tables
+        under ``path`` (a gold snapshot), running independent outputs as
+        concurrent jobs that share the stored intermediates.  Nothing passes
+        through the driver."""
         self._pin_shared = self.materialize
         _ = self.tree
         self._prefetch("campaigns_flat", "adsets_flat", "creatives_flat")
-        outs = self.outputs()
+        outs = {k: v for k, v in self.outputs().items() if k not in skip}
 
         def write(item):
             name, df = item

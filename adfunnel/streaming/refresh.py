@@ -1,98 +1,84 @@
 """Continuous refresh of the funnel outputs (T1-T4) with Structured Streaming.
 
-The dashboard recomputes everything from the four source tables whenever
-its data is older than a minute.  Here each source folder is a file stream
-(explicit schema); ``foreachBatch`` appends the new rows to a stored table
-(partitioned by batch id, so a replayed batch overwrites only itself), and
-then recomputes the payload from the stored tables and publishes it as a new
-snapshot.  A snapshot becomes visible only after it is completely written
-(the refresh log row is appended last), so a failed refresh leaves the last
-good snapshot in place (T3).  Exactly-once progress comes from each stream's
-checkpoint.
-
-Distinct counts over the whole history cannot be maintained incrementally
-by the streaming engine (no event-time horizon), which is why the payload is
-recomputed from the stored tables in each micro-batch.
+Three kinds of queries share a work folder and talk through its logs only:
+
+* one ingest stream per source folder (explicit schema) adds each micro-batch
+  to a stored table, partitioned by batch and month, and then marks the batch
+  complete; a replayed batch writes over itself;
+* the publisher (``publish.py``), on a timer of its own, merges complete
+  batches into the state and publishes snapshots every ``interval_seconds``;
+* the insights stream reads the refresh log as its source, on a slower trigger,
+  and makes alerts, recommendations and the digest of the newest good snapshot.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import logging
-import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import DATA_REFRESH_SECONDS, FunnelConfig
-from ..plans.funnel import Funnel
-from ..session import path_exists
-from ..sources.fixtures import FunnelTables
+from ..config import DATA_REFRESH_SECONDS, INSIGHTS_REFRESH_SECONDS, FunnelConfig
+from ..operators import rules as RL
+from . import log as L
+from .publish import TABLES, Publisher
 
 log = logging.getLogger(__name__)
 
-TABLES = ("ads", "leads", "appointments", "sales")
-
-# One refresh at a time per driver: the streams of the four tables call back
-# concurrently, and each refresh recomputes the whole payload anyway.
-_PUBLISH = threading.Lock()
-
-
-def _stored(spark: SparkSession, work_dir: str, name: str, schema) -> DataFrame:
-    path = f"{work_dir}/stored/{name}"
-    if not path_exists(spark, path):  # nothing stored yet
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).drop("batch_id")
-
-
-def publish_snapshot(spark: SparkSession, work_dir: str, schemas: dict, config: FunnelConfig, source: str) -> str:
-    """Recompute every payload table from the stored tables and publish them.
-
-    The snapshot is written first; its log entry (its own folder, so no two
-    writers share an output directory) is written last and makes it visible.
-    An open date window is resolved here, so it moves with the day.
-    """
-    with _PUBLISH:
-        tables = FunnelTables(*[_stored(spark, work_dir, n, schemas[n]) for n in TABLES])
-        funnel = Funnel(tables, config.resolved(), materialize=True)
-        snap_id = _new_id()
-        snap = f"{work_dir}/snapshots/{snap_id}"
-        funnel.write_outputs(snap)
-        _log(spark, work_dir, snap_id, snap, source, stale=False)
-        return snap
-
-
-def _new_id() -> str:
-    return f"{dt.datetime.now(dt.timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:6]}"
-
-
-def _log(spark: SparkSession, work_dir: str, entry: str, snapshot: str | None, source: str, stale: bool) -> None:
-    row = spark.range(1).select(
-        F.current_timestamp().alias("last_sync"),
-        F.lit(snapshot).cast("string").alias("snapshot"),
-        F.lit(source).alias("source"),
-        F.lit(stale).alias("stale"),
-    )
-    row.coalesce(1).write.mode("overwrite").parquet(f"{work_dir}/refresh_log/{entry}")
-
-
-def _read_log(spark: SparkSession, work_dir: str) -> DataFrame:
-    schema = "last_sync timestamp, snapshot string, source string, stale boolean"
-    if not path_exists(spark, f"{work_dir}/refresh_log/*"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{work_dir}/refresh_log/*")
-
-
-def refresh_or_mark_stale(spark: SparkSession, work_dir: str, schemas: dict, config: FunnelConfig, source: str) -> str | None:
-    """Publish; if that fails, keep the last good snapshot and log it as stale."""
-    try:
-        return publish_snapshot(spark, work_dir, schemas, config, source)
-    except Exception as exc:
-        log.error("refresh from %s failed: %s", source, exc)
-        _log(spark, work_dir, _new_id(), latest_snapshot(spark, work_dir), source, stale=True)
-        return None
+__all__ = ["TABLES", "Publisher", "freshness", "latest_insights", "latest_snapshot", "make_insights", "start_ingest", "start_insights", "start_refresh"]
+
+
+def start_ingest(spark: SparkSession, name: str, source_dir: str, schema, work_dir: str, available_now: bool = False, interval_seconds: int = DATA_REFRESH_SECONDS, files_per_batch: int | None = None) -> StreamingQuery:
+    """The stream of one source folder into its stored table."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        month = F.date_format("date", "yyyy-MM") if "date" in batch.columns else F.lit(None).cast("string")
+        stored = f"{work_dir}/stored/{name}/batch_id={batch_id}"
+        # a window opens its months only, and of these the row groups with its days
+        dealt = batch.withColumn("month", month)
+        dealt = dealt.repartition("month").sortWithinPartitions("month", "date") if "date" in batch.columns else dealt
+        dealt.write.mode("overwrite").partitionBy("month").parquet(stored)
+        # last: readers go by this mark
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(stored).agg(F.count("*").alias("rows"))
+        L.write(rows, f"{work_dir}/ingested/{name}/number={batch_id}")
+
+    w = reader.parquet(source_dir).writeStream.foreachBatch(sink).option("checkpointLocation", f"{work_dir}/checkpoints/{name}")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{interval_seconds} seconds")
+    return w.queryName(f"adfunnel_ingest_{name}_{L.new_id()}").start()
+
+
+def make_insights(spark: SparkSession, work_dir: str, snapshot: str, config: FunnelConfig | None = None) -> str:
+    """Alerts, recommendations and digest of a snapshot, as tables; its log entry, written last, makes them visible."""
+    read = lambda name: spark.read.parquet(f"{snapshot}/{name}")
+    tree, kpis = read("performance_tree"), read("kpis")
+    path = f"{work_dir}/insights/{L.new_id()}"
+    RL.rule_alerts(tree, kpis).write.parquet(f"{path}/rule_alerts")
+    RL.recommendations(tree).write.parquet(f"{path}/recommendations")
+    RL.digest_lines(tree, kpis, read("top_creatives"), read("bottom_creatives")).write.parquet(f"{path}/digest")
+    L.insights_made(spark, work_dir, snapshot, path)
+    return path
+
+
+def start_insights(spark: SparkSession, work_dir: str, available_now: bool = False, interval_seconds: int = INSIGHTS_REFRESH_SECONDS) -> StreamingQuery:
+    """A stream over the refresh log; each trigger takes the newest good snapshot that came since."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        newest = batch.where("snapshot is not null and not stale").orderBy(F.col("last_sync").desc()).first()
+        if newest is None:
+            return
+        try:
+            make_insights(batch.sparkSession, work_dir, newest.snapshot)
+        except Exception as exc:  # the last insights stay; the log goes on, and so the next trigger tries again
+            log.error("insights of %s failed: %s", newest.snapshot, exc)
+
+    w = spark.readStream.schema(L.REFRESH).parquet(f"{work_dir}/refresh_log/*").writeStream.foreachBatch(sink)
+    w = w.option("checkpointLocation", f"{work_dir}/checkpoints/insights")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{interval_seconds} seconds")
+    return w.queryName(f"adfunnel_insights_{L.new_id()}").start()
 
 
 def start_refresh(
@@ -103,51 +89,50 @@ def start_refresh(
     config: FunnelConfig | None = None,
     available_now: bool = False,
     interval_seconds: int = DATA_REFRESH_SECONDS,
+    insights_seconds: int = INSIGHTS_REFRESH_SECONDS,
+    files_per_batch: int | None = None,
+    buckets: int = 64,
 ) -> list[StreamingQuery]:
-    """Start one stream per source table.
+    """Start the whole refresh: ingest of each table, publisher and insights.
 
-    ``available_now`` processes what is there and stops (tests, catch-up
-    runs); otherwise a micro-batch fires every ``interval_seconds``.
+    ``available_now`` takes what is there, publishes once, makes insights and
+    returns when all is done (tests, catch-up runs).
     """
-    cfg = config or FunnelConfig()  # resolved at each publish
-    queries = []
-    for name in TABLES:
-        stream = spark.readStream.schema(schemas[name]).parquet(source_dirs[name])
-
-        def sink(batch: DataFrame, batch_id: int, _name: str = name) -> None:
-            (
-                batch.withColumn("batch_id", F.lit(batch_id))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
-                .parquet(f"{work_dir}/stored/{_name}")
-            )
-            refresh_or_mark_stale(batch.sparkSession, work_dir, schemas, cfg, f"{_name}:{batch_id}")
-
-        w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{work_dir}/checkpoints/{name}")
-        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{interval_seconds} seconds")
-        queries.append(w.queryName(f"adfunnel_refresh_{name}_{uuid.uuid4().hex[:6]}").start())
-    return queries
+    publisher = Publisher(spark, work_dir, schemas, config, buckets)
+    queries = [start_ingest(spark, n, source_dirs[n], schemas[n], work_dir, available_now, interval_seconds, files_per_batch) for n in TABLES]
+    if not available_now:
+        return [*queries, publisher.start(interval_seconds), start_insights(spark, work_dir, interval_seconds=insights_seconds)]
+    for q in queries:
+        q.awaitTermination()
+    publisher.run("available now")
+    insights = start_insights(spark, work_dir, available_now=True)
+    insights.awaitTermination()
+    return [*queries, insights]
 
 
 def latest_snapshot(spark: SparkSession, work_dir: str) -> str | None:
-    good = _read_log(spark, work_dir).where("snapshot is not null and not stale")
-    row = good.orderBy(F.col("last_sync").desc(), F.col("snapshot").desc()).select("snapshot").limit(1).collect()
-    return row[0][0] if row else None
+    good = L.refreshes(spark, work_dir).where("snapshot is not null and not stale")
+    row = good.orderBy(F.col("last_sync").desc(), F.col("snapshot").desc()).select("snapshot").first()
+    return row[0] if row else None
+
+
+def latest_insights(spark: SparkSession, work_dir: str):
+    """(generated_at, snapshot, insights) of the newest insights, or None."""
+    return L.insights(spark, work_dir).orderBy(F.col("generated_at").desc()).first()
 
 
 def freshness(spark: SparkSession, work_dir: str, interval_seconds: int = DATA_REFRESH_SECONDS) -> DataFrame:
-    """T4: last sync, its age and whether the published data is stale."""
+    """T4: last sync, its age, whether the published data is stale, and whether insights are ready."""
     good = F.when(~F.col("stale"), F.col("last_sync"))
     newest = F.max(F.struct("last_sync", "stale"))
-    last = _read_log(spark, work_dir).agg(F.max(good).alias("last_sync"), F.count(good).alias("refreshes"), newest.alias("newest"))
+    last = L.refreshes(spark, work_dir).agg(F.max(good).alias("last_sync"), F.count(good).alias("refreshes"), newest.alias("newest"))
+    made = L.insights(spark, work_dir).agg(F.max("generated_at").alias("insights_at"))  # one row
     age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("last_sync")
-    return last.select(
+    return last.crossJoin(made).select(
         "last_sync",
         "refreshes",
         age.alias("age_seconds"),
         (F.col("last_sync").isNotNull()).alias("connected"),
         F.coalesce(F.col("newest.stale") | (age > interval_seconds), F.lit(True)).alias("stale"),
-        # alerts and recommendations are part of every good snapshot
-        (F.col("refreshes") > 0).alias("insights_ready"),
+        F.col("insights_at").isNotNull().alias("insights_ready"),
     )
