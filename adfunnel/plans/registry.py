@@ -873,10 +873,9 @@ def q_dedupe_columns(spark, sf):
     ),
 )
 def q_load_raw(spark, sf):
-    """The four raw text tables, headers normalised and typed."""
-    b = FX.bronze_tables(spark, sf)
-    raw = {n: IN.normalize_headers(d, keep=["ordinal"]) for n, d in b.as_dict().items()}
-    silver, _ = IN.to_silver(raw, keep=["ordinal"])
+    """The four text tables as files with different header orders, read
+    back, resolved by alias and typed."""
+    silver, _ = IN.to_silver(IN.load_raw(spark, FX.exported_csv(spark, sf)))
     parts = []
     for name, df in silver.as_dict().items():
         amount = {"ads": F.sum("spend"), "sales": F.sum("revenue")}.get(name)
@@ -888,6 +887,29 @@ def q_load_raw(spark, sf):
     return out
 
 
+def _file_names_sql() -> str:
+    v = "l_linenumber % 4"
+
+    def k(x: str) -> str:
+        return f"CASE WHEN {v} = 0 THEN {x} WHEN {v} = 1 THEN upper({x}) WHEN {v} = 2 THEN '  ' || {x} || ' ' ELSE {x} || chr(9) END"
+
+    first = lambda x: f"arg_min({O.strip(x)}, struct_pack(o := o, c := c, a := a, r := r))"
+    none = "CAST(NULL AS VARCHAR)"
+    return _sql(
+        f", named AS (SELECT row_order AS o, {k('campaign')} AS c, {k('adset')} AS a, {k('creative')} AS r FROM ads_f)\n"
+        f"SELECT 'campaign' AS level, {O.key('c')} AS campaign_key, {none} AS adset_key, {none} AS creative_key, {first('c')} AS name FROM named GROUP BY 2 "
+        f"UNION ALL SELECT 'adset', {O.key('c')}, {O.key('a')}, {none}, {first('a')} FROM named GROUP BY 2, 3 "
+        f"UNION ALL SELECT 'creative', {O.key('c')}, {O.key('a')}, {O.key('r')}, {first('r')} FROM named GROUP BY 2, 3, 4"
+    )
+
+
+@register("file_display_names", _file_names_sql())
+def q_file_display_names(spark, sf):
+    """A5 on files: the first spelling by file and place in it, over several files and splits."""
+    silver, res = IN.to_silver(IN.load_raw(spark, FX.exported_csv(spark, sf)))
+    return Funnel(silver, FX.FIXTURE_CONFIG, resolution=res, materialize=True).rollup.select("level", *RU.KEYS, "name")
+
+
 _LEADS_HEADERS = ["data_padrão", "qual_é_o_e-mail_você_mais_utiliza?", "utm_campaign", "utm_medium", "utm_content"]
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -305,3 +306,25 @@ def bronze_tables(spark: SparkSession, sf_dir: str) -> FunnelTables:
         F.col("origin").alias("Origem Macro"),
     )
     return FunnelTables(ads, leads, appointments, sales)
+
+
+def exported_csv(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The text tables as CSV files, as a spreadsheet exports them: sorted by
+    source row, the later half of the files with its columns the other way
+    round.  Returns a path per table."""
+    from ..session import checkpoint_dir
+
+    root = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex[:12]}"
+    out = {}
+    for name, df in bronze_tables(spark, sf_dir).as_dict().items():
+        key = F.col("ordinal.l_orderkey")
+        half = df.agg(F.avg(key).alias("half")).first().half or 0  # one number
+        order = [F.col("row_order")] if "row_order" in df.columns else [key, F.col("ordinal.l_linenumber")]
+        text = [c for c in df.columns if c not in ("ordinal", "row_order")]
+        order += [F.col(f"`{c}`") for c in text if c in ("Campaign Name", "Ad Set Name", "Ad Name")]
+        for part, rows, cols in (("1", key < half, text), ("2", key >= half, text[::-1])):
+            sheet = df.where(rows).orderBy(*order).select(*(F.col(f"`{c}`") for c in cols))
+            options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+            sheet.write.options(**options).csv(f"{root}/{name}/{part}")
+        out[name] = f"{root}/{name}/*"
+    return out

@@ -65,3 +65,59 @@ def test_missing_path_is_empty_and_a_broken_file_raises(spark, tmp_path):
     (tmp_path / "bad.parquet").write_bytes(b"not parquet")
     with _pytest.raises(Exception):
         load_raw(spark, {"ads": f"{tmp_path}/bad.parquet"}, fmt="parquet")
+
+
+def _write(folder, name, text):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text, encoding="utf-8")
+
+
+def test_each_file_has_a_header_of_its_own(spark, tmp_path):
+    _write(tmp_path / "ads", "a.csv", "Date,Campaign Name,Spend\n2025-12-01,X LEADS,1\n")
+    _write(tmp_path / "ads", "b.csv", "﻿Spend, campaign name ,,Date,Clicks,Spend\n\"2,5\",\"Y \"\"q\"\" LEADS\",junk,2025-12-02,7,99\n\n")
+    _write(tmp_path / "ads", "c.csv", "Spend,Date\n")
+    _write(tmp_path / "ads", "d.csv", "")
+    df = IN.read_sheet_csv(spark, str(tmp_path / "ads"))
+    got = {r.campaign_name: (r.date, r.spend, r.clicks) for r in df.collect()}
+    assert got == {"X LEADS": ("2025-12-01", "1", None), 'Y "q" LEADS': ("2025-12-02", "2,5", "7")}
+
+
+def test_broken_lines_are_set_aside(spark, tmp_path):
+    _write(tmp_path / "leads", "a.csv", "Email,utm_campaign\na@x,A\nb@x,B,more\nc@x\n\"d@x,D\n,E\n")
+    raw = IN.load_raw(spark, {"leads": str(tmp_path / "leads")})
+    assert sorted(((r.email, r.utm_campaign) for r in raw["leads"].collect()), key=str) == [("a@x", "A"), ("c@x", None), (None, "E")]
+    bad = raw.quarantine["leads"].collect()
+    assert sorted((r.value, r.reason) for r in bad) == [('"d@x,D', "open quote"), ("b@x,B,more", "more cells than headers")]
+    assert all(r.file.endswith("a.csv") for r in bad)
+
+
+def test_row_order_over_files_and_splits(spark, tmp_path):
+    """Rows are numbered in file order although every file is cut in many splits, and the first spelling follows."""
+    from adfunnel import Funnel, FunnelConfig
+
+    n = 0
+    for f in ("a.csv", "b.csv", "c.csv"):
+        head = "Date,Campaign Name,Spend,Impressions,Clicks,No\n" if f != "b.csv" else "No,Clicks,Impressions,Spend,Campaign Name,Date\n"
+        body = []
+        for _ in range(300):
+            cells = ["2025-12-01", f"{'leads PRO' if n else 'Leads Pro'} c{n % 7}", "1", "10", "2", str(n)]
+            body.append(",".join(cells if f != "b.csv" else cells[::-1]))
+            n += 1
+        _write(tmp_path / "ads", f, head + "\n".join(body) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        raw = IN.load_raw(spark, {"ads": str(tmp_path / "ads")})
+        rows = raw["ads"].select("row_order", "no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [int(r.no) for r in sorted(rows, key=lambda r: r.row_order)] == list(range(n)) and len({r.row_order for r in rows}) == n
+    silver, res = IN.to_silver(raw)
+    assert "row_order" in silver.ads.columns
+    names = Funnel(silver, FunnelConfig(date_start="2025-12-01", date_end="2025-12-31"), res).rollup.where("level = 'campaign'").select("campaign_key", "name").collect()
+    assert dict(map(tuple, names)) == {"leads pro c0": "Leads Pro c0"} | {f"leads pro c{k}": f"leads PRO c{k}" for k in range(1, 7)}
+
+
+def test_multiline_cells(spark, tmp_path):
+    _write(tmp_path / "leads", "a.csv", 'Email,utm_campaign\na@x,"two\nlines"\n')
+    raw = IN.load_raw(spark, {"leads": str(tmp_path / "leads")}, fmt="csv-multiline")
+    assert [tuple(r) for r in raw["leads"].collect()] == [("a@x", "two\nlines")]
