@@ -61,7 +61,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int) -> DataFram
     return seq.where(F.struct("id", "t", "j") > F.col("first")).select("id", "t", "j")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, counts: bool = True) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from the text, and n_lines, n_removed (long).
 
     A run is ``min_lines`` or more consecutive lines; lines without a word are
@@ -70,7 +70,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document and stay equal. A null text stays null with 0 lines; an empty
     text stays empty; a text whose lines all go becomes empty and its row
     stays. An empty table gives an empty result. Other columns are kept, also
-    where they are called like columns used here.
+    where they are called like columns used here; only n_lines and n_removed
+    take the place of columns of their names, and without ``counts`` they are
+    not made.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
@@ -79,16 +81,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # at most the lines of one document
     gone = gone.groupBy("id", "t").agg(F.collect_set("j").alias("gone"))
     gone = gone.withColumnsRenamed({"id": "g_id", "t": "g_t"})
-    # the row as it came, apart from columns made here
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
-    out = keyed.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("t") == F.col("g_t")), "left")
-    out = out.select("row", "text", "gone", F.split("text", "\n").alias("lines"))
+    # every column goes through the join once, under a name that can't clash
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    names = dict(zip(docs.columns, plain, strict=True))
+    i, text = F.col(names[id_col]), F.col(names[text_col])
+    out = docs.toDF(*plain).join(gone, i.eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("g_t")), "left")
+    out = out.select(*plain, "gone", F.split(text, "\n").alias("lines"))
     # places of lines with a word; the sequence counts only these
     at = F.transform("lines", lambda x, i: F.when(F.length(F.btrim(x, F.lit(_SPACE))) > 0, i).otherwise(-1))
     out = out.withColumn("at", F.filter(at, lambda i: i >= 0))
     out = out.withColumn("rest", F.when(F.col("gone").isNotNull(), F.expr("array_except(sequence(0, size(lines) - 1), transform(gone, j -> at[j]))")))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr("transform(rest, i -> lines[i])"), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("at")).cast("bigint")
-    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint")
-    kept = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*kept, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.expr("transform(rest, i -> lines[i])"), "\n"))
+    made = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size("at")).cast("bigint"), "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint")} if counts else {}
+    kept = [(left if c == text_col else F.col(names[c])).alias(c) for c in docs.columns if c not in made]
+    return out.select(*kept, *(x.alias(c) for c, x in made.items()))

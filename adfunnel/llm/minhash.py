@@ -23,8 +23,8 @@ are first compared with the least text of the list. Those that keep
 MIN_MATCHES collisions with it make a cluster, those confirmed make a
 component. Within a cluster, texts outside its largest component are compared
 with all in blocks, on full sets, as products of incidence matrices; a block
-returns spanning links, not pairs. Only texts that share a list but no cluster
-are compared pair by pair. So every pair that shares a place in its prefixes is
+returns spanning links, not pairs. Texts that share a list but no cluster are
+compared in blocks too, by their collisions. So every pair that shares a place in its prefixes is
 tested unless it is known to be connected. Texts with equal sets are one text
 throughout.
 """
@@ -216,6 +216,55 @@ def _within(placed: DataFrame, texts: DataFrame, k: int, percent: int, block: in
     return _compare_blocks(dealt, k, percent).where("a <> b")
 
 
+def _across(placed: DataFrame, sigs: DataFrame, least: int, percent: int, block: int = 256) -> DataFrame:
+    """(a, b) of texts of one list (token, id, n, root) and different clusters with ``least`` collisions.
+
+    The texts of a list are dealt to blocks, and the collisions of two blocks
+    are counted in one task from the signatures; only pairs that keep enough
+    leave it.
+    """
+    open_ = placed.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    open_ = open_.select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    rows = placed.join(open_, "token").join(sigs.withColumnRenamed("id", "s_id"), F.col("id") == F.col("s_id"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = rows.select("token", "root", "id", "n", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "id", "n", "sig")
+
+    def unit(token: int, i: int, j: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        sides, root, ids, n = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
+        sig = np.stack([r[4] for r in rows])
+        left, right = np.flatnonzero(sides == i), np.flatnonzero(sides == j)
+        same = np.zeros((len(left), len(right)), np.int16)
+        for c in range(sig.shape[1]):
+            same += sig[left, c][:, None] == sig[right, c]
+        p, q = np.nonzero(same >= least)
+        p, q = left[p], right[q]
+        # else the union is too large, or one place is compared with itself or twice
+        ok = (root[p] != root[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])) & ((i != j) | (p < q))
+        p, q = ids[p[ok]], ids[q[ok]]
+        return np.minimum(p, q), np.maximum(p, q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+        for batch in batches:
+            out = [(np.zeros(0, np.int64),) * 2]
+            keys = zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j")), strict=True)
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "root", "id", "n", "sig")]
+            for at, row in zip(keys, zip(*cols, strict=True), strict=True):
+                if at != key:
+                    if held:
+                        out.append(unit(*key, held))
+                    held, key = [], at
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unit(*key, held)], ["a", "b"])
+
+    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = SIMILAR_PERCENT, coordinates: int = COORDINATES, min_matches: int = MIN_MATCHES) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of ``docs``.
 
@@ -262,14 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = scratch.save(_within(of(clusters.select("id", F.col("root").alias("cluster")), roots, "root"), texts, shingle_words, percent), "links1")
     # lists with texts of several clusters: the pairs across these
     placed = scratch.save(of(prefix, clusters, "root"), "placed")
-    groups = placed.select("token", "root").distinct()
-    open_ = scratch.save(groups.join(groups.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token").drop("n"), "open")
-    across = open_.alias("x").join(open_.alias("y"), F.expr("x.token = y.token and x.root < y.root")).select(F.col("x.token").alias("token"), F.col("x.root").alias("r1"), F.col("y.root").alias("r2"))
-    one = placed.select("token", F.col("root").alias("r1"), F.col("id").alias("p"), F.col("n").alias("n_p"))
-    two = placed.select(F.col("token").alias("token2"), F.col("root").alias("root2"), F.col("id").alias("q"), F.col("n").alias("n_q"))
-    meet = F.expr("token = token2 and r2 = root2 and " + sizes("n_p", "n_q"))
-    rest = across.join(one, ["token", "r1"]).join(two, meet).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    more = scratch.save(confirmed(matched(rest)), "links2")
+    more = scratch.save(confirmed(_across(placed, sigs.select("id", "sig"), min_matches, percent).distinct()), "links2")
     final = components(links.union(inside).union(more), scratch, "final")
     named = classes.join(final, F.col("rep") == F.col("id"), "left").select("f", "g", F.coalesce("root", "rep").alias("root"))
     out = read.join(named, ["f", "g"], "left")

@@ -298,3 +298,33 @@ def test_queries_equal_their_sql(spark, name):
     cols = [c[0] for c in sql.description]
     assert sorted(cols) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted(sql.fetchall(), key=repr)
+
+
+# blocks of a list (near-duplicates), columns of line dedup
+
+
+def test_pairs_across_clusters_of_a_list(spark):
+    from adfunnel.llm import minhash
+
+    rng = random.Random(9)
+    base = [rng.randrange(50) for _ in range(12)]
+    sig = {i: [x if rng.random() < 0.8 else rng.randrange(50) for x in base] for i in range(60)}
+    n = {i: rng.choice([10, 11, 30]) for i in sig}
+    root = {i: rng.randrange(i // 10 * 10, i + 1) if i % 4 else 0 for i in sig}
+    lists = {t: [i for i in sig if rng.random() < (0.9 if t == 0 else 0.1)] for t in range(8)}
+    placed = spark.createDataFrame([(t, i, n[i], root[i]) for t, ids in lists.items() for i in ids], "token long, id long, n long, root long")
+    sigs = spark.createDataFrame(list(sig.items()), "id long, sig array<int>")
+    want = {(a, b) for ids in lists.values() for a in ids for b in ids if a < b and root[a] != root[b] and sum(map(int.__eq__, sig[a], sig[b])) >= 9 and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b])}
+    assert len(want) > 20
+    for block in (4, 256):
+        assert {tuple(r) for r in minhash._across(placed, sigs, 9, 80, block).distinct().collect()} == want
+
+
+def test_line_dedup_keeps_columns_of_its_own_names(spark):
+    from adfunnel.llm import lines
+
+    rows = [(1, "a\nb", 7, "x", "y"), (2, "a\nb", 8, "z", "w"), (None, "a\nb", 9, None, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, gone string, c0 string")
+    got = lines.dedup_lines(df, min_lines=1, counts=False)
+    assert got.columns == df.columns
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([(1, "", 7, "x", "y"), (2, "", 8, "z", "w"), (None, "a\nb", 9, None, "v")], key=repr)
