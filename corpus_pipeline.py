@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated lines, runs of one line included, go from the texts; every row stays, and n_chars follows the text."""
-    out = lines.dedup_lines(docs, min_lines=1).select(*docs.columns)
+    out = lines.dedup_lines(docs, min_lines=1, counts=False)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
