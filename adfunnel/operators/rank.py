@@ -9,10 +9,14 @@ is part of the data.
 
 from __future__ import annotations
 
+import uuid
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHART_BAND_FLOOR, CHART_BANDS, CHART_METRICS, DEFAULT_MISSING_SCORE, RANKING_SIZE, SORTABLE_COLUMNS
+from ..session import checkpoint_dir
 
 _FIRST = ["first_campaign_key", "first_adset_key", "first_creative_key"]
 
@@ -42,7 +46,35 @@ def _sort_value(column: str) -> Column:
     return F.col(column).cast("double")
 
 
+def with_position(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """``rows`` with their place in ``order``, from 1, without a task that sees all.
+
+    Rows are dealt by ranges of the order and sorted in their task; a place is
+    that in the task plus the rows of the tasks before, of which the driver
+    adds up one count a task.  The dealt rows are a stored table, as another
+    sampling of the ranges would deal them otherwise.
+    """
+    spark = rows.sparkSession
+    at = "_at" + "_" * max(len(c) for c in rows.columns)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    path = f"{checkpoint_dir(spark)}/position-{uuid.uuid4().hex[:12]}"
+    dealt.write.parquet(path)
+    stored = spark.read.schema(dealt.schema).parquet(path)
+    part = F.shiftright(F.col(at), 33)
+    counts = sorted(tuple(r) for r in stored.groupBy(part.alias("part")).agg(F.min(at), F.count("*")).collect())
+    before = accumulate((n for _, _, n in counts), initial=1)
+    shift = [(p, b - first) for (p, first, _), b in zip(counts, before, strict=False)]
+    shifts = spark.createDataFrame(shift, f"{at}p long, {at}s long")  # a row per task
+    return stored.join(F.broadcast(shifts), part == F.col(f"{at}p")).select(*rows.columns, (F.col(at) + F.col(f"{at}s")).alias(name))
+
+
 def tree_sorted(tree: DataFrame, column: str = "spend", descending: bool = True) -> DataFrame:
+    """R3 as a sorted table; see ``tree_order``."""
+    rows, order = tree_order(tree, column, descending)
+    return rows.orderBy(*order)
+
+
+def tree_order(tree: DataFrame, column: str = "spend", descending: bool = True) -> tuple[DataFrame, list[Column]]:
     """Siblings sorted at every level by ``column`` (missing values sort as
     -infinity), each parent followed by its children.
 
@@ -76,18 +108,24 @@ def tree_sorted(tree: DataFrame, column: str = "spend", descending: bool = True)
         F.col("adset_key").isNotNull().asc(), key("sort1"), F.col("adset_key").asc(),
         F.col("creative_key").isNotNull().asc(), key("sort2"), F.col("creative_key").asc(),
     ]
-    return out.orderBy(*order)
+    return out, order
 
 
 def flat_sorted(flat: DataFrame, column: str = "spend", descending: bool = True) -> DataFrame:
-    """Rows of one consolidated level sorted globally (missing -> 0)."""
+    """R4 as a sorted table; see ``flat_order``."""
+    rows, order = flat_order(flat, column, descending)
+    return rows.orderBy(*order)
+
+
+def flat_order(flat: DataFrame, column: str = "spend", descending: bool = True) -> tuple[DataFrame, list[Column]]:
+    """Rows of one consolidated level and their global order (missing -> 0)."""
     if column == "name":
         v = F.lower(F.col("name"))
     else:
         v = F.coalesce(_sort_value(column), F.lit(0.0))
     rows = flat.where(F.col("depth") == 0).select("*", v.alias("sort_value"))
     first = [F.col(c).asc() for c in _FIRST]
-    return rows.orderBy(F.col("sort_value").desc() if descending else F.col("sort_value").asc(), *first)
+    return rows, [F.col("sort_value").desc() if descending else F.col("sort_value").asc(), *first]
 
 
 def campaign_names(tree: DataFrame) -> DataFrame:

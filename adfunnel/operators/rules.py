@@ -76,14 +76,23 @@ def alert_candidates(tree: DataFrame, kpis: DataFrame) -> DataFrame:
 
 def rule_alerts(tree: DataFrame, kpis: DataFrame, cap: int = C.ALERT_CAP) -> DataFrame:
     """First alert per (entity, metric) in depth-first order, at most ``cap``."""
-    cand = alert_candidates(tree, kpis)
+    t = tree.crossJoin(F.broadcast(kpis.select(F.col("overall_cpl").alias("_avg_cpl"))))
+    conds = _rule_conditions(F.col("_avg_cpl"))
+    fired = F.filter(F.array(*(F.when(conds[r[0]], F.lit(r[0])) for r in C.ALERT_RULES)), lambda x: x.isNotNull())
+    fired = t.select("*", F.explode(fired).alias("rule_no"))
+    metric = F.element_at(F.create_map(*(F.lit(x) for r in C.ALERT_RULES for x in (r[0], r[3]))), F.col("rule_no"))
+    # the least row per entity and metric, found before any shuffle as far as it can be; texts are made for the rows that are left
     order = _dfs() + [F.col("rule_no").asc()]
-    w = Window.partitionBy("entity", "metric").orderBy(*order)
-    first = cand.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+    least = F.min(F.struct("campaign_key", "adset_key", "creative_key", "rule_no", F.struct(*t.columns).alias("row"))).alias("m")
+    first = fired.groupBy(F.col("name").alias("entity"), metric.alias("metric")).agg(least).select("m.row.*", "m.rule_no", "entity", "metric")
     top = first.orderBy(*order).limit(cap)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(*order))).select(
-        "position", "rule_no", "type", "icon", "level", "entity", "metric", "value", "message", "action",
-        "campaign_key", "adset_key", "creative_key",
+    top = top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    fields = _fields(F.col("_avg_cpl"))
+    pick = lambda text: F.coalesce(*(F.when(F.col("rule_no") == r[0], text(r)) for r in C.ALERT_RULES))
+    return top.select(
+        "position", "rule_no", pick(lambda r: F.lit(r[1])).alias("type"), pick(lambda r: F.lit(r[2])).alias("icon"), "level", "entity", "metric",
+        pick(lambda r: render(C.ALERT_VALUE_TEMPLATES[r[0]], fields)).alias("value"), pick(lambda r: render(C.ALERT_MESSAGE_TEMPLATES[r[0]], fields)).alias("message"),
+        pick(lambda r: F.lit(r[4])).alias("action"), "campaign_key", "adset_key", "creative_key",
     )
 
 

@@ -271,6 +271,36 @@ def q_flat_sorted(spark, sf):
     return R.flat_sorted(funnel(spark, sf).creatives_flat, "cpl", False).select("id", "name", "sort_value")
 
 
+def _tree_position_sql() -> str:
+    return _sql(
+        """SELECT level, id, row_number() OVER (ORDER BY sort0 DESC NULLS LAST, campaign_key, adset_key IS NOT NULL, sort1 DESC NULLS LAST, adset_key,
+              creative_key IS NOT NULL, sort2 DESC NULLS LAST, creative_key) AS position
+            FROM (SELECT t.*, c.spend AS sort0, CASE WHEN t.level = 'adset' THEN t.spend WHEN t.level = 'creative' THEN a.spend END AS sort1,
+                CASE WHEN t.level = 'creative' THEN t.spend END AS sort2 FROM tree t
+              LEFT JOIN (SELECT campaign_key, spend FROM tree WHERE level = 'campaign') c ON t.campaign_key = c.campaign_key
+              LEFT JOIN (SELECT campaign_key, adset_key, spend FROM tree WHERE level = 'adset') a
+                ON t.campaign_key = a.campaign_key AND t.adset_key = a.adset_key)"""
+    )
+
+
+@register("tree_positions", _tree_position_sql())
+def q_tree_positions(spark, sf):
+    """The place of every tree row in the display order."""
+    return R.with_position(*R.tree_order(funnel(spark, sf).tree, "spend", True)).select("level", "id", "position")
+
+
+@register(
+    "flat_positions",
+    _sql(
+        "SELECT id, row_number() OVER (ORDER BY coalesce(CAST(cpl AS DOUBLE), 0.0), first_campaign_key, first_adset_key, first_creative_key) AS position "
+        "FROM cons_creative WHERE depth = 0"
+    ),
+)
+def q_flat_positions(spark, sf):
+    """The place of every consolidated creative by cost per lead."""
+    return R.with_position(*R.flat_order(funnel(spark, sf).creatives_flat, "cpl", False)).select("id", "position")
+
+
 @register("campaign_names", _sql("SELECT DISTINCT name FROM tree WHERE level = 'campaign'"))
 def q_campaign_names(spark, sf):
     return R.campaign_names(funnel(spark, sf).tree)

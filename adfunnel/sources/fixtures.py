@@ -181,8 +181,11 @@ def store_silver(spark: SparkSession, sf_dir: str) -> FunnelTables:
         done = False
     if not done:
         live = project_silver(spark, sf_dir).as_dict()
+        # as many files as the session deals shuffles to, by date, so that a window skips files and row groups
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
         for name in names:
-            live[name].write.mode("overwrite").parquet(f"{root}/{name}")
+            dealt = live[name].repartitionByRange(files, F.col("date"), F.xxhash64("ordinal"))
+            dealt.sortWithinPartitions("date").write.mode("overwrite").parquet(f"{root}/{name}")
         # written last: a crash before this point leaves no marker and the
         # tables are rewritten on the next call
         spark.range(1).write.mode("overwrite").parquet(marker)

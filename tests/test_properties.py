@@ -41,3 +41,16 @@ def test_independent_of_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert before == after
+
+
+def test_positions_over_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from adfunnel.operators.rank import with_position
+
+    df = spark.range(0, 5000, 1, 7).select(F.col("id"), F.when(F.col("id") % 5 > 0, F.xxhash64("id") % 50).alias("v"), F.lit("clash").alias("_at"))
+    rows = with_position(df, [F.col("v").desc_nulls_last(), F.col("id").asc()]).collect()
+    want = sorted(((r.v, r.id) for r in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert [(r.v, r.id) for r in sorted(rows, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in rows) == list(range(1, 5001))
+    assert with_position(df.limit(0), [F.col("id")]).count() == 0
