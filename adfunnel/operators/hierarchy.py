@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import norm_key, round2, safe_div
+from .rank import with_position
 from .rollup import KEYS
 from .scoring import score
 
@@ -112,30 +113,42 @@ def consolidate(tree: DataFrame, root: str, weights=None) -> DataFrame:
     return scored.select(*FLAT_COLUMNS)
 
 
-def nested_export(tree: DataFrame) -> DataFrame:
-    """H1 nested form: one row per campaign with ``children`` (ad sets), each
-    with ``children`` (creatives); sorted by key like the original tree.
+_METRICS = [
+    "spend", "impressions", "clicks", "leads", "appointments", "sales", "revenue",
+    "ctr", "cpl", "cac", "roas", "conversion_rate", "appointment_rate", "close_rate",
+]
+CHILDREN_A_ROW = 1000
+
 
-    Collecting children is bounded by the number of groups under one parent,
-    never by raw rows; this is an export format, the flat tree is the product.
+def nested_export(tree: DataFrame, children: int = CHILDREN_A_ROW) -> DataFrame:
+    """H1 nested form: a row per campaign or ad set and chunk of its children.
+
+    ``node`` is the parent's own record, ``children`` at most that many records
+    of the level below, sorted by key; ``chunk`` numbers the rows of a parent
+    from 0. A parent without children has one row with none. Places come from
+    ranges and counts (``rank.with_position``), so no row, task or window holds
+    all children of a parent.
     """
-    metric_cols = [
-        "spend", "impressions", "clicks", "leads", "appointments", "sales", "revenue",
-        "ctr", "cpl", "cac", "roas", "conversion_rate", "appointment_rate", "close_rate",
-    ]
-    cre = tree.where(F.col("level") == "creative")
-    cre_struct = F.struct(
-        "creative_key", "level", "id", "name", "campaign_name", "adset_name", *metric_cols, "performance_score", "score_band"
-    )
-    cre_g = cre.groupBy("campaign_key", "adset_key").agg(F.array_sort(F.collect_list(cre_struct)).alias("children"))
-    ads = tree.where(F.col("level") == "adset").join(cre_g, ["campaign_key", "adset_key"], "left")
-    ads_struct = F.struct(
-        "adset_key", "level", "id", "name", "campaign_name", *metric_cols,
-        F.coalesce("children", F.array().cast(cre_g.schema["children"].dataType)).alias("children"),
-    )
-    ads_g = ads.groupBy("campaign_key").agg(F.array_sort(F.collect_list(ads_struct)).alias("children"))
-    camp = tree.where(F.col("level") == "campaign").join(ads_g, ["campaign_key"], "left")
-    return camp.select(
-        "campaign_key", "level", "id", "name", *metric_cols, "performance_score", "score_band",
-        F.coalesce("children", F.array().cast(ads_g.schema["children"].dataType)).alias("children"),
-    )
+    record = F.struct("level", "id", *KEYS, "name", "campaign_name", "adset_name", *_METRICS, "performance_score", "score_band")
+    rows = tree.select(F.col("level").alias("child_level"), "campaign_key", F.when(F.col("level") == "creative", F.col("adset_key")).alias("parent_adset"), "adset_key", "creative_key", record.alias("record"))
+    below = rows.where(F.col("child_level") != "campaign")
+    order = [F.col("child_level").asc(), F.col("campaign_key").asc(), F.col("parent_adset").asc_nulls_first(), F.col("adset_key").asc(), F.col("creative_key").asc_nulls_first()]
+    placed = with_position(below, order, "place")
+    parent = ["child_level", "campaign_key", "parent_adset"]
+    first = placed.groupBy(*parent).agg(F.min("place").alias("first")).select(*(F.col(c).alias(f"p{i}") for i, c in enumerate(parent)), "first")
+    on = (F.col("child_level") == F.col("p0")) & (F.col("campaign_key") == F.col("p1")) & F.col("parent_adset").eqNullSafe(F.col("p2"))
+    chunk = F.floor((F.col("place") - F.col("first")) / children).cast("int")
+    chunks = placed.join(first, on).select(*parent, chunk.alias("chunk"), F.struct("place", "record").alias("c"))
+    chunks = chunks.groupBy(*parent, "chunk").agg(F.array_sort(F.collect_list("c")).alias("c"))  # at most ``children``
+    chunks = chunks.select(*(F.col(c).alias(f"p{i}") for i, c in enumerate(parent)), "chunk", F.col("c.record").alias("children"))
+    nodes = tree.where(F.col("level") != "creative").select("level", "campaign_key", "adset_key", record.alias("node"))
+    of = (F.col("p0") == F.when(F.col("level") == "campaign", "adset").otherwise("creative")) & (F.col("campaign_key") == F.col("p1")) & F.col("adset_key").eqNullSafe(F.col("p2"))
+    out = nodes.join(chunks, of, "left")
+    none = F.array().cast(chunks.schema["children"].dataType)
+    return out.select("level", "campaign_key", "adset_key", F.coalesce("chunk", F.lit(0)).alias("chunk"), "node", F.coalesce("children", none).alias("children"))
+
+
+def parsed_back(nested: DataFrame) -> DataFrame:
+    """The tree rows that a nested export holds: its campaigns, and all children."""
+    tops = nested.where("level = 'campaign' and chunk = 0").select("node.*")
+    return tops.unionByName(nested.select(F.explode("children").alias("c")).select("c.*"))

@@ -1019,12 +1019,12 @@ def q_empty_payload(spark, sf):
 # Export and refresh (rows-only checks)
 # ---------------------------------------------------------------------------
 
-@register("performance_nested", None)
+@register("performance_nested", _sql(f"SELECT {_TREE_COLS}, performance_score, score_band FROM tree"))
 def q_performance_nested(spark, sf):
-    """H1 nested export: campaigns with ad-set children with creative children."""
-    from ..operators.hierarchy import nested_export
+    """H1: the nested export, in chunks of children, parsed back to the tree's rows."""
+    from ..operators.hierarchy import nested_export, parsed_back
 
-    return nested_export(funnel(spark, sf).tree)
+    return parsed_back(nested_export(funnel(spark, sf).tree)).select(*_cols(_TREE_COLS), "performance_score", "score_band")
 
 
 @register("payload_export", None)

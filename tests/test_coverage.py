@@ -27,4 +27,4 @@ def test_every_survey_key_is_registered():
 
 def test_rows_only_checks_are_few():
     rows_only = sorted(k for k in QUERIES if k not in oracle_sql())
-    assert rows_only == ["payload_export", "performance_nested"]
+    assert rows_only == ["payload_export"]

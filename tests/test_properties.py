@@ -54,3 +54,25 @@ def test_positions_over_many_tasks(spark):
     assert [(r.v, r.id) for r in sorted(rows, key=lambda r: r.position)] == want
     assert sorted(r.position for r in rows) == list(range(1, 5001))
     assert with_position(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_nested_export_in_bounded_chunks(spark):
+    from helpers import CFG, ad, tables
+
+    from adfunnel import Funnel
+    from adfunnel.operators.hierarchy import nested_export, parsed_back
+
+    ads = [ad(i, f"LEADS {'a' if i else 'b'}", f"s{i % 3}" if i % 5 else "", f"c{i}", 10) for i in range(40)] + [ad(99, "LEADS z", None, None, 1)]
+    tree = Funnel(tables(spark, ads), CFG, materialize=True).tree
+    nested = nested_export(tree, children=4)
+    rows = nested.collect()
+    assert max(len(r.children) for r in rows) == 4 and any(not r.children for r in rows)
+    for r in rows:
+        keys = [c.creative_key if r.level == "adset" else c.adset_key for c in r.children]
+        assert keys == sorted(keys) and all(c.campaign_key == r.campaign_key for c in r.children)
+    chunks = {}
+    for r in rows:
+        chunks.setdefault((r.level, r.campaign_key, r.adset_key), []).append(r.chunk)
+    assert all(sorted(x) == list(range(len(x))) for x in chunks.values())
+    cols = sorted(tree.columns)
+    assert sorted(map(repr, parsed_back(nested).select(*cols).collect())) == sorted(map(repr, tree.select(*cols).collect()))
