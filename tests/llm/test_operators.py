@@ -427,7 +427,7 @@ def test_mix_deals_equal_rows_into_blocks(spark):
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(oracle.oracle_sql()[name])
     cols = [c[0] for c in want.description]

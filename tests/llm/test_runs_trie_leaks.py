@@ -8,14 +8,12 @@ import re
 import zlib
 from collections import defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adfunnel.llm import decontaminate, oracle, periodic, queries, trie
+from adfunnel.llm import decontaminate, periodic, queries, trie
 
-SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -288,18 +286,6 @@ def test_ties_and_repeated_rows(spark):
     assert [(r.role, r.text) for r in got.orderBy("place").collect()] == [("", ""), ("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")]
 
 
-@pytest.mark.parametrize("name", ["op11_benchmark_decontamination", "op13_conversation_trie"])
-def test_queries_equal_their_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    got = queries.queries()[name](spark, SF)
-    sql = con.execute(oracle.oracle_sql()[name])
-    cols = [c[0] for c in sql.description]
-    assert sorted(cols) == sorted(got.columns)
-    assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted(sql.fetchall(), key=repr)
-
-
 # blocks of a list (near-duplicates), columns of line dedup
 
 
