@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adfunnel.llm._store import Scratch
@@ -115,14 +115,14 @@ def _pieces(own: DataFrame, block_rows: int) -> DataFrame:
     each = own.groupBy(*own.columns).agg(F.count("*").alias("c"))
     each = each.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / most).cast("int"))).alias("k"))
     h = F.when(F.col("k") == 0, F.col("h")).otherwise(F.xxhash64("h", "k"))
-    return each.select("id", "source", "size", h.alias("h"), F.least(F.lit(most), F.col("c") - F.col("k") * most).cast("bigint").alias("m"))
+    return each.select("id", "source", "size", h.alias("h"), F.col("h").alias("key"), F.least(F.lit(most), F.col("c") - F.col("k") * most).cast("bigint").alias("m"))
 
 
 def _block(level: int, blocks: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(level), "h"), F.greatest(blocks, F.lit(1)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, block_rows: int = 20_000, words: F.Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, block_rows: int = 20_000, words: F.Column | None = None, keyed: bool = False) -> DataFrame:
     """The columns of ``docs`` but the text, with size, source_size, target, copies and taken, per row.
 
     A source with a third of all rows is dealt into blocks of about
@@ -132,7 +132,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source of its own, last in order; null and repeated ids are rows like any
     other. Equal rows take each other's place: they are counted, and the counts
     are dealt into blocks in parts. Results depend on the rows, not on their
-    place. An empty table gives an empty result.
+    place. An empty table gives an empty result. With ``keyed``, ``key`` is the
+    hash of seed, id and text by which ``repeat_rows`` finds the row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -175,15 +176,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         open_, level = out.where("p > 0 and p < 1"), level + 1
     whole = reduce(DataFrame.unionByName, done)
     whole = whole.withColumn("copies", (F.col("floor") + F.col("p")).cast("bigint"))
-    return whole.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = whole.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
+    return out if keyed else out.drop("key")
 
 
 def _typed(run, cols):
     return lambda key, frame: run(key, frame[cols])
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each row as often as the mix takes its id; rows that share an id take the greatest count."""
-    taken = mixed.where("copies > 0").groupBy(id_col).agg(F.max("copies").alias("__copies")).withColumnRenamed(id_col, "__id")
-    out = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__one")).drop("__one")
+def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; ``mixed`` is ``mix(docs, keyed=True)`` with the same seed.
+
+    Rows are found by id, text and source, so rows that share an id have counts
+    of their own. Rows equal in all three take each other's place: their copies
+    are dealt to them evenly, those left over to some of them. Null ids, texts
+    and sources are values like any other; columns keep their names whatever
+    they are. An empty table gives an empty result.
+    """
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    col = dict(zip(docs.columns, map(F.col, plain), strict=True))
+    taken = mixed.groupBy(F.col("key").alias("t_key"), F.col(source_col).alias("t_source")).agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).where(F.col("all") > 0)
+    key = F.xxhash64(F.lit(seed), col[id_col], col[text_col])
+    rows = docs.toDF(*plain).withColumn("key", key)
+    out = rows.join(taken, (F.col("key") == F.col("t_key")) & col[source_col].eqNullSafe(F.col("t_source")))
+    # numbers of equal rows; the join has dealt by the same key
+    number = F.when(F.col("rows") == 1, 1).otherwise(F.row_number().over(Window.partitionBy("key", "t_source").orderBy("key")))
+    copies = F.floor(F.col("all") / F.col("rows")) + F.when(number <= F.col("all") % F.col("rows"), 1).otherwise(0)
+    out = out.select(*plain, copies.cast("int").alias("copies")).where("copies > 0")
+    return out.select(*plain, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("one")).select(*plain).toDF(*docs.columns)

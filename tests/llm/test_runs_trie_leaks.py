@@ -314,3 +314,28 @@ def test_line_dedup_keeps_columns_of_its_own_names(spark):
     got = lines.dedup_lines(df, min_lines=1, counts=False)
     assert got.columns == df.columns
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([(1, "", 7, "x", "y"), (2, "", 8, "z", "w"), (None, "a\nb", 9, None, "v")], key=repr)
+
+
+# pipeline stages
+
+
+def test_stages_on_clashing_names_repeated_ids_and_empty_tables(spark):
+    import corpus_pipeline as p
+    from adfunnel.llm import mixing
+
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n)) + "."
+    rows = [(None if i < 40 else 7 if i < 80 else i, text(60 + i % 90), "a" if i % 3 else None) for i in range(200)] + [(3, text(80), "b")] * 30 + [(None, None, "b"), (4, "", "b")]
+    cols = "doc_id long, text string, source string, __id long, __t long, __copies long, __one long, i long, n_lines long, key long, h long"
+    docs = spark.createDataFrame([(*r, *range(8)) for r in rows], cols)
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), "").count() == 0
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 0
+        assert out.select(*cols.replace(" long", "").replace(" string", "").split(", ")[3:]).distinct().collect()[0] == tuple(range(8))
+    assert p.encode(spark, docs.limit(0), "").count() == 0
+    size = mixing.n_words(F.col("text"))
+    got = {r.source: r.n for r in p.mix_sources(spark, docs, "").groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    mixed = mixing.mix(docs)
+    want = {r.source: (r.n, r.target) for r in mixed.groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("target")).collect()}
+    assert all(got[s] == n and abs(n - target) <= 150 for s, (n, target) in want.items())
