@@ -8,7 +8,7 @@ their children, and re-scores each group of siblings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import norm_key, round2, safe_div
@@ -28,13 +28,7 @@ def performance_tree(unscored: DataFrame, weights=None) -> DataFrame:
     ).withColumn("score_band", F.when(is_adset, F.lit(None).cast("string")).otherwise(F.col("score_band")))
 
 
-# name columns that spell the path of a tree row below a given root level
-_PATH_NAMES = {
-    "campaign": {"campaign": ["name"], "adset": ["campaign_name", "name"], "creative": ["campaign_name", "adset_name", "name"]},
-    "adset": {"adset": ["name"], "creative": ["adset_name", "name"]},
-    "creative": {"creative": ["name"]},
-}
-_CHILD_LEVELS = {"campaign": ["campaign", "adset", "creative"], "adset": ["adset", "creative"], "creative": ["creative"]}
+LEVELS = ["campaign", "adset", "creative"]
 
 FLAT_COLUMNS = [
     "level", "depth", "key0", "key1", "key2", "id", "name",
@@ -45,35 +39,38 @@ FLAT_COLUMNS = [
 ]
 
 
-def _path(tree: DataFrame, root: str) -> DataFrame:
-    parts = []
-    for depth, level in enumerate(_CHILD_LEVELS[root]):
-        names = _PATH_NAMES[root][level]
-        keys: list[Column] = [norm_key(n) for n in names] + [F.lit(None).cast("string")] * (3 - len(names))
-        parts.append(
-            tree.where(F.col("level") == level).select(
-                F.lit(level).alias("level"),
-                F.lit(depth).alias("depth"),
-                *[k.alias(f"key{i}") for i, k in enumerate(keys)],
-                "name", *KEYS, "spend", "impressions", "clicks", "leads", "appointments", "sales", "revenue",
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def consolidate(tree: DataFrame, root: str, weights=None) -> DataFrame:
-    """H3 for one root level (campaign, adset or creative).
+def _paths(tree: DataFrame, roots: list[str]) -> DataFrame:
+    """Each tree row once per root at or above its level, under the path of
+    names from that root down (null beyond its depth)."""
+    level = F.col("level")
+    at = F.when(level == "campaign", 0).when(level == "adset", 1).otherwise(2)
+    names = [
+        norm_key(F.when(level == "campaign", F.col("name")).otherwise(F.col("campaign_name"))),
+        norm_key(F.when(level == "adset", F.col("name")).when(level == "creative", F.col("adset_name"))),
+        norm_key(F.when(level == "creative", F.col("name"))),
+        F.lit(None).cast("string"),
+        F.lit(None).cast("string"),
+    ]
+    views = []
+    for r in (LEVELS.index(root) for root in roots):
+        keys = [names[r + i].alias(f"key{i}") for i in range(3)]
+        views.append(F.when(at >= r, F.struct(F.lit(LEVELS[r]).alias("root"), (at - r).alias("depth"), *keys)))
+    rows = tree.where(level.isin(LEVELS[min(map(LEVELS.index, roots)):]))
+    own = ["level", "name", *KEYS, "spend", "impressions", "clicks", "leads", "appointments", "sales", "revenue"]
+    out = rows.select(*own, F.explode(F.array(*views)).alias("view")).where("view is not null")
+    return out.select("view.*", *own)
+
+
+def consolidated_rows(tree: DataFrame, roots: list[str]) -> DataFrame:
+    """H3 without scores, for all ``roots`` in one pass over the tree.
 
     Sums of the *displayed* (rounded) values and of already-distinct counts;
     money re-rounded, ratios recomputed from the sums, first name (tree
-    order) kept; pools: all roots, then siblings under each parent.
+    order) kept.  ``pool0`` and ``pool1`` name the siblings of a row: all rows
+    of a root's top level are one pool.
     """
-    rows = _path(tree, root)
     first = F.struct(*KEYS)
-    g = rows.groupBy("level", "depth", "key0", "key1", "key2").agg(
+    g = _paths(tree, roots).groupBy("root", "level", "depth", "key0", "key1", "key2").agg(
         F.min_by("name", first).alias("name"),
         F.min(first).alias("_first"),
         F.sum(F.col("spend").cast("decimal(38,2)")).alias("_spend"),
@@ -88,13 +85,15 @@ def consolidate(tree: DataFrame, root: str, weights=None) -> DataFrame:
     revenue = round2(F.col("_revenue").cast("double"))
     own_key = F.coalesce("key2", "key1", "key0")
     m = g.select(
-        "level", "depth", "key0", "key1", "key2", own_key.alias("id"), "name",
+        "root", "level", "depth", "key0", "key1", "key2", own_key.alias("id"), "name",
+        F.when(F.col("depth") > 0, F.col("key0")).otherwise("").alias("pool0"),
+        F.when(F.col("depth") > 1, F.col("key1")).otherwise("").alias("pool1"),
         spend.alias("spend"), "impressions", "clicks", "leads", "appointments", "sales", revenue.alias("revenue"),
         F.col("_first.campaign_key").alias("first_campaign_key"),
         F.col("_first.adset_key").alias("first_adset_key"),
         F.col("_first.creative_key").alias("first_creative_key"),
     )
-    m = m.select(
+    return m.select(
         "*",
         round2(safe_div("clicks", "impressions") * 100).alias("ctr"),
         round2(safe_div("spend", "leads")).alias("cpl"),
@@ -104,13 +103,21 @@ def consolidate(tree: DataFrame, root: str, weights=None) -> DataFrame:
         round2(safe_div("appointments", "leads") * 100).alias("appointment_rate"),
         round2(safe_div("sales", "appointments") * 100).alias("close_rate"),
     )
-    scored = score(m.where(F.col("depth") == 0), weights=weights)
-    depths = len(_CHILD_LEVELS[root])
-    if depths > 1:
-        scored = scored.unionByName(score(m.where(F.col("depth") == 1), ["key0"], weights))
-    if depths > 2:
-        scored = scored.unionByName(score(m.where(F.col("depth") == 2), ["key0", "key1"], weights))
-    return scored.select(*FLAT_COLUMNS)
+
+
+def consolidate(tree: DataFrame, roots: str | list[str], weights=None, store=None) -> DataFrame:
+    """H3 + M5 for one root level, or for several with a ``root`` column.
+
+    One expand, one aggregate and one join with the statistics of the pools.
+    ``store`` writes a table and reads it back: the consolidated rows feed
+    both the statistics and the scores, and go through it so that the tree is
+    read once.
+    """
+    several = not isinstance(roots, str)
+    rows = consolidated_rows(tree, roots if several else [roots])
+    rows = store(rows) if store else rows
+    scored = score(rows, ["root", "depth", "pool0", "pool1"], weights, spread=F.col("depth") == 0)
+    return scored.select(*(["root"] if several else []), *FLAT_COLUMNS)
 
 
 _METRICS = [

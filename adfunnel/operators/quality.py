@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,18 +72,17 @@ def campaign_match(tree: DataFrame) -> DataFrame:
     ).select("campaign_key", "name", "leads", "appointments", "sales", "revenue")
 
 
-def campaign_keys(ads_f: DataFrame, appts_f: DataFrame, sales_f: DataFrame) -> DataFrame:
-    """Distinct campaign keys of each table (as the log listings)."""
-    a = ads_f.select(F.lit("ads").alias("table"), norm_key("campaign").alias("campaign_key"))
-    p = appts_f.select(F.lit("appointments").alias("table"), norm_key("campaign").alias("campaign_key"))
-    s = sales_f.select(F.lit("sales").alias("table"), norm_key("campaign").alias("campaign_key")).where(
-        F.col("campaign_key") != ""
-    )
-    return a.unionByName(p).unionByName(s).where(F.col("campaign_key").isNotNull()).distinct()
+def distinct_keys(rows: DataFrame) -> DataFrame:
+    """Campaign keys of ``rows``, each once (counted off in every map task first)."""
+    return rows.select(norm_key("campaign").alias("campaign_key")).where("campaign_key is not null").distinct()
+
+
+def campaign_keys(ads: DataFrame, appts: DataFrame, sales: DataFrame) -> DataFrame:
+    """The distinct campaign keys of each table (as the log listings); blank ones of sales are left out."""
+    parts = {"ads": ads, "appointments": appts, "sales": sales.where(F.col("campaign_key") != "")}
+    return reduce(DataFrame.unionByName, [keys.select(F.lit(name).alias("table"), "campaign_key") for name, keys in parts.items()])
 
 
-def key_overlap(left_f: DataFrame, ads_f: DataFrame) -> DataFrame:
-    """Campaign keys present in both ``left`` and the ads."""
-    l_keys = left_f.select(norm_key("campaign").alias("campaign_key"))
-    a_keys = ads_f.select(norm_key("campaign").alias("campaign_key"))
-    return l_keys.intersect(a_keys)
+def key_overlap(left: DataFrame, ads: DataFrame) -> DataFrame:
+    """Campaign keys present in both; the two sides hold each key once."""
+    return left.join(ads, "campaign_key", "left_semi")

@@ -8,7 +8,8 @@ joined back, so no unpartitioned window ever funnels rows into one task:
 * global pool -> one-row aggregate, broadcast (its size is 1 row by
   construction) into a nested-loop join that streams the big side;
 * sibling pools -> aggregate by parent key, equi-join on that key (AQE
-  broadcasts it when small and splits skewed parents otherwise).
+  broadcasts it when small and splits skewed parents otherwise);
+* both at once -> the same, with the rows of global pools dealt over salts.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ def normalised(x: Column, mn: Column, mx: Column, invert: bool) -> Column:
     return F.when(mx == mn, F.lit(0.5)).otherwise(norm)
 
 
-def score(df: DataFrame, pool: list[str] | tuple = (), weights=None, bounded_pool: bool = False) -> DataFrame:
+SPREAD = 64
+
+
+def score(df: DataFrame, pool: list[str] | tuple = (), weights=None, bounded_pool: bool = False, spread: Column | None = None) -> DataFrame:
     """Add ``performance_score`` (int 0-100) and ``score_band``.
 
     A metric takes part only if its pool sum is positive (all metrics are
@@ -44,13 +48,21 @@ def score(df: DataFrame, pool: list[str] | tuple = (), weights=None, bounded_poo
 
     ``bounded_pool=True`` declares that the pool keys take a handful of
     values (e.g. the three tree levels), so the statistics are broadcast.
+    ``spread`` marks rows of pools that may hold most rows: they are dealt
+    over ``SPREAD`` keys, and their statistics repeated as often.
     """
     weights = list(weights or SCORE_WEIGHTS)
     pool = list(pool)
     aggs = []
     for metric, _, _ in weights:
         aggs += [F.min(metric).alias(f"_mn_{metric}"), F.max(metric).alias(f"_mx_{metric}")]
-    if pool:
+    if pool and spread is not None:
+        stats = df.groupBy(*pool).agg(*aggs)
+        salts = F.when(spread, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+        stats = stats.withColumn("_mn_salt", F.explode(salts))
+        salt = F.when(spread, F.pmod(F.xxhash64(*[c for c in df.columns if c not in pool]), F.lit(SPREAD)).cast("int")).otherwise(0)
+        joined = df.withColumn("_mn_salt", salt).join(stats, [*pool, "_mn_salt"], "left")
+    elif pool:
         stats = df.groupBy(*pool).agg(*aggs)
         joined = df.join(F.broadcast(stats) if bounded_pool else stats, pool, "left")
     else:

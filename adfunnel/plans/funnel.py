@@ -52,7 +52,6 @@ class Funnel:
         self.cfg = (config or FunnelConfig()).resolved()
         self.materialize = materialize
         self._run_id = uuid.uuid4().hex[:12]
-        self._pinned: list[str] = []
         # views read by several outputs are stored only when many outputs
         # are produced in one run (write_outputs)
         self._pin_shared = False
@@ -108,18 +107,26 @@ class Funnel:
         return self.res.has("sales", "revenue")
 
     # ---- aggregation core -------------------------------------------------
-    def _pin(self, df: DataFrame, shared: bool = False) -> DataFrame:
+    def _pin(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """Write ``df`` as a Parquet table in the shared checkpoint folder and
         read it back: one job, lineage cut, and the read-back carries file
         statistics the planner can use.  (An eager ``checkpoint()`` of an
         uncached plan runs it twice: once for the action, once to write.)"""
-        if not self.materialize or (shared and not self._pin_shared):
+        if not self.materialize:
             return df
         spark = df.sparkSession
         path = f"{checkpoint_dir(spark)}/funnel-{self._run_id}/{uuid.uuid4().hex[:8]}"
-        df.write.mode("overwrite").parquet(path)
-        self._pinned.append(path)
-        return spark.read.parquet(path)
+        out = df.write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Remove the stored intermediates; outputs that read them are gone too, written ones stay."""
+        spark = self.tables.ads.sparkSession
+        if not self.materialize:
+            return
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/funnel-{self._run_id}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     @cached_property
     def rollup(self) -> DataFrame:
@@ -192,21 +199,36 @@ class Funnel:
         return FL.campaign_filter(self.tree, campaign if campaign is not None else self.cfg.campaign_filter)
 
     # ---- consolidated views (H3) -------------------------------------------
+    @cached_property
+    def consolidated(self) -> DataFrame:
+        """The three consolidated views as one table, a partition per root."""
+        return self._pin(H.consolidate(self.tree, H.LEVELS, self.cfg.weights, store=self._pin), by="root")
+
+    def _flat(self, root: str) -> DataFrame:
+        # views read by several outputs are made together when many outputs are produced in one run
+        if self._pin_shared:
+            return self.consolidated.where(F.col("root") == root).drop("root")
+        return H.consolidate(self.tree, root, self.cfg.weights, store=self._pin)
+
     @cached_property
     def campaigns_flat(self) -> DataFrame:
-        return self._pin(H.consolidate(self.tree, "campaign", self.cfg.weights), shared=True)
+        return self._flat("campaign")
 
     @cached_property
     def adsets_flat(self) -> DataFrame:
-        return self._pin(H.consolidate(self.tree, "adset", self.cfg.weights), shared=True)
+        return self._flat("adset")
 
     @cached_property
     def creatives_flat(self) -> DataFrame:
-        return self._pin(H.consolidate(self.tree, "creative", self.cfg.weights), shared=True)
+        return self._flat("creative")
 
     def level_view(self, level: str = "all") -> DataFrame:
-        """the consolidated table of one level, or the tree for 'all'."""
-        return {"campaign": self.campaigns_flat, "adset": self.adsets_flat, "creative": self.creatives_flat}.get(level, self.tree)
+        """the consolidated table of one level; the tree for 'all', for
+        an unknown level and where that table is empty (a look at one row)."""
+        if level not in H.LEVELS:
+            return self.tree
+        view = getattr(self, f"{level}s_flat")
+        return self.tree if view.isEmpty() else view
 
     # ---- run-level figures --------------------------------------------------
     @cached_property
@@ -252,9 +274,8 @@ class Funnel:
     @cached_property
     def digest(self) -> DataFrame:
         # top and bottom both read the consolidated creatives: store it once
-        if "creatives_flat" not in self.__dict__ and self.materialize:
-            self._pin_shared = True
-            _ = self.creatives_flat
+        if "creatives_flat" not in self.__dict__:
+            self.creatives_flat = self._pin(self._flat("creative"))
         return RL.digest_lines(self.tree, self.kpis, self.top_creatives, self.bottom_creatives)
 
     @cached_property
@@ -270,8 +291,26 @@ class Funnel:
         return Q.campaign_match(self.tree)
 
     def campaign_keys(self) -> DataFrame:
+        """Keys of the roll-up, and of the distinct pairs that attribution uses."""
+        return Q.campaign_keys(self.ads_keys, self.appt_keys, self.sale_keys)
+
+    @property
+    def ads_keys(self) -> DataFrame:
+        """One row per campaign of the filtered ads, from the roll-up."""
+        return self.rollup.where("level = 'campaign'").select("campaign_key")
+
+    @property
+    def appt_keys(self) -> DataFrame:
         appts = self.appts_f if self.res.has("appointments", "campaign") else self.appts_f.where(F.lit(False))
-        return Q.campaign_keys(self.ads_f, appts, self.sales_f)
+        return Q.distinct_keys(appts)
+
+    @property
+    def sale_keys(self) -> DataFrame:
+        return Q.distinct_keys(self.sales_f)
+
+    def key_overlap(self, table: str) -> DataFrame:
+        """Campaign keys of ``appointments`` or ``sales`` that the ads have too."""
+        return Q.key_overlap({"appointments": self.appt_keys, "sales": self.sale_keys}[table], self.ads_keys)
 
     def write_outputs(self, path: str, workers: int = 4, skip: tuple[str, ...] = ()) -> dict[str, str]:
         """Write the payload, but for the tables in ``skip``, as Parquet tables
@@ -279,8 +318,7 @@ class Funnel:
         concurrent jobs that share the stored intermediates.  Nothing passes
         through the driver."""
         self._pin_shared = self.materialize
-        _ = self.tree
-        self._prefetch("campaigns_flat", "adsets_flat", "creatives_flat")
+        _ = self.consolidated
         outs = {k: v for k, v in self.outputs().items() if k not in skip}
 
         def write(item):
@@ -296,8 +334,7 @@ class Funnel:
         """(section, payload): the dashboard's document, one JSON row per
         record, so that no row and no task holds a whole table (S5)."""
         self._pin_shared = self.materialize
-        _ = self.tree
-        self._prefetch("campaigns_flat", "adsets_flat", "creatives_flat")
+        _ = self.consolidated
         synced = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
         span = F.struct(F.col("date_start").alias("start"), F.col("date_end").alias("end"))
         sections = {

@@ -534,13 +534,13 @@ def q_level_view(spark, sf):
 @register("appt_ads_overlap", _sql(f"SELECT {O.key('campaign')} AS campaign_key FROM appts_f INTERSECT SELECT {O.key('campaign')} FROM ads_f"))
 def q_appt_ads_overlap(spark, sf):
     f = funnel(spark, sf)
-    return Q.key_overlap(f.appts_f, f.ads_f)
+    return f.key_overlap("appointments")
 
 
 @register("sales_ads_overlap", _sql(f"SELECT {O.key('campaign')} AS campaign_key FROM sales_f INTERSECT SELECT {O.key('campaign')} FROM ads_f"))
 def q_sales_ads_overlap(spark, sf):
     f = funnel(spark, sf)
-    return Q.key_overlap(f.sales_f, f.ads_f)
+    return f.key_overlap("sales")
 
 
 @register(
