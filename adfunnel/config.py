@@ -72,6 +72,17 @@ DATE_FORMATS: list[tuple[str, str]] = [
     ("yyyy-M-d'T'H:m:s", "%Y-%m-%dT%H:%M:%S"),
 ]
 
+# Formats that a column may vote for where the cascade fails (same pair), in
+# the order that decides a tie; the day comes first unless the column says so.
+GUESS_FORMATS: list[tuple[str, str]] = [
+    ("d.M.yyyy", "%d.%m.%Y"),
+    ("yyyy/M/d", "%Y/%m/%d"),
+    ("M/d/yyyy", "%m/%d/%Y"),
+    ("M-d-yyyy", "%m-%d-%Y"),
+    ("d MMM yyyy", "%d %b %Y"),
+    ("MMM d, yyyy", "%b %d, %Y"),
+]
+
 # Characters Python's str.strip() removes (str.isspace()), as one regex class
 # usable by both Java regex and RE2.
 WHITESPACE_CLASS = (

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DATE_FORMATS, WHITESPACE_CHARS
+from ..config import DATE_FORMATS, GUESS_FORMATS, WHITESPACE_CHARS
 
 MONEY = "decimal(38,6)"
 
@@ -34,17 +34,57 @@ def norm_upper(col) -> Column:
     return F.upper(strip_ws(col))
 
 
+def _cleaned_date(col) -> Column:
+    return F.regexp_replace(strip_ws(col), _EDGE_QUOTES, "")
+
+
+def _as_ntz(cleaned: Column, formats: list[str]) -> Column:
+    # read as UTC and counted from the epoch, so that no session zone's clock change moves a date
+    tries = [F.try_to_timestamp(F.concat(cleaned, F.lit("Z")), F.lit(f + "X")) for f in formats]
+    seconds = (F.unix_micros(F.coalesce(*tries)) / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def parse_date(col) -> Column:
     """Text -> TIMESTAMP_NTZ via a fixed cascade of day-first formats.
 
     Whitespace, then single/double quotes are removed from both ends; the
     first format that parses wins; anything else is null.
     """
-    cleaned = F.concat(F.regexp_replace(strip_ws(col), _EDGE_QUOTES, ""), F.lit("Z"))
-    # read as UTC and counted from the epoch, so that no session zone's clock change moves a date
-    tries = [F.try_to_timestamp(cleaned, F.lit(spark_fmt + "X")) for spark_fmt, _ in DATE_FORMATS]
-    seconds = (F.unix_micros(F.coalesce(*tries)) / F.lit(1_000_000)).cast("decimal(18,6)")
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return _as_ntz(_cleaned_date(col), [f for f, _ in DATE_FORMATS])
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def guess_dates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the text of each of ``columns`` as a date: the cascade, and
+    where it fails the one format that the column votes for.
+
+    Every text that the cascade leaves votes for each of ``GUESS_FORMATS`` that
+    reads it; the format with most votes wins, the earlier one in a tie, and
+    reads the others too. The votes are counts over the whole column, so they
+    don't depend on the order of rows. They are one row, which is broadcast.
+    An empty column, or one without a vote, has nulls where the cascade fails.
+    """
+    formats = [f for f, _ in GUESS_FORMATS]
+    votes = []
+    for i, c in enumerate(columns):
+        text = _cleaned_date(_named(c))
+        left = parse_date(_named(c)).isNull()
+        counts = [F.count(F.when(left & _as_ntz(text, [f]).isNotNull(), 1)) for f in formats]
+        # a greater count first, then an earlier format
+        ballot = F.array(*(F.struct(n.alias("n"), F.lit(-k).alias("k")) for k, n in enumerate(counts)))
+        best = F.array_max(ballot)
+        votes.append(F.when(best["n"] > 0, -best["k"]).alias(f"_vote{i}"))
+    out = df.crossJoin(F.broadcast(df.agg(*votes)))
+    made = {}
+    for i, c in enumerate(columns):
+        text = _cleaned_date(_named(c))
+        guessed = F.coalesce(*(F.when(F.col(f"_vote{i}") == k, _as_ntz(text, [f])) for k, f in enumerate(formats)))
+        made[c] = F.coalesce(parse_date(_named(c)), guessed)
+    return out.select(*(made[c].alias(c) if c in made else _named(c) for c in df.columns))
 
 
 def _number_text(col) -> Column:

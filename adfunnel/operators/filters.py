@@ -22,6 +22,22 @@ def ads_keyword(cfg: FunnelConfig) -> Column:
     return F.coalesce(F.upper(F.col("campaign")).contains(cfg.ads_keyword), F.lit(False))
 
 
+MONTH = "date_month"  # partition column of stored tables
+
+
+def month_of(date: Column) -> Column:
+    """Month that a row is stored under ('yyyy-MM'); null without a date."""
+    return F.date_format(date, "yyyy-MM")
+
+
+def in_months(rows: DataFrame, cfg: FunnelConfig) -> DataFrame:
+    """Rows of the window's months: where ``rows`` is stored by month, no
+    other month's files are opened. Rows without a date are in no window."""
+    if MONTH not in rows.columns:
+        return rows
+    return rows.where(F.col(MONTH).between(month_of(ts_lit(cfg.date_start)), month_of(ts_lit(cfg.date_end)))).drop(MONTH)
+
+
 def ads_in_range(cfg: FunnelConfig) -> Column:
     """start <= ts <= end, *without* day truncation of the end bound."""
     return (F.col("date") >= ts_lit(cfg.date_start)) & (F.col("date") <= ts_lit(cfg.date_end))
@@ -46,12 +62,12 @@ def appointment_has_campaign() -> Column:
 def filter_ads(ads: DataFrame, cfg: FunnelConfig, has_campaign: bool = True) -> DataFrame:
     if has_campaign:
         ads = ads.where(ads_keyword(cfg))
-    return ads.where(ads_in_range(cfg))
+    return in_months(ads, cfg).where(ads_in_range(cfg))
 
 
 def filter_leads(leads: DataFrame, cfg: FunnelConfig, has_date: bool = True) -> DataFrame:
     leads = leads.where(leads_keyword(cfg))
-    return leads.where(day_in_range(cfg)) if has_date else leads
+    return in_months(leads, cfg).where(day_in_range(cfg)) if has_date else leads
 
 
 def filter_appointments(
@@ -59,7 +75,7 @@ def filter_appointments(
 ) -> DataFrame:
     if has_campaign:
         appts = appts.where(appointment_has_campaign())
-    return appts.where(day_in_range(cfg)) if has_date else appts
+    return in_months(appts, cfg).where(day_in_range(cfg)) if has_date else appts
 
 
 def filter_sales(
@@ -74,7 +90,7 @@ def filter_sales(
         sales = sales.where(norm_upper("product") == cfg.sales_product)
     if has_origin:
         sales = sales.where(norm_upper("origin") == cfg.sales_origin)
-    return sales.where(day_in_range(cfg)) if has_date else sales
+    return in_months(sales, cfg).where(day_in_range(cfg)) if has_date else sales
 
 
 def campaign_filter(tree: DataFrame, text: str | None) -> DataFrame:

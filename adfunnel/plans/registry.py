@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.clean import norm_key, parse_date, parse_money, parse_number, round2
+from ..functions.clean import guess_dates, norm_key, parse_date, parse_money, parse_number, round2
 from ..operators import filters as FL
 from ..operators import quality as Q
 from ..operators import rank as R
@@ -616,6 +616,29 @@ def q_default_range(spark, sf):
     )
 
 
+_YEARS_ON = 30
+
+
+def _recent_sql() -> str:
+    """The audit's SQL over tables whose dates lie ``_YEARS_ON`` years later."""
+    sql = _audit_sql(C.FunnelConfig(), f"TIMESTAMP '{C.DEFAULT_DATE_START} 00:00:00'", "CAST(CAST((now() AT TIME ZONE 'UTC') AS DATE) AS TIMESTAMP)")
+    head = O.prelude()
+    later = ", ".join(f"r_{t} AS (SELECT * REPLACE (date + INTERVAL {_YEARS_ON} YEAR AS date) FROM f_{t})" for t in ("ads", "leads", "appts", "sales"))
+    body = sql[len(head):]
+    for t in ("ads", "leads", "appts", "sales"):
+        body = body.replace(f"FROM f_{t})", f"FROM r_{t})")
+    return f"{head}, {later}{body}"
+
+
+@register("default_range_recent", _recent_sql())
+def q_default_range_recent(spark, sf):
+    """the default window (2025-12-01 .. today UTC) on tables with recent dates, so that it holds rows."""
+    t = FX.silver_tables(spark, sf)
+    later = (F.col("date") + F.make_ym_interval(F.lit(_YEARS_ON))).alias("date")
+    recent = [df.drop(FL.MONTH).withColumn("date", later) for df in t.as_dict().values()]
+    return Q.filter_audit(*recent, C.FunnelConfig().resolved()).select("table", F.col("step_no").cast("int").alias("step_no"), "step", "rows")
+
+
 # ---------------------------------------------------------------------------
 # Alerts, recommendations, digest, classes
 # ---------------------------------------------------------------------------
@@ -990,6 +1013,97 @@ def q_date_audit(spark, sf):
     return out.select(F.col("null_dates").cast("long").alias("null_dates"), "failing_samples")
 
 
+def _mixed_date_sql() -> str:
+    line = "l_linenumber"
+    v = f"{line} % 4"
+    return (
+        f"CASE WHEN {line} = 5 THEN strftime(date, '%Y/%m/%d') WHEN {line} = 6 THEN strftime(date, '%b %-d, %Y') WHEN {line} = 7 THEN 'n/a' "
+        f"WHEN {v} = 0 THEN strftime(date, '%Y-%m-%d') WHEN {v} = 1 THEN strftime(date, '%-d/%-m/%Y') "
+        f"WHEN {v} = 2 THEN strftime(date, '%d/%m/%Y %H:%M:%S') ELSE chr(39) || strftime(date, '%d-%m-%Y') || chr(39) END"
+    )
+
+
+def _guess_sql() -> str:
+    formats = [duck for _, duck in C.GUESS_FORMATS]
+    row = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+    votes = " UNION ALL ".join(f"SELECT {k} AS k, count(try_strptime(cleaned, '{d}')) AS n FROM sheet WHERE date IS NULL" for k, d in enumerate(formats))
+    read = " ".join(f"WHEN {k} THEN try_strptime(cleaned, '{d}')" for k, d in enumerate(formats))
+    return _sql(
+        f", typed AS (SELECT {row}, {_mixed_date_sql()} AS x FROM f_leads), "
+        f"sheet AS (SELECT {row}, x, regexp_replace({O.strip('x')}, '^[''\"]+|[''\"]+$', '', 'g') AS cleaned, {_parse_date_sql('x')} AS date FROM typed), "
+        f"vote AS (SELECT (SELECT k FROM ({votes}) WHERE n > 0 ORDER BY n DESC, k LIMIT 1) AS k)\n"
+        f"SELECT {row}, x AS date_text, coalesce(date, CASE vote.k {read} END) AS date FROM sheet, vote"
+    )
+
+
+@register("parse_dates_guessed", _guess_sql())
+def q_parse_dates_guessed(spark, sf):
+    """C1 with the column's own guess: texts that the cascade leaves are read
+    by the format that most of them have, whatever their order."""
+    sheet = FX.mixed_lead_dates(spark, sf).select(*_ord_cols(), F.col("`Data Padrão`").alias("date_text"), F.col("`Data Padrão`").alias("date"))
+    return guess_dates(sheet, ["date"])
+
+
+def _mixed_audit_sql() -> str:
+    row = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+    keyword = f"coalesce(contains(upper(campaign), '{FX.FIXTURE_CONFIG.leads_keyword}'), false)"
+    return _sql(
+        f", typed AS (SELECT {row}, {_mixed_date_sql()} AS x FROM f_leads WHERE {keyword}), failing AS (SELECT * FROM typed WHERE {_parse_date_sql('x')} IS NULL)\n"
+        f"SELECT (SELECT count(*) FROM failing) AS null_dates, (SELECT list(x ORDER BY {row}) FROM (SELECT * FROM failing ORDER BY {row} LIMIT 5)) AS failing_samples"
+    )
+
+
+@register("date_audit_mixed", _mixed_audit_sql())
+def q_date_audit_mixed(spark, sf):
+    """D2 on a sheet with dates that the cascade can't read."""
+    b = IN.normalize_headers(FX.mixed_lead_dates(spark, sf), keep=["ordinal"]).withColumn("campaign", F.col("utm_campaign"))
+    out = Q.date_audit(b, "data_padrão", FX.FIXTURE_CONFIG)
+    return out.select(F.col("null_dates").cast("long").alias("null_dates"), "failing_samples")
+
+
+def _crm_sql() -> str:
+    row = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+    none = "CAST(NULL AS VARCHAR)"
+    parts = {
+        "leads": ("f_leads", O.key("adset"), O.key("creative"), "CAST(NULL AS DOUBLE)", none, none),
+        "appointments": ("f_appts", none, none, "CAST(NULL AS DOUBLE)", none, none),
+        "sales": ("f_sales", none, none, "CAST(revenue AS DOUBLE)", "product", "origin"),
+    }
+    return _sql(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS \"table\", {row}, date, {O.key('email')} AS email, {O.key('campaign')} AS campaign_key, {a} AS adset_key, {r} AS creative_key, "
+            f"{amount} AS revenue, {product} AS product, {origin} AS origin FROM {src}"
+            for name, (src, a, r, amount, product, origin) in parts.items()
+        )
+    )
+
+
+@register("resolve_columns_crm", _crm_sql())
+def q_resolve_columns_crm(spark, sf):
+    """S2 + S4 on leads, appointments and sales, each by its own aliases."""
+    bronze = FX.bronze_tables(spark, sf)
+    raw = {n: IN.normalize_headers(df, keep=["ordinal", "row_order"]) for n, df in bronze.as_dict().items()}
+    silver, res = IN.to_silver(raw, keep=["ordinal"])
+    out = []
+    for name in ("leads", "appointments", "sales"):
+        df = getattr(silver, name)
+
+        def col(canon, expr, name=name, df=df):
+            return expr if res.has(name, canon) else F.lit(None)
+
+        out.append(
+            df.select(
+                F.lit(name).alias("table"), *_ord_cols(), "date", norm_key("email").alias("email"), norm_key("campaign").alias("campaign_key"),
+                col("adset", norm_key("adset") if "adset" in df.columns else None).cast("string").alias("adset_key"),
+                col("creative", norm_key("creative") if "creative" in df.columns else None).cast("string").alias("creative_key"),
+                col("revenue", F.col("revenue") if "revenue" in df.columns else None).cast("double").alias("revenue"),
+                col("product", F.col("product") if "product" in df.columns else None).cast("string").alias("product"),
+                col("origin", F.col("origin") if "origin" in df.columns else None).cast("string").alias("origin"),
+            )
+        )
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @register("bronze_kpis", _sql("SELECT * FROM kpis"))
 def q_bronze_kpis(spark, sf):
     """The whole funnel from the text tables: parsing is lossless, so the
@@ -1015,6 +1129,24 @@ def q_empty_payload(spark, sf):
     return f.kpis.crossJoin(f.tree.agg(F.count(F.lit(1)).alias("tree_rows")))
 
 
+@register(
+    "payload_runs",
+    _sql(
+        "SELECT 'full' AS run, kpis.*, (SELECT count(*) FROM tree) AS tree_rows FROM kpis UNION ALL BY NAME "
+        "SELECT 'empty' AS run, COLUMNS(*) * 0 FROM (SELECT *, (SELECT count(*) FROM tree) AS tree_rows FROM kpis)"
+    ),
+)
+def q_payload_runs(spark, sf):
+    """S6 beside a whole run: the same tables with and without a campaign column of the ads."""
+    t = FX.silver_tables(spark, sf)
+    runs = {"full": t, "empty": FX.FunnelTables(t.ads.withColumnRenamed("campaign", "campaign_label"), t.leads, t.appointments, t.sales)}
+    rows = []
+    for name, tables in runs.items():
+        f = Funnel(tables, FX.FIXTURE_CONFIG, materialize=True)
+        rows.append(f.kpis.crossJoin(f.tree.agg(F.count(F.lit(1)).alias("tree_rows"))).select(F.lit(name).alias("run"), "*"))
+    return rows[0].unionByName(rows[1])
+
+
 # ---------------------------------------------------------------------------
 # Export and refresh (rows-only checks)
 # ---------------------------------------------------------------------------

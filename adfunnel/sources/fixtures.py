@@ -26,9 +26,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import FunnelConfig
 from ..functions.clean import MONEY
+from ..operators import filters as FL
 
 # Reporting window the fixture data falls into.
 FIXTURE_CONFIG = FunnelConfig(date_start="1996-01-01", date_end="2000-12-31")
@@ -172,24 +174,28 @@ def store_silver(spark: SparkSession, sf_dir: str) -> FunnelTables:
     unchanged input folder reuses the stored tables."""
     from ..session import checkpoint_dir
 
-    root = f"{checkpoint_dir(spark)}/silver-{_input_fingerprint(sf_dir)}"
+    root = f"{checkpoint_dir(spark)}/silver-months-{_input_fingerprint(sf_dir)}"
     names = ("ads", "leads", "appointments", "sales")
     marker = f"{root}/complete-marker"
     try:
         done = spark.read.parquet(marker).count() == 1
     except Exception:  # not written yet (path does not exist)
         done = False
+    live = project_silver(spark, sf_dir).as_dict()
     if not done:
-        live = project_silver(spark, sf_dir).as_dict()
-        # as many files as the session deals shuffles to, by date, so that a window skips files and row groups
+        # as many tasks as the session deals shuffles to, by date: a window opens its months only, and of these the
+        # row groups with its days
         files = int(spark.conf.get("spark.sql.shuffle.partitions"))
         for name in names:
             dealt = live[name].repartitionByRange(files, F.col("date"), F.xxhash64("ordinal"))
-            dealt.sortWithinPartitions("date").write.mode("overwrite").parquet(f"{root}/{name}")
+            dealt = dealt.withColumn(FL.MONTH, FL.month_of(F.col("date"))).sortWithinPartitions(FL.MONTH, "date")
+            dealt.write.mode("overwrite").partitionBy(FL.MONTH).parquet(f"{root}/{name}")
         # written last: a crash before this point leaves no marker and the
         # tables are rewritten on the next call
         spark.range(1).write.mode("overwrite").parquet(marker)
-    return FunnelTables(*[spark.read.parquet(f"{root}/{name}") for name in names])
+    # with the schema at hand a month stays text
+    schemas = {name: StructType([*live[name].schema.fields, StructField(FL.MONTH, StringType())]) for name in names}
+    return FunnelTables(*[spark.read.schema(schemas[name]).parquet(f"{root}/{name}") for name in names])
 
 
 def project_silver(spark: SparkSession, sf_dir: str, with_segments: bool = True) -> FunnelTables:
@@ -244,6 +250,17 @@ def render_date(ts: Column) -> Column:
     )
 
 
+def render_mixed_date(ts: Column) -> Column:
+    """Like ``render_date``, but some cells are typed as other programs show dates."""
+    line = F.col("ordinal.l_linenumber")
+    return (
+        F.when(line == 5, F.date_format(ts, "yyyy/MM/dd"))
+        .when(line == 6, F.date_format(ts, "MMM d, yyyy"))
+        .when(line == 7, F.lit("n/a"))
+        .otherwise(render_date(ts))
+    )
+
+
 def render_money(x: Column) -> Column:
     v = _variant()
     us = F.format_number(x.cast("double"), 4)
@@ -311,6 +328,12 @@ def bronze_tables(spark: SparkSession, sf_dir: str) -> FunnelTables:
     return FunnelTables(ads, leads, appointments, sales)
 
 
+def mixed_lead_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text leads with cells in their date column that the cascade can't read."""
+    leads = silver_tables(spark, sf_dir).leads
+    return leads.select("ordinal", render_mixed_date(F.col("date")).alias("Data Padrão"), render_key(F.col("campaign")).alias("utm_campaign"))
+
+
 def exported_csv(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """The text tables as CSV files, as a spreadsheet exports them: sorted by
     source row, the later half of the files with its columns the other way

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ADS_REQUIRED, ALIASES
-from ..functions.clean import parse_date, parse_money, parse_number
+from ..functions.clean import guess_dates, parse_date, parse_money, parse_number
 from ..session import checkpoint_dir, path_exists
 from .fixtures import FunnelTables
 
@@ -217,7 +217,10 @@ class Resolution:
         return self.mapping.get(table, {}).get(column) is not None
 
 
-def _typed(df: DataFrame, table: str, mapping: dict[str, str | None], keep: list[str]) -> DataFrame:
+def _typed(df: DataFrame, table: str, mapping: dict[str, str | None], keep: list[str], guess: bool = False) -> DataFrame:
+    guess = guess and mapping.get("date") is not None
+    if guess:
+        df = guess_dates(df, [mapping["date"]])
     cols = [F.col(_quote(k)) for k in keep]
     for canon, src in mapping.items():
         if src is None:
@@ -232,7 +235,7 @@ def _typed(df: DataFrame, table: str, mapping: dict[str, str | None], keep: list
             continue
         c = F.col(_quote(src))
         if canon == "date":
-            cols.append(parse_date(c).alias(canon))
+            cols.append((c if guess else parse_date(c)).alias(canon))
         elif canon in _MONEY_COLS:
             cols.append(parse_money(c).alias(canon))
         elif canon in _COUNT_COLS:
@@ -242,10 +245,11 @@ def _typed(df: DataFrame, table: str, mapping: dict[str, str | None], keep: list
     return df.select(*cols)
 
 
-def to_silver(raw: dict[str, DataFrame], keep: list[str] | None = None) -> tuple[FunnelTables, Resolution]:
+def to_silver(raw: dict[str, DataFrame], keep: list[str] | None = None, guess: bool = False) -> tuple[FunnelTables, Resolution]:
     """Resolve and type the raw tables; absent optional columns become
     typed nulls / zeros and are reported in the :class:`Resolution`.  Columns
-    in ``keep`` pass through; by default the row order of files does."""
+    in ``keep`` pass through; by default the row order of files does.  With
+    ``guess`` a date column votes for the format of what the cascade leaves."""
     keep = [ROW_ORDER] if keep is None and ROW_ORDER in raw["ads"].columns else keep or []
     res = Resolution()
     typed = {}
@@ -256,5 +260,5 @@ def to_silver(raw: dict[str, DataFrame], keep: list[str] | None = None) -> tuple
         if name == "ads" and len(set(df.columns) - set(keep)) > 0:
             require(mapping, ADS_REQUIRED, "ads")
         k = [c for c in keep if c in df.columns]
-        typed[name] = _typed(df, name, mapping, k)
+        typed[name] = _typed(df, name, mapping, k, guess)
     return FunnelTables(typed["ads"], typed["leads"], typed["appointments"], typed["sales"]), res

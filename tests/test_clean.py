@@ -79,3 +79,52 @@ def test_dates_ignore_clock_changes_of_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert row.d == datetime.datetime(2017, 10, 15)
+
+
+def _guessed(spark, cells):
+    from adfunnel.functions.clean import guess_dates
+
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i long, `sheet date` string")
+    return {r[0]: r[1] and r[1].isoformat()[:10] for r in guess_dates(df, ["sheet date"]).collect()}
+
+
+def test_column_votes_for_a_date_format(spark):
+    # month first wins two to one; the cascade's own reading of 3/4/2025 stays
+    cells = ["12/31/2025", "1/15/2025", "31.12.2025", "3/4/2025", "junk", None, ""]
+    assert _guessed(spark, cells) == {0: "2025-12-31", 1: "2025-01-15", 2: None, 3: "2025-04-03", 4: None, 5: None, 6: None}
+    # with the dotted form in the majority the other cells are not read
+    cells = ["12/31/2025", "31.12.2025", " '1.2.2025' "]
+    assert _guessed(spark, cells) == {0: None, 1: "2025-12-31", 2: "2025-02-01"}
+
+
+def test_vote_does_not_depend_on_row_order(spark):
+    import random
+
+    cells = ["12/31/2025"] * 5 + ["2025/3/1"] * 4 + ["Mar 3, 2025"] * 3 + ["1/2/2025", None, "x"]
+    want = None
+    for seed in range(3):
+        order = list(range(len(cells)))
+        random.Random(seed).shuffle(order)
+        got = _guessed(spark, [cells[i] for i in order])
+        got = sorted((cells[i], got[k]) for k, i in enumerate(order) if cells[i])
+        want = want or got
+        assert got == want
+    assert ("12/31/2025", "2025-12-31") in want and ("2025/3/1", None) in want
+
+
+def test_vote_of_an_empty_or_silent_column(spark):
+    assert _guessed(spark, []) == {}
+    assert _guessed(spark, ["junk", None, "2025-01-02"]) == {0: None, 1: None, 2: "2025-01-02"}
+    # a tie goes to the earlier format of the list
+    assert _guessed(spark, ["2025/3/1", "Mar 3, 2025"]) == {0: "2025-03-01", 1: None}
+
+
+def test_to_silver_guesses_on_request(spark):
+    from adfunnel.sources.ingest import to_silver
+
+    ads = spark.createDataFrame([("12/31/2025", "a", "1", "1", "1"), ("x", "a", "2", "1", "1")], "date string, campaign_name string, spend string, impressions string, clicks string")
+    none = spark.createDataFrame([], "email string")
+    raw = {"ads": ads, "leads": none, "appointments": none, "sales": none}
+    dates = lambda **kw: sorted(str(r.date)[:10] for r in to_silver(raw, **kw)[0].ads.collect())
+    assert dates() == ["None", "None"]
+    assert dates(guess=True) == ["2025-12-31", "None"]
