@@ -6,11 +6,19 @@ coordinates fall into blocks, each block has some random unit vectors, and a
 direction is one of these per block. So there are words ** blocks directions,
 and list decoding finds those that a vector exceeds by extending its best
 prefixes block by block, without looking at each direction. The cap is set per
-vector so that it exceeds ``FILTERS`` directions of a code: with one cap for
-all, some vectors exceed none and others thousands. Similar vectors share
+vector so that it exceeds a stated number of directions of a code: with one cap
+for all, some vectors exceed none and others thousands. Similar vectors share
 filters: a join on filters brings them together, and every pair that meets is
-verified by its cosine in double precision. Measured at 64 dimensions and a
-cosine of 0.9, all of 1,000 random pairs share a filter (one code: 96 %).
+verified by its cosine in double precision.
+
+The code follows the dimension and the number of distinct vectors (``shape``):
+directions grow with the rows, so that a random vector meets about as many
+others at any size, and lists grow slowly with them, so that recall holds. Below
+16 dimensions a block is a whole vector and the code is fixed: there a constant
+share of random pairs is similar, so what meets grows with what is linked.
+Share of pairs at a cosine of 0.9 that share a filter, as the tests measure it:
+at least 0.985 from 1 to 1,024 dimensions up to 40,000 vectors, 0.95 from 24
+dimensions on up to 10^9; lower for 16 to 23 dimensions above 2^22 vectors.
 
 A filter with many vectors is cut into blocks of ``block_rows``, and pairs of
 blocks are the units of work. Pairs are never emitted: a unit returns, per
@@ -32,46 +40,66 @@ from pyspark.sql import functions as F
 from adfunnel.llm._graph import components
 from adfunnel.llm._store import Scratch
 
-BLOCKS, WORDS, FILTERS = 2, 64, 8
 CODES = 3
+LOW_DIM = 16  # below it a code has one block
+#: Directions of the one block by dimension; from the last on, the last.
+LOW_WORDS = {1: 8, 2: 48, 3: 128, 4: 256, 5: 384, 6: 512, 7: 768, 8: 1024}
+#: (rows up to, filters of a vector in a code); more rows: the last.
+LISTS = [(1 << 11, 8), (1 << 17, 16), (1 << 22, 32), (1 << 62, 64)]
+MET = 96  # about as many random vectors share a filter with a vector, over all codes
+MAX_WORDS = 4096
 BLOCK_ROWS = 512
 MIN_COSINE = 0.9
 
 
+def shape(dim: int, rows: int) -> tuple[int, int, int]:
+    """(blocks, words a block, filters a vector) of a code for ``rows`` vectors of ``dim`` dimensions."""
+    if dim < LOW_DIM:
+        return 1, LOW_WORDS.get(dim, LOW_WORDS[max(LOW_WORDS)]), 8
+    most = next(m for upto, m in LISTS if rows <= upto)
+    directions = max(4096, CODES * most * most * rows // MET)
+    # three blocks need dimensions enough to tell words apart
+    blocks = 2 if directions <= MAX_WORDS**2 or dim < 4 * LOW_DIM else 3
+    return blocks, min(MAX_WORDS, int(np.ceil(directions ** (1 / blocks)))), most
+
+
 @cache
-def code(dim: int, seed: int, blocks: int = BLOCKS, words: int = WORDS) -> tuple[np.ndarray, list[np.ndarray]]:
+def code(dim: int, seed: int, blocks: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """A random rotation and, per block of rotated coordinates, unit vectors scaled so that a direction has length 1."""
     rng = np.random.default_rng([seed, dim, blocks, words])
     turn, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-    parts = np.array_split(np.arange(dim), min(blocks, dim))
     books = []
-    for p in parts:
+    for p in np.array_split(np.arange(dim), blocks):
         c = rng.standard_normal((words, len(p)))
-        books.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(len(parts)))
+        books.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(blocks))
     return turn, books
 
 
-def decode(x: np.ndarray, seed: int, most: int = FILTERS) -> np.ndarray:
+def decode(x: np.ndarray, seed: int, blocks: int, words: int, most: int) -> np.ndarray:
     """Per unit row of ``x`` the ``most`` directions of the code with the greatest cosines.
 
-    A direction among the best has a prefix among the best prefixes, so no
-    more than ``most`` of these are extended from block to block.
+    A direction among the best has a prefix among the best prefixes, and of
+    each block a word among the best words, so no more than ``most`` prefixes
+    are extended, each by ``most`` words.
     """
-    turn, books = code(x.shape[1], seed)
+    turn, books = code(x.shape[1], seed, blocks, words)
     y = x @ turn
     edges = np.cumsum([0, *(b.shape[1] for b in books)])
     total, name = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
     for a, b, book in zip(edges[:-1], edges[1:], books, strict=True):
-        sums = (total[:, :, None] + (y[:, a:b] @ book.T)[:, None, :]).reshape(len(x), -1)
-        names = (name[:, :, None] * len(book) + np.arange(len(book))).reshape(len(x), -1)
+        near = y[:, a:b] @ book.T
+        best = np.argpartition(-near, min(most, words) - 1, axis=1)[:, :most]
+        sums = (total[:, :, None] + np.take_along_axis(near, best, 1)[:, None, :]).reshape(len(x), -1)
+        names = (name[:, :, None] * words + best[:, None, :]).reshape(len(x), -1)
         keep = np.argpartition(-sums, min(most, sums.shape[1]) - 1, axis=1)[:, :most]
         total, name = np.take_along_axis(sums, keep, 1), np.take_along_axis(names, keep, 1)
     return name
 
 
-def filters(x: np.ndarray, codes: int = CODES) -> np.ndarray:
+def filters(x: np.ndarray, rows: int, codes: int = CODES) -> np.ndarray:
     """Per row of ``x`` its filters over several codes, in order. Codes and dimensions have filters of their own."""
-    names = [(decode(x, seed) * codes + seed) * 4096 + min(x.shape[1], 4095) for seed in range(codes)]
+    dim = x.shape[1]
+    names = [(decode(x, seed, *shape(dim, rows)) * codes + seed) * 4096 + min(dim, 4095) for seed in range(codes)]
     return np.sort(np.concatenate(names, axis=1), axis=1)
 
 
@@ -105,7 +133,7 @@ def _read(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "id bigint, f string, unit binary")
 
 
-def _post(classes: DataFrame) -> DataFrame:
+def _post(classes: DataFrame, rows_all: int) -> DataFrame:
     """(filter, id, n, unit, own): each vector under each of its filters; own: all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +144,9 @@ def _post(classes: DataFrame) -> DataFrame:
                 for length in np.unique(size).tolist():
                     rows = np.flatnonzero(size == length)
                     x = np.frombuffer(b"".join(units[i] for i in rows), "<f8").reshape(len(rows), -1)
-                    name = filters(x)
+                    name = filters(x, rows_all)
                     row = np.repeat(np.arange(len(rows)), name.shape[1])
-                    own = [n.astype("<i4").tobytes() for n in name]
+                    own = [n.astype("<i8").tobytes() for n in name]
                     take = pa.array(rows[row])
                     yield pa.RecordBatch.from_arrays([pa.array(name.ravel().astype(np.int64)), part.column("id").take(take), part.column("n").take(take), part.column("unit").take(take), pa.array([own[i] for i in row], pa.binary())], ["filter", "id", "n", "unit", "own"])
 
@@ -153,7 +181,7 @@ def _verify(dealt: DataFrame, least: float) -> DataFrame:
         if not len(some):
             return [], [], []
         linked = linked[np.ix_(some, some)]
-        names = [np.frombuffer(rows[i]["own"], "<i4").astype(np.int64) for i in some]
+        names = [np.frombuffer(rows[i]["own"], "<i8").astype(np.int64) for i in some]
         lower = np.unique(np.concatenate([n[n < here] for n in names]))
         counted = linked
         if len(lower):
@@ -204,7 +232,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # equal vectors have equal bytes
     classes = valid.groupBy("f").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("unit").alias("unit"))
     classes = scratch.save(classes, "classes")
-    posts = scratch.save(_post(classes.select("id", "n", "unit")), "posts")
+    posts = scratch.save(_post(classes.select("id", "n", "unit"), classes.count()), "posts")
     size = posts.groupBy("filter").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     size = scratch.save(size, "size")
     posts = posts.join(size, "filter").withColumn("block", F.pmod(F.xxhash64("id", "filter"), F.col("blocks")).cast("int"))
