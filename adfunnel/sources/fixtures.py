@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+import weakref
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -168,6 +169,10 @@ def _input_fingerprint(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
+# per session, the handles of stored tables: their partitions are listed once, as they don't change any more
+_STORED: weakref.WeakKeyDictionary[SparkSession, dict[str, FunnelTables]] = weakref.WeakKeyDictionary()
+
+
 def store_silver(spark: SparkSession, sf_dir: str) -> FunnelTables:
     """Write the projected funnel tables once (Parquet, in the cluster's
     checkpoint folder) and read them back.  A later call for the same,
@@ -176,6 +181,9 @@ def store_silver(spark: SparkSession, sf_dir: str) -> FunnelTables:
 
     root = f"{checkpoint_dir(spark)}/silver-months-{_input_fingerprint(sf_dir)}"
     names = ("ads", "leads", "appointments", "sales")
+    held = _STORED.setdefault(spark, {})
+    if root in held:
+        return held[root]
     marker = f"{root}/complete-marker"
     try:
         done = spark.read.parquet(marker).count() == 1
@@ -195,7 +203,8 @@ def store_silver(spark: SparkSession, sf_dir: str) -> FunnelTables:
         spark.range(1).write.mode("overwrite").parquet(marker)
     # with the schema at hand a month stays text
     schemas = {name: StructType([*live[name].schema.fields, StructField(FL.MONTH, StringType())]) for name in names}
-    return FunnelTables(*[spark.read.schema(schemas[name]).parquet(f"{root}/{name}") for name in names])
+    held[root] = FunnelTables(*[spark.read.schema(schemas[name]).parquet(f"{root}/{name}") for name in names])
+    return held[root]
 
 
 def project_silver(spark: SparkSession, sf_dir: str, with_segments: bool = True) -> FunnelTables:
