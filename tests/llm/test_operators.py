@@ -284,6 +284,34 @@ def test_lines_brute_force(docs, rows, m):
     assert got == sorted(((i, *(want[i, t] if t is not None else (None, 0, 0))) for i, t, _ in rows), key=repr)
 
 
+@pytest.mark.parametrize("m", [1, 3])
+def test_maximal_runs_brute_force(spark, docs, rows, m):
+    """Over the hostile rows and over texts made of cut, repeated and nested stretches of a few lines."""
+    rng = random.Random(23)
+    base = [f"line {rng.randrange(6)}" for _ in range(40)]
+    texts = {(i, t) for i, t, _ in rows if t is not None and i is not None and i > 1}
+    for i in range(200, 230):
+        a, b = rng.randrange(30), rng.randrange(30)
+        texts.add((i, "\n".join(base[a : a + rng.randrange(1, 25)] + [f"own {i}", ""] + base[b : b + rng.randrange(20)] + ["x"] * rng.randrange(6))))
+    texts.add((1, "\n".join(base[5:20])))
+    seqs = {i: [x for x in t.split("\n") if WORD.search(x)] for i, t in texts}
+    places = sorted((i, j) for i, s in seqs.items() for j in range(len(s)))
+    longest = {}
+    for at, (i, j) in enumerate(places):
+        best = (0, None)
+        for p, q in places[:at]:
+            n = 0
+            while j + n < len(seqs[i]) and q + n < len(seqs[p]) and seqs[i][j + n] == seqs[p][q + n]:
+                n += 1
+            best = max(best, (n, (p, q)), key=lambda r: r[0])
+        longest[i, j] = best
+    want = sorted((i, j, n, *first) for (i, j), (n, first) in longest.items() if n >= m and longest.get((i, j - 1), (0,))[0] <= n)
+    # the first id is null in the table
+    own = spark.createDataFrame([(None if i == 1 else i, t) for i, t in sorted(texts)] * 2, "id long, text string").withColumn("t", F.md5("text"))
+    got = lines.repeated_runs(own, Scratch(spark, "runs"), m).select(F.coalesce("id", F.lit(1)), "j", "n_lines", F.coalesce("first.id", F.lit(1)), "first.j")
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_surrogates(spark):
     rows = [(1, "Write to Anna.Bell@Mail.example.com or anna.bell@mail.example.com, 42.144.35.254 or +1 (988) 555-2485."), (2, "Mr. Brian Stone met Mrs Clara Stone and Господин Борис Волков; 4111 1111 1111 1111, 123-45-6789"), (3, None), (4, ""), (5, "clean 12.5 on 2024-01-01"), (None, "mail anna.bell@mail.example.com")]
     rows += [(100 + i, f"from 1.2.{i}.{j}") for i in range(20) for j in range(20)] + [(6, rows[0][1])]
