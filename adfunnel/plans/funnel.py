@@ -26,7 +26,7 @@ from ..operators import rank as R
 from ..operators import rollup as RU
 from ..operators import rules as RL
 from ..sources.fixtures import FunnelTables
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, remove
 from ..sources.ingest import Resolution
 
 
@@ -125,8 +125,7 @@ class Funnel:
         spark = self.tables.ads.sparkSession
         if not self.materialize:
             return
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/funnel-{self._run_id}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(spark, f"{checkpoint_dir(spark)}/funnel-{self._run_id}")
 
     @cached_property
     def rollup(self) -> DataFrame:

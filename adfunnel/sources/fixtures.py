@@ -53,7 +53,8 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(*_LINEITEM_COLS)
     o = read_table(spark, sf_dir, "orders").select(*_ORDERS_COLS)
     p = read_table(spark, sf_dir, "part").select(*_PART_COLS)
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(
+    # orders grow with lineitem: merged at every size, so that no larger input turns to another plan
+    return li.join(o.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).join(
         p, F.col("l_partkey") == F.col("p_partkey")
     )
 
@@ -176,11 +177,15 @@ _STORED: weakref.WeakKeyDictionary[SparkSession, dict[str, FunnelTables]] = weak
 def store_silver(spark: SparkSession, sf_dir: str) -> FunnelTables:
     """Write the projected funnel tables once (Parquet, in the cluster's
     checkpoint folder) and read them back.  A later call for the same,
-    unchanged input folder reuses the stored tables."""
-    from ..session import checkpoint_dir
+    unchanged input folder reuses the stored tables.
+
+    The join runs once, into a staging table; the four tables are filters and
+    projections of it, so every task writes its rows by month without another
+    shuffle.
+    """
+    from ..session import checkpoint_dir, remove
 
     root = f"{checkpoint_dir(spark)}/silver-months-{_input_fingerprint(sf_dir)}"
-    names = ("ads", "leads", "appointments", "sales")
     held = _STORED.setdefault(spark, {})
     if root in held:
         return held[root]
@@ -189,27 +194,32 @@ def store_silver(spark: SparkSession, sf_dir: str) -> FunnelTables:
         done = spark.read.parquet(marker).count() == 1
     except Exception:  # not written yet (path does not exist)
         done = False
-    live = project_silver(spark, sf_dir).as_dict()
+    joined = base(spark, sf_dir)
+    live = _projected(joined).as_dict()
     if not done:
-        # as many tasks as the session deals shuffles to, by date: a window opens its months only, and of these the
-        # row groups with its days
-        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        for name in names:
-            dealt = live[name].repartitionByRange(files, F.col("date"), F.xxhash64("ordinal"))
-            dealt = dealt.withColumn(FL.MONTH, FL.month_of(F.col("date"))).sortWithinPartitions(FL.MONTH, "date")
-            dealt.write.mode("overwrite").partitionBy(FL.MONTH).parquet(f"{root}/{name}")
+        staging = f"{root}/staging-{uuid.uuid4().hex[:12]}"
+        joined.write.option("compression", "zstd").parquet(staging)
+        # by month and day: a window opens its months only, and of these the row groups with its days
+        for name, df in _projected(spark.read.schema(joined.schema).parquet(staging)).as_dict().items():
+            dealt = df.withColumn(FL.MONTH, FL.month_of(F.col("date"))).sortWithinPartitions(FL.MONTH, "date")
+            dealt.write.mode("overwrite").option("compression", "zstd").partitionBy(FL.MONTH).parquet(f"{root}/{name}")
         # written last: a crash before this point leaves no marker and the
         # tables are rewritten on the next call
         spark.range(1).write.mode("overwrite").parquet(marker)
+        remove(spark, staging)
     # with the schema at hand a month stays text
-    schemas = {name: StructType([*live[name].schema.fields, StructField(FL.MONTH, StringType())]) for name in names}
-    held[root] = FunnelTables(*[spark.read.schema(schemas[name]).parquet(f"{root}/{name}") for name in names])
+    schemas = {name: StructType([*df.schema.fields, StructField(FL.MONTH, StringType())]) for name, df in live.items()}
+    held[root] = FunnelTables(*[spark.read.schema(schema).parquet(f"{root}/{name}") for name, schema in schemas.items()])
     return held[root]
 
 
 def project_silver(spark: SparkSession, sf_dir: str, with_segments: bool = True) -> FunnelTables:
     """The projection plan itself (lineitem ⋈ orders ⋈ part -> four tables)."""
-    b = base(spark, sf_dir)
+    return _projected(base(spark, sf_dir), with_segments)
+
+
+def _projected(b: DataFrame, with_segments: bool = True) -> FunnelTables:
+    """The four tables as filters and projections of the joined rows."""
     keys = [_campaign().alias("campaign"), F.col("p_brand").alias("adset"), F.col("p_name").alias("creative")]
     ads = b.select(
         _ordinal(),
@@ -346,7 +356,8 @@ def mixed_lead_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exported_csv(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """The text tables as CSV files, as a spreadsheet exports them: sorted by
     source row, the later half of the files with its columns the other way
-    round.  Returns a path per table."""
+    round, each file packed (and so read by one task; there are as many as the
+    sort has parts).  Returns a path per table."""
     from ..session import checkpoint_dir
 
     root = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex[:12]}"
@@ -359,7 +370,7 @@ def exported_csv(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         order += [F.col(f"`{c}`") for c in text if c in ("Campaign Name", "Ad Set Name", "Ad Name")]
         for part, rows, cols in (("1", key < half, text), ("2", key >= half, text[::-1])):
             sheet = df.where(rows).orderBy(*order).select(*(F.col(f"`{c}`") for c in cols))
-            options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+            options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "compression": "gzip"}
             sheet.write.options(**options).csv(f"{root}/{name}/{part}")
         out[name] = f"{root}/{name}/*"
     return out
