@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,23 @@ def _cleaned_date(col) -> Column:
     return F.regexp_replace(strip_ws(col), _EDGE_QUOTES, "")
 
 
+def _shape(fmt: str) -> str:
+    """A regex that every text of the format ``fmt`` matches: signs, digits and letters where its fields are."""
+    out = []
+    for quoted, field, _, other in re.findall(r"'([^']*)'|(([A-Za-z])\3*)|(.)", fmt):
+        if quoted:
+            out.append(f"(?i:{re.escape(quoted)})")
+        elif field:
+            out.append({"yyyy": "[+-]?[0-9]{4,}", "MMM": "[^0-9]+"}.get(field, "[+-]?[0-9]+"))
+        else:
+            out.append(re.escape(other))
+    return f"^{''.join(out)}$"
+
+
 def _as_ntz(cleaned: Column, formats: list[str]) -> Column:
-    # read as UTC and counted from the epoch, so that no session zone's clock change moves a date
-    tries = [F.try_to_timestamp(F.concat(cleaned, F.lit("Z")), F.lit(f + "X")) for f in formats]
+    # read as UTC and counted from the epoch, so that no session zone's clock change moves a date; a text of another
+    # shape isn't tried, as a failing parse costs many times a reading one
+    tries = [F.when(cleaned.rlike(_shape(f)), F.try_to_timestamp(F.concat(cleaned, F.lit("Z")), F.lit(f + "X"))) for f in formats]
     seconds = (F.unix_micros(F.coalesce(*tries)) / F.lit(1_000_000)).cast("decimal(18,6)")
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
@@ -54,6 +70,20 @@ def parse_date(col) -> Column:
     return _as_ntz(_cleaned_date(col), [f for f, _ in DATE_FORMATS])
 
 
+def once(value: Column) -> Column:
+    """``value`` as a column made once a row: a filter on it reads what was
+    made, where one on a plain projection makes the value again for every use."""
+    return F.explode(F.array(value))
+
+
+def with_date(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with ``parse_date`` of ``column`` as ``name``, its text cleaned and read once a row."""
+    text = "_text" + "_" * max(len(c) for c in df.columns)
+    cleaned = df.select("*", once(_cleaned_date(_named(column))).alias(text))
+    dated = cleaned.select("*", once(_as_ntz(F.col(text), [f for f, _ in DATE_FORMATS])).alias(name))
+    return dated.drop(text)
+
+
 def _named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 

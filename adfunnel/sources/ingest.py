@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ADS_REQUIRED, ALIASES
-from ..functions.clean import guess_dates, parse_date, parse_money, parse_number
+from ..functions.clean import guess_dates, parse_money, parse_number, with_date
 from ..session import checkpoint_dir, path_exists
 from .fixtures import FunnelTables
 
@@ -113,7 +113,7 @@ def _landed(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     target = f"{checkpoint_dir(spark)}/landing-{uuid.uuid4().hex[:12]}"
-    lines.write.parquet(target)
+    lines.write.option("compression", "zstd").parquet(target)
     return spark.read.schema(lines.schema).parquet(target)
 
 
@@ -150,8 +150,10 @@ def read_sheet(spark: SparkSession, path: str) -> Sheet:
     # one record type per kind of header, with a cell more to see what doesn't fit
     cells = [", ".join(f"_c{i} string" for i in range(len(k) + 1)) for k in kinds]
     parsed = [F.when(F.col("kind") == i, F.from_csv("value", c, {"escape": '"'})).alias(f"k{i}") for i, c in enumerate(cells)]
+    body = body.select("*", F.inline(F.array(F.struct(*parsed))))  # made once a row, whatever reads them (see ``once``)
+    kinds_of = [f"k{i}" for i in range(len(kinds))]
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    body = body.select("file", "value", (F.col("base") + F.col("at")).alias(ROW_ORDER), (quotes % 2 == 1).alias("open"), *parsed)
+    body = body.select("file", "value", (F.col("base") + F.col("at")).alias(ROW_ORDER), (quotes % 2 == 1).alias("open"), *kinds_of)
     many = reduce(lambda x, y: x | y, (F.coalesce(F.col(f"k{i}._c{len(k)}").isNotNull(), F.lit(False)) for i, k in enumerate(kinds)))
     reason = F.when(F.col("open"), "open quote").when(many, "more cells than headers")
     where: dict[str, list] = {}
@@ -221,6 +223,9 @@ def _typed(df: DataFrame, table: str, mapping: dict[str, str | None], keep: list
     guess = guess and mapping.get("date") is not None
     if guess:
         df = guess_dates(df, [mapping["date"]])
+    dated = "_dated" + "_" * max((len(c) for c in df.columns), default=0)
+    if mapping.get("date") is not None and not guess:
+        df = with_date(df, mapping["date"], dated)
     cols = [F.col(_quote(k)) for k in keep]
     for canon, src in mapping.items():
         if src is None:
@@ -235,7 +240,7 @@ def _typed(df: DataFrame, table: str, mapping: dict[str, str | None], keep: list
             continue
         c = F.col(_quote(src))
         if canon == "date":
-            cols.append((c if guess else parse_date(c)).alias(canon))
+            cols.append((c if guess else F.col(dated)).alias(canon))
         elif canon in _MONEY_COLS:
             cols.append(parse_money(c).alias(canon))
         elif canon in _COUNT_COLS:
