@@ -147,6 +147,11 @@ def lead_level_emails(leads_f: DataFrame) -> DataFrame:
     non-blank.  One extra level (TOTALS_LEVEL, no keys) lists every lead
     e-mail once, so the run's distinct lead count comes out of the same
     aggregate instead of a second pass over the leads."""
+    return lead_level_rows(leads_f).distinct()
+
+
+def lead_level_rows(leads_f: DataFrame) -> DataFrame:
+    """The rows of ``lead_level_emails``, each as often as it comes."""
     c, a, r = norm_key("campaign"), norm_key("adset"), norm_key("creative")
     none = _null_str()
     levels = F.array(
@@ -166,7 +171,7 @@ def lead_level_emails(leads_f: DataFrame) -> DataFrame:
             & ((level != "creative") | nonblank("creative_key"))
         )
     )
-    return rows.where(keep).distinct()
+    return rows.where(keep)
 
 
 def appt_pairs(appts_f: DataFrame, has_campaign: bool = True) -> DataFrame:

@@ -1178,7 +1178,7 @@ def _refreshed(spark, sf) -> str:
     schemas = {n: df.schema for n, df in tables.items()}
     for half in (0, 1):
         for n, df in tables.items():
-            df.where(F.pmod(F.xxhash64("ordinal"), F.lit(2)) == half).write.mode("append").parquet(src[n])
+            df.where(F.pmod(F.xxhash64("ordinal"), F.lit(2)) == half).write.mode("append").option("compression", "zstd").parquet(src[n])
         start_refresh(spark, src, schemas, work, FX.FIXTURE_CONFIG, available_now=True, buckets=8)
     return work
 

@@ -40,8 +40,9 @@ def start_ingest(spark: SparkSession, name: str, source_dir: str, schema, work_d
         stored = f"{work_dir}/stored/{name}/batch_id={batch_id}"
         # a window opens its months only, and of these the row groups with its days
         dealt = batch.withColumn("month", month)
-        dealt = dealt.repartition("month").sortWithinPartitions("month", "date") if "date" in batch.columns else dealt
-        dealt.write.mode("overwrite").partitionBy("month").parquet(stored)
+        # every task writes the months of its own split: no shuffle, and no task has all rows of a busy month
+        dealt = dealt.sortWithinPartitions("month", "date") if "date" in batch.columns else dealt
+        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("month").parquet(stored)
         # last: readers go by this mark
         rows = batch.sparkSession.read.schema(batch.schema).parquet(stored).agg(F.count("*").alias("rows"))
         L.write(rows, f"{work_dir}/ingested/{name}/number={batch_id}")

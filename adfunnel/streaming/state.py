@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import FunnelConfig
-from ..functions.clean import MONEY
+from ..functions.clean import MONEY, norm_key
 from ..operators import rollup as RU
 from ..plans.funnel import Funnel
 from ..sources.fixtures import FunnelTables
@@ -90,7 +90,7 @@ class State:
         path = f"{self.root}/{name}/commit={commit}"
         if "bucket" in schema.names:
             # a file per bucket, so that a merge opens no more files than it touches buckets
-            df.repartition("bucket").sortWithinPartitions("bucket", "email").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            df.repartition("bucket").sortWithinPartitions("bucket", "email").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
         else:
             df.write.mode("overwrite").parquet(path)
         return replace(self, commits=(commit,)).table(name)
@@ -111,19 +111,29 @@ def _touched(frames: list[DataFrame]) -> list[int]:
     return sorted(r.bucket for r in some.collect())
 
 
+def _unseen(rows: DataFrame, old: DataFrame) -> DataFrame:
+    """The distinct ``rows`` that are not in ``old`` (same columns, nulls equal), by one aggregate: both sides are dealt once."""
+    keys = old.columns
+    both = rows.select(*keys, F.lit(False).alias("known")).unionByName(old.select(*keys, F.lit(True).alias("known")))
+    return both.groupBy(*keys).agg(F.bool_or("known").alias("known")).where("not known").drop("known")
+
+
 def merge(state: State, commit: int, new: Funnel) -> State:
     """The state with the rows of ``new`` (a funnel over new rows only), written as ``commit``."""
     ads = new.ads_f
     state.write("ads", RU.fine_ads(RU.keyed_ads(ads, new.res.has("ads", "adset"), new.res.has("ads", "creative"), new.has_order)), commit)
 
-    pairs = state.with_bucket(RU.lead_level_emails(new.leads_f))
+    pairs = state.with_bucket(RU.lead_level_rows(new.leads_f))
     booked = state.with_bucket(new.appt_pairs)
     bought = state.with_bucket(new.sale_pairs)
-    touched = _touched([pairs, booked, bought])
+    # of the rows themselves, counted off in every map task: the pairs would be dealt out a second time for it
+    emails = lambda df: state.with_bucket(df.select(norm_key("email").alias("email")))
+    named_only = [emails(df).where("email is not null") for df in (new.leads_f, new.appts_f)]
+    touched = _touched([*named_only, emails(new.sales_f)])
     old_leads = state.table("leads", touched)
 
     on = lambda a, b, keys: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
-    new_leads = state.write("leads", pairs.join(old_leads, on(pairs, old_leads, ["bucket", "level", *RU.KEYS, "email"]), "left_anti"), commit)
+    new_leads = state.write("leads", _unseen(pairs, old_leads), commit)
     old_appts = state.table("appointments", touched)
     new_appts = state.write("appointments", booked.join(old_appts, on(booked, old_appts, ["bucket", "campaign_key", "email"]), "left_anti"), commit)
     known = state.table("sales", touched).where("first").select("bucket", "campaign_key", "email")
