@@ -69,17 +69,22 @@ class WordCoder:
             else:
                 stems.append(w)
         stems = list(dict.fromkeys(stems))
-        plain = [w for w in stems if not any(s in w for s in self.special)] if self.special else stems
+        special = re.compile("|".join(map(re.escape, self.special))).search if self.special else None
+        plain = [w for w in stems if not special(w)] if special else stems
         odd = set(stems).difference(plain)
         for w in odd if self.mark is not None else stems:
             self.known[w] = np.asarray(self.tok.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
-        for i in range(0, len(plain), 64) if self.mark is not None else ():
-            group = plain[i : i + 64]
-            ids = np.asarray(self.tok.encode(self.mark_text.join(group), add_special_tokens=False).ids, np.int64)
-            cut = np.concatenate(([-1], np.flatnonzero(ids == self.mark), [len(ids)]))
-            ids = ids.astype(self.dtype)
-            for w, a, b in zip(group, cut[:-1] + 1, cut[1:], strict=True):
-                self.known[w] = ids[a:b].tobytes()
+        for i in range(0, len(plain), 4096) if self.mark is not None else ():
+            some = plain[i : i + 4096]
+            groups = [some[j : j + 64] for j in range(0, len(some), 64)]
+            # without the places of the ids in the text, which nobody asks for here
+            coded = self.tok.encode_batch_fast([self.mark_text.join(g) for g in groups], add_special_tokens=False)
+            for group, e in zip(groups, coded, strict=True):
+                ids = np.asarray(e.ids, np.int64)
+                size = self.dtype.itemsize
+                cut = [-size, *(np.flatnonzero(ids == self.mark) * size).tolist(), len(ids) * size]
+                raw = ids.astype(self.dtype).tobytes()
+                self.known.update((w, raw[a + size : b]) for w, a, b in zip(group, cut[:-1], cut[1:], strict=True))
         for w in tails:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
 
@@ -94,9 +99,11 @@ class WordCoder:
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         coded = words.dictionary_encode()
         each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) + len(each) > self.most:
+        new = [w for w in each if w not in self.known]
+        if len(self.known) + len(new) > self.most:
             self.known.clear()
-        if new := [w for w in each if w not in self.known]:
+            new = each
+        if new:
             self._learn(new)
         parts = [self.known[w] for w in each]
         flat = np.frombuffer(b"".join(parts), self.dtype)

@@ -71,3 +71,23 @@ def test_links_of_low_dimensions(spark, dim):
     assert found <= linked.sum() and found >= 0.98 * linked.sum()
     label = embed._labels(linked)
     assert sum(got[i].component_id == label[i] for i in range(len(x))) >= 0.95 * len(x)
+
+
+def test_known_words_are_kept_while_they_fit():
+    """Words of a slice that are known already take no further place, so they don't empty the memory."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from adfunnel.llm._bpe import WordCoder
+
+    coder = WordCoder(public_tokenizers.path("word_bpe_49k.json"), most_words=6)
+    learned = []
+    learn = coder._learn
+    coder._learn = lambda words: learned.append(words) or learn(words)
+    texts = pa.array(["one two three four", None, "four, three <|endoftext|> one"])
+    for slice_ in (texts[:1], texts[:1]):
+        coder.encode(slice_)
+    assert learned == [["one", "two", "three", "four"]]
+    ids, at = coder.encode(texts)
+    for text, a, b in zip(texts.to_pylist(), at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == coder.tok.encode(text or "", add_special_tokens=False).ids
