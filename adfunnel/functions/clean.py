@@ -77,11 +77,10 @@ def once(value: Column) -> Column:
 
 
 def with_date(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with ``parse_date`` of ``column`` as ``name``, its text cleaned and read once a row."""
+    """``df`` with ``parse_date`` of ``column`` as ``name``, its text made and cleaned once a row."""
     text = "_text" + "_" * max(len(c) for c in df.columns)
     cleaned = df.select("*", once(_cleaned_date(_named(column))).alias(text))
-    dated = cleaned.select("*", once(_as_ntz(F.col(text), [f for f, _ in DATE_FORMATS])).alias(name))
-    return dated.drop(text)
+    return cleaned.select(*(_named(c) for c in df.columns), _as_ntz(F.col(text), [f for f, _ in DATE_FORMATS]).alias(name))
 
 
 def _named(column: str) -> Column:

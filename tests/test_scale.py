@@ -50,14 +50,24 @@ def test_stored_tables_come_of_one_join_without_a_further_shuffle(spark, tmp_pat
     assert not left.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(left)
 
 
-def test_a_filter_on_a_parsed_date_parses_once(spark):
+def test_a_filter_on_a_parsed_date_cleans_its_text_once(spark):
     raw = {n: spark.createDataFrame([("1/2/2025", "x LEADS PRO", "1", "2", "3")], "date string, campaign_name string, spend string, impressions string, clicks string") for n in ("ads", "leads", "appointments", "sales")}
     silver, _ = IN.to_silver(raw)
     kept = FL.filter_ads(silver.ads, FunnelConfig(date_start="2025-01-01", date_end="2025-12-31"))
-    assert plan(kept.select("date")).lower().count("gettimestamp(") <= len(DATE_FORMATS)
+    assert plan(kept.select("date")).split("Scan")[0].count("regexp_replace(") == 1
     assert [str(r.date) for r in kept.collect()] == ["2025-02-01 00:00:00"]
 
 
+def test_struct_fields_pass_by_a_parsed_date(spark):
+    """Fields of a kept struct are read beside the date of several tables in one plan."""
+    raw = spark.createDataFrame([((1, 2, 3), "1/2/2025", "a@x")], "ordinal struct<a:int,b:int,c:int>, data_entrada_agendamento string, email string")
+    parts = []
+    for _ in range(2):
+        dated = clean.with_date(raw, "data_entrada_agendamento", "date")
+        parts.append(dated.select("ordinal.a", "ordinal.b", "ordinal.c", "date", clean.norm_key("email").alias("email")))
+    assert [(r.a, r.b, r.c, str(r.date), r.email) for r in parts[0].unionByName(parts[1]).collect()] == [(1, 2, 3, "2025-02-01 00:00:00", "a@x")] * 2
+
+
 def test_texts_of_another_shape_are_not_tried(spark):
     texts = ["2025-12-01", "1/2/2025", "+12025-12-01", "005/1/2025", "1/2/2025 3:4:5", "1-2-2025", "1-2-2025 3:4:5", "2025-1-2 3:4:5", "2025-1-2t3:4:5", "-5/1/2025", "99-1-1", "n/a", "2025-12-01\n", "2025-12-01Z", "31/02/2025", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
