@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ class WordCoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.most = most_words
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.lower = "Lowercase" in str(self.tok.normalizer)
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.tokens = [(self.tok.id_to_token(i) or "").encode() for i in range(size)]
@@ -47,6 +48,10 @@ class WordCoder:
         self.cased = "|".join(["[^\\x{0}-\\x{2FF}]", *(f"(?i:{re.escape(t)})" for t in sorted(self.special))])
         self.mark = next((i for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip), None)
         self.mark_text = self.tok.id_to_token(self.mark) if self.mark is not None else None
+        # characters that an added token has may belong to it
+        self.tail = "".join(c for c in ".,!?;:#$%&*" if not any(c in t for t in self.special))
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.ends = np.fromiter((t.endswith(suffix.encode()) for t in self.tokens), bool, size) if suffix else None
 
     @classmethod
     def of(cls, path: str, most_words: int = 500_000) -> WordCoder:
@@ -56,37 +61,55 @@ class WordCoder:
         return _MADE[path, most_words]
 
     def _learn(self, words: list[str]) -> None:
-        stems = []
-        tails = []
-        for w in words:
-            # a letter before a final . or , always ends a pre-token there
-            if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalpha() and w[:-1] not in self.special:
-                tails.append(w)
-                if w[:-1] not in self.known:
-                    stems.append(w[:-1])
-                if w[-1] not in self.known:
-                    stems.append(w[-1])
-            else:
-                stems.append(w)
-        stems = list(dict.fromkeys(stems))
+        """Ids of words that are not known yet; none of them has a tail."""
+        rest = []
+        if self.ends is None:
+            rest = words
+        else:
+            alone = []
+            for w in words:
+                (alone if w.isalpha() else rest).append(w)
+            # a word of letters alone has one end of a word, so ids are told apart without anything between the words
+            for some, ids in self._batches(alone, " ", 1024):
+                cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(cut) == len(some) and cut[-1] == len(ids):
+                    self._keep(some, ids, [0, *cut[:-1]], cut)
+                else:  # an added token, or letters that the tokenizer cuts
+                    rest += some
         special = re.compile("|".join(map(re.escape, self.special))).search if self.special else None
-        plain = [w for w in stems if not special(w)] if special else stems
-        odd = set(stems).difference(plain)
-        for w in odd if self.mark is not None else stems:
+        plain = [w for w in rest if not special(w)] if special else rest
+        odd = set(rest).difference(plain)
+        for w in odd if self.mark is not None else rest:
             self.known[w] = np.asarray(self.tok.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
-        for i in range(0, len(plain), 4096) if self.mark is not None else ():
-            some = plain[i : i + 4096]
-            groups = [some[j : j + 64] for j in range(0, len(some), 64)]
+        for some, ids in self._batches(plain, self.mark_text, 64) if self.mark is not None else ():
+            at = np.flatnonzero(ids == self.mark)
+            self._keep(some, ids, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)])
+
+    def _batches(self, words: list[str], between: str, size: int) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Groups of ``size`` words with the ids of their text."""
+        for i in range(0, len(words), 4096):
+            groups = [words[j : min(j + size, i + 4096)] for j in range(i, min(i + 4096, len(words)), size)]
             # without the places of the ids in the text, which nobody asks for here
-            coded = self.tok.encode_batch_fast([self.mark_text.join(g) for g in groups], add_special_tokens=False)
+            coded = self.tok.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
             for group, e in zip(groups, coded, strict=True):
-                ids = np.asarray(e.ids, np.int64)
-                size = self.dtype.itemsize
-                cut = [-size, *(np.flatnonzero(ids == self.mark) * size).tolist(), len(ids) * size]
-                raw = ids.astype(self.dtype).tobytes()
-                self.known.update((w, raw[a + size : b]) for w, a, b in zip(group, cut[:-1], cut[1:], strict=True))
-        for w in tails:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+                yield group, np.asarray(e.ids, np.int64)
+
+    def _keep(self, words: list[str], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
+        size = self.dtype.itemsize
+        raw = ids.astype(self.dtype).tobytes()
+        self.known.update((w, raw[a * size : b * size]) for w, a, b in zip(words, begin, end, strict=True))
+
+    def _cut(self, words: pa.Array) -> list[pa.Array]:
+        """Words without their tails, and the tails (empty for most): a letter before one always ends a pre-token there."""
+        heads = pc.utf8_rtrim(words, characters=self.tail) if self.tail else words
+        heads = pc.if_else(pc.ascii_is_alpha(pc.utf8_slice_codeunits(heads, -1)), heads, words)
+        short = (pc.binary_length(words).to_numpy() - pc.binary_length(heads).to_numpy()).astype(np.int64)
+        at = np.cumsum(short)
+        _, ends, data = words.buffers()
+        ends = np.frombuffer(ends, np.int64)[words.offset + 1 : words.offset + len(words) + 1]
+        raw = np.frombuffer(data, np.uint8)[np.repeat(ends - at, short) + np.arange(at[-1])]
+        tails = pa.Array.from_buffers(words.type, len(words), [None, pa.py_buffer(np.concatenate(([0], at))), pa.py_buffer(raw)])
+        return [heads, tails]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and per text the place of its first id (one more entry than texts)."""
@@ -98,19 +121,18 @@ class WordCoder:
         if not len(words):
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         coded = words.dictionary_encode()
-        each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        units = pa.concat_arrays(self._cut(coded.dictionary.cast(pa.large_string()))).dictionary_encode()
+        each = units.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in each if w not in self.known]
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = each
+            self.known = {"": b""}
+            new = [w for w in each if w]
         if new:
             self._learn(new)
-        parts = [self.known[w] for w in each]
-        flat = np.frombuffer(b"".join(parts), self.dtype)
-        length = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
-        begin = np.cumsum(length) - length
-        at = coded.indices.to_numpy()
-        n = length[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[at] - (ends - n), n) + np.arange(ends[-1])]
-        return ids, np.concatenate(([0], ends))[starts]
+        ids = pa.array([self.known[w] for w in each], pa.large_binary()).take(units.indices)
+        n = len(coded.dictionary)
+        taken = pc.binary_join_element_wise(ids[:n], ids[n:], pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        _, at, raw = taken.buffers()
+        at = np.frombuffer(at, np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        flat = np.frombuffer(raw, np.uint8)[at[0] : at[-1]].view(self.dtype) if raw else np.zeros(0, self.dtype)
+        return flat, (at - at[0])[starts] // self.dtype.itemsize

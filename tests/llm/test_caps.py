@@ -91,3 +91,36 @@ def test_known_words_are_kept_while_they_fit():
     ids, at = coder.encode(texts)
     for text, a, b in zip(texts.to_pylist(), at[:-1], at[1:], strict=True):
         assert ids[a:b].tolist() == coder.tok.encode(text or "", add_special_tokens=False).ids
+
+
+def test_words_are_learned_without_their_tails_and_as_the_library_codes_them():
+    """A word's tail takes no place of its own per word; odd letters, added tokens and empty memories give the library's ids."""
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from adfunnel.llm._bpe import WordCoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = WordCoder(path, most_words=1000)
+    learned = []
+    learn = coder._learn
+    coder._learn = lambda words: learned.extend(words) or learn(words)
+    coder.encode(pa.array(["lorem, ipsum!! lorem. lorem### ipsum"]))
+    assert sorted(learned) == ["!!", "###", ",", ".", "ipsum", "lorem"]
+
+    words = "lorem lorem, ipsum!! Ipsum### don't don't. we'll, é é. Été!! İx ßa ﬁn a1. 1. ... ## x## a.b, ,a e\u0301, \u0301 中文 中文. ª ǅ a\u00a0b <|endoftext|> a<|endoftext|>. <|ENDOFTEXT|>, <|end a< ⅷ. 𝔘𝔫 ʰ ᾳ.".split(" ")
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(400)] + [None, "", " \n"]
+    for coder in (WordCoder(path, most_words=1000), WordCoder(path, most_words=3)):
+        for i in range(0, len(texts), 50):
+            some = texts[i : i + 50]
+            ids, at = coder.encode(pa.array(some, pa.string()))
+            for text, a, b in zip(some, at[:-1], at[1:], strict=True):
+                assert ids[a:b].tolist() == coder.tok.encode(text or "", add_special_tokens=False).ids, text
+    # with a tokenizer that ends no word by a mark, and where an added token holds a tail
+    plain = WordCoder(path, most_words=1000)
+    plain.ends, plain.tail = None, ""
+    ids, at = plain.encode(pa.array(texts[:50], pa.string()))
+    assert ids.tolist() == [i for t in texts[:50] for i in plain.tok.encode(t, add_special_tokens=False).ids]
