@@ -146,13 +146,30 @@ def lead_level_emails(leads_f: DataFrame) -> DataFrame:
     """A9 input: distinct (level, keys, e-mail); a level needs all its keys
     non-blank.  One extra level (TOTALS_LEVEL, no keys) lists every lead
     e-mail once, so the run's distinct lead count comes out of the same
-    aggregate instead of a second pass over the leads."""
-    return lead_level_rows(leads_f).distinct()
+    aggregate instead of a second pass over the leads.
+
+    A lead is shuffled as one row, not as one per level: distinct (keys,
+    e-mail) first, dealt by e-mail next, and only then repeated per level.
+    The rows of an e-mail are together then, so neither their distinct nor the
+    join with the e-mail's outcome shuffles them again.  A shared e-mail has
+    at most a row per creative there."""
+    return _level_rows(_lead_keys(leads_f).distinct().repartition("email")).distinct()
 
 
 def lead_level_rows(leads_f: DataFrame) -> DataFrame:
     """The rows of ``lead_level_emails``, each as often as it comes."""
-    c, a, r = norm_key("campaign"), norm_key("adset"), norm_key("creative")
+    return _level_rows(_lead_keys(leads_f))
+
+
+def _lead_keys(leads_f: DataFrame) -> DataFrame:
+    """Keys and e-mail of the leads that have an e-mail."""
+    keys = [norm_key(c).alias(k) for c, k in zip(LEVELS, KEYS, strict=True)]
+    return leads_f.select(norm_key("email").alias("email"), *keys).where(F.col("email").isNotNull())
+
+
+def _level_rows(leads: DataFrame) -> DataFrame:
+    """Each lead once per level whose keys it has."""
+    c, a, r = (F.col(k) for k in KEYS)
     none = _null_str()
     levels = F.array(
         F.struct(F.lit("campaign").alias("level"), c.alias("campaign_key"), none.alias("adset_key"), none.alias("creative_key")),
@@ -160,16 +177,13 @@ def lead_level_rows(leads_f: DataFrame) -> DataFrame:
         F.struct(F.lit("creative").alias("level"), c.alias("campaign_key"), a.alias("adset_key"), r.alias("creative_key")),
         F.struct(F.lit(TOTALS_LEVEL).alias("level"), none.alias("campaign_key"), none.alias("adset_key"), none.alias("creative_key")),
     )
-    rows = leads_f.select(norm_key("email").alias("email"), F.explode(levels).alias("k")).select("email", "k.*")
+    rows = leads.select("email", F.explode(levels).alias("k")).select("email", "k.*")
     nonblank = lambda col: F.coalesce(F.col(col) != "", F.lit(False))
     level = F.col("level")
-    keep = F.col("email").isNotNull() & (
-        (level == TOTALS_LEVEL)
-        | (
-            nonblank("campaign_key")
-            & ((level == "campaign") | nonblank("adset_key"))
-            & ((level != "creative") | nonblank("creative_key"))
-        )
+    keep = (level == TOTALS_LEVEL) | (
+        nonblank("campaign_key")
+        & ((level == "campaign") | nonblank("adset_key"))
+        & ((level != "creative") | nonblank("creative_key"))
     )
     return rows.where(keep)
 

@@ -113,3 +113,39 @@ def test_refresh_takes_rows_in_and_finds_buckets_without_dealing_them(spark, tmp
     assert not any("Exchange" in p for p in plans)
     pairs = [state.with_bucket(RU) for RU in (ST.RU.lead_level_emails(new.leads_f), new.appt_pairs, new.sale_pairs)]
     assert buckets == touched(pairs)
+
+
+def test_a_lead_is_shuffled_as_one_row_and_its_levels_not_again(spark):
+    """Levels are made after the last exchange of the leads, and the outcome of an e-mail is joined without another one."""
+    from adfunnel.operators import rollup as RU
+
+    rows = [("A@x ", "c1", "a1", "r1"), ("a@x", " C1", "a1", "r1"), ("a@x", "c1", "a2", ""), ("b@x", "c1", None, "r1"), ("b@x", None, "a1", "r1"), (None, "c1", "a1", "r1"), ("", "c1", "a1", "r1"), ("", "c2", "a1", "r1")]
+    leads = spark.createDataFrame(rows * 2, "email string, campaign string, adset string, creative string")
+    levels = RU.lead_level_emails(leads)
+    want = {tuple(r) for r in RU.lead_level_rows(leads).collect()}
+    got = [tuple(r) for r in levels.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) == 14
+    assert "Exchange" not in plan(levels).split("Generate")[0]
+
+    appts = spark.createDataFrame([("c1", "a@x"), ("c2", "")], "campaign_key string, email string")
+    sales = spark.createDataFrame([("c1", "a@x", 5)], "campaign_key string, email string, revenue int").withColumn("revenue", F.col("revenue").cast(clean.MONEY))
+    facts = RU.lead_facts(levels, RU.email_summary(appts, sales).hint("merge"))
+    between = plan(facts).split("SortMergeJoin")[1].split("Generate")[0]
+    assert "Exchange" not in between
+    found = {tuple(r)[:4]: (r.leads, r.appointments, r.sales, float(r.revenue)) for r in facts.collect()}
+    assert found[RU.TOTALS_LEVEL, None, None, None] == (3, 2, 1, 5.0)
+    assert found["campaign", "c1", None, None] == (3, 2, 1, 5.0) and found["campaign", "c2", None, None] == (1, 1, 0, 0.0)
+    assert found["adset", "c1", "a2", None] == (1, 1, 1, 5.0) and ("creative", "c1", "a2", "") not in found
+
+
+def test_splits_are_smaller_only_while_the_tables_are_stored(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for held, meanwhile in (("134217728b", 64 << 20), ("1g", 64 << 20), ("16MB", 16 << 20), ("5000", 5000)):
+            spark.conf.set(key, held)
+            with FX.smaller_splits(spark):
+                assert spark.conf.get(key) == str(meanwhile)
+            assert spark.conf.get(key) == held
+    finally:
+        spark.conf.set(key, before)
