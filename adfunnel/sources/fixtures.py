@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import weakref
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -174,6 +176,20 @@ def _input_fingerprint(sf_dir: str) -> str:
 _STORED: weakref.WeakKeyDictionary[SparkSession, dict[str, FunnelTables]] = weakref.WeakKeyDictionary()
 
 
+@contextmanager
+def smaller_splits(spark: SparkSession, mb: int = 64):
+    """Files are read in splits of at most ``mb`` MB meanwhile: packed rows take
+    many times their bytes in a sort, which spills with the default splits."""
+    key = "spark.sql.files.maxPartitionBytes"
+    held = spark.conf.get(key)
+    number, unit = re.fullmatch(r"(\d+)([bkmgtp]?)b?", held.lower()).groups()
+    spark.conf.set(key, str(min(int(number) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(unit, 0), mb << 20)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def store_silver(spark: SparkSession, sf_dir: str) -> FunnelTables:
     """Write the projected funnel tables once (Parquet, in the cluster's
     checkpoint folder) and read them back.  A later call for the same,
@@ -200,9 +216,10 @@ def store_silver(spark: SparkSession, sf_dir: str) -> FunnelTables:
         staging = f"{root}/staging-{uuid.uuid4().hex[:12]}"
         joined.write.option("compression", "zstd").parquet(staging)
         # by month and day: a window opens its months only, and of these the row groups with its days
-        for name, df in _projected(spark.read.schema(joined.schema).parquet(staging)).as_dict().items():
-            dealt = df.withColumn(FL.MONTH, FL.month_of(F.col("date"))).sortWithinPartitions(FL.MONTH, "date")
-            dealt.write.mode("overwrite").option("compression", "zstd").partitionBy(FL.MONTH).parquet(f"{root}/{name}")
+        with smaller_splits(spark):
+            for name, df in _projected(spark.read.schema(joined.schema).parquet(staging)).as_dict().items():
+                dealt = df.withColumn(FL.MONTH, FL.month_of(F.col("date"))).sortWithinPartitions(FL.MONTH, "date")
+                dealt.write.mode("overwrite").option("compression", "zstd").partitionBy(FL.MONTH).parquet(f"{root}/{name}")
         # written last: a crash before this point leaves no marker and the
         # tables are rewritten on the next call
         spark.range(1).write.mode("overwrite").parquet(marker)
