@@ -5,9 +5,10 @@ Shapes at scale:
 * ads: one GROUPING SETS aggregate ((c), (c,a), (c,a,r)) -> Expand + partial
   aggregation before the shuffle, so a campaign holding a third of all rows
   costs no more than any other.
-* leads: (level, keys, e-mail) rows deduplicated (partial distinct on the map
-  side), then one equi-join on e-mail with a per-e-mail outcome table (unique
-  per e-mail, so there is no fan-out even for a hot e-mail such as '').
+* leads: (keys, e-mail) rows deduplicated (partial distinct on the map side),
+  dealt by e-mail and repeated per level there, then one equi-join on e-mail
+  with a per-e-mail outcome table (unique per e-mail, so there is no fan-out
+  even for a hot e-mail such as '').
 * campaign-level appointments/sales: COUNT(DISTINCT) by campaign, which Spark
   plans as a two-level aggregate keyed (campaign, e-mail) first.
 """
