@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from adfunnel.llm import embed
 
@@ -73,6 +74,93 @@ def test_links_of_low_dimensions(spark, dim):
     assert sum(got[i].component_id == label[i] for i in range(len(x))) >= 0.95 * len(x)
 
 
+def clustered(n, dim, seed=0):
+    """Random directions, some of them with near copies, in single precision."""
+    rng = np.random.default_rng([seed, dim])
+    x = rng.standard_normal((n, dim))
+    for i in range(n // 2, n):
+        x[i] = x[rng.integers(0, 5) if i % 3 else rng.integers(0, n // 2)] + 0.25 * rng.standard_normal(dim)
+    return x.astype(np.float32)
+
+
+def links(df):
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in df.collect()}
+
+
+def test_what_lies_on_disk_stays_near_the_input(spark, monkeypatch):
+    """A vector isn't written once a filter: neither to intermediate tables nor, pass by pass, to be dealt out."""
+    import os
+
+    x = clustered(3000, 64)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    most, held, save, drop = [0], {}, embed.Scratch.save, embed.Scratch.drop
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        held[name] = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(f"{self.path}/{name}".removeprefix("file://")) for f in files)
+        most[0] = max(most[0], sum(held.values()))
+        return out
+
+    def dropped(self, *names):
+        drop(self, *names)
+        for name in names:
+            held.pop(name)
+
+    monkeypatch.setattr(embed.Scratch, "save", saved)
+    monkeypatch.setattr(embed.Scratch, "drop", dropped)
+    got = links(embed.near_vectors(vectors))
+    assert most[0] < 3 * x.nbytes, most[0] / x.nbytes
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = y @ y.T >= 0.9
+    assert sum(n for n, _, _ in got.values()) >= 0.99 * (linked.sum() - len(x))
+    assert all(got[i][0] <= linked[i].sum() - 1 for i in range(len(x)))
+
+
+def test_passes_deal_out_a_bounded_share(spark, monkeypatch):
+    """Parts of the cells in turn: the same links, and no pass deals out much more than it may."""
+    x = clustered(1200, 64, seed=1)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [1.0] * 3), (5001, [1.0, 1.0, 1.1])], "vec_id long, embedding array<float>")
+    want = links(embed.near_vectors(vectors))
+    dealt, verify = [], embed._verify
+    most = 3 * (x.nbytes + 48 * len(x))
+
+    def measured(df, *args):
+        dealt.append(df.selectExpr("coalesce(sum(length(x) + length(own) + 48), 0)").first()[0])
+        return verify(df, *args)
+
+    monkeypatch.setattr(embed, "_verify", measured)
+    monkeypatch.setattr(embed, "PASS_BYTES", 1)
+    assert links(embed.near_vectors(vectors)) == want
+    assert len(dealt) > embed.CODES and 0 < max(dealt) < 1.5 * most, (dealt, most)
+
+
+def test_cells_cut_into_blocks_give_the_same_links(spark, monkeypatch):
+    """Units of work of pairs of blocks, and filters listed or multiplied out, against one unit a cell."""
+    for dim in (4, 64):
+        x = clustered(600, dim, seed=2)
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        want = links(embed.near_vectors(vectors))
+        with monkeypatch.context() as m:
+            m.setattr(embed, "_count", lambda *a, count=embed._count: count(*a).withColumn("blocks", F.lit(3)))
+            assert links(embed.near_vectors(vectors, block_rows=40)) == want
+
+
+def test_cells_hold_all_filters_of_a_vector_and_few_copies():
+    """The cells of a row are ranges that hold each of its filters once; there are fewer of them than filters."""
+    for dim, rows in ((3, 1000), (20, 1000), (64, 1000), (64, 51_282), (64, 10**7)):
+        x, _ = similar(200, dim, 0.9)
+        name = embed.filters(x, rows)
+        assert (np.diff(name, axis=1) > 0).all()
+        row, seed, cell, begin, end = embed.runs(name, dim, rows)
+        assert (end > begin).all() and (end - begin).sum() == name.size
+        assert len(set(zip(row.tolist(), cell.tolist(), strict=True))) == len(row)
+        directions, width, _ = embed.cells(dim, rows)
+        first, last = name[row, begin] - seed * directions, name[row, end - 1] - seed * directions
+        assert (first >= 0).all() and (last < directions).all() and (first // width == last // width).all()
+        if dim >= embed.LOW_DIM:
+            assert len(row) < 0.7 * name.size
+
+
 def test_known_words_are_kept_while_they_fit():
     """Words of a slice that are known already take no further place, so they don't empty the memory."""
     import public_tokenizers
